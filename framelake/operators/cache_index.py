@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import array_sum
@@ -54,48 +54,76 @@ def sorted_index(fragments: DataFrame, n_partitions: int | None = None) -> DataF
     return fragments.repartitionByRange(*args).sortWithinPartitions("row_id")
 
 
-def integrity_report(spark: SparkSession, index: DataFrame, expected: int, shards: DataFrame, top: int = 10) -> DataFrame:
+# The checks of an index.
+CHECKS = (
+    "row_out_of_bounds", "duplicate_row", "missing_row", "missing_shard", "shard_row_count", "shard_offset",
+    "feature_shape",
+)
+
+
+def integrity_report(
+    spark: SparkSession, index: DataFrame, expected: int, shards: DataFrame, top: int = 10, salts: int = 64
+) -> DataFrame:
     """(check, n_bad, examples): one row per violated or passed check of an index.
 
-    `shards` holds the real content: shard_path, actual_rows, feature_shape. Every
-    check is an aggregate; the examples are the `top` smallest offenders.
+    `shards` holds the real content: shard_path, actual_rows, feature_shape.
+    Violations come from three passes (per id, absent ids, per shard) and are counted
+    once; examples are the `top` smallest ids, taken per salt first, so that a check
+    which every row violates is spread over many tasks.
     """
+    row = F.col("row_id")
+
+    def named(conditions: dict[str, Column]) -> Column:
+        return F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in conditions.items()]))).alias("check")
+
     per_id = index.groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
-    outside = per_id.filter((F.col("row_id") < 0) | (F.col("row_id") >= expected)).select("row_id")
-    repeated = per_id.filter("copies > 1").select("row_id")
+    by_id = per_id.select(
+        "row_id", named({"row_out_of_bounds": (row < 0) | (row >= expected), "duplicate_row": F.col("copies") > 1})
+    )
     absent = (
         spark.range(expected)
         .withColumnRenamed("id", "row_id")
         .join(per_id.select("row_id"), "row_id", "left_anti")
+        .withColumn("check", F.lit("missing_row"))
+    )
+    offset, actual = F.col("shard_offset"), F.col("actual_rows")
+    by_shard = index.join(shards.select("shard_path", "actual_rows"), "shard_path", "left").select(
+        "row_id",
+        named(
+            {
+                "missing_shard": actual.isNull(),
+                "shard_row_count": F.col("shard_num_rows") != actual,
+                "shard_offset": (offset < 0) | (offset >= actual),
+            }
+        ),
     )
-    matched = index.join(shards, "shard_path", "left")
-    no_shard = matched.filter(F.col("actual_rows").isNull()).select("row_id")
-    wrong_count = matched.filter(F.col("shard_num_rows") != F.col("actual_rows")).select("row_id")
-    bad_offset = matched.filter(
-        (F.col("shard_offset") < 0) | (F.col("shard_offset") >= F.col("actual_rows"))
-    ).select("row_id")
-
-    def summary(name: str, offenders: DataFrame) -> DataFrame:
-        first = offenders.orderBy("row_id").limit(top).agg(
-            F.array_join(F.array_sort(F.collect_list("row_id")).cast("array<string>"), ",").alias("examples")
+    shapes = F.count_distinct("feature_shape") - 1
+    violations = by_id.unionByName(absent).unionByName(by_shard)
+    salted = violations.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(salts)))
+    group = Window.partitionBy("check", "salt")
+    counted = (
+        salted.withColumn("k", F.row_number().over(group.orderBy("row_id")))
+        .withColumn("n", F.count(F.lit(1)).over(group))
+        .filter(F.col("k") <= top)
+        .groupBy("check")
+        .agg(
+            F.sum(F.when(F.col("k") == 1, F.col("n"))).alias("n_bad"),
+            joined_ids(F.slice(F.array_sort(F.collect_list("row_id")), 1, top)).alias("examples"),
         )
-        count = offenders.agg(F.count(F.lit(1))).scalar()
-        return first.select(F.lit(name).alias("check"), count.alias("n_bad"), "examples")
-
-    shapes = shards.agg(
-        F.greatest(F.count_distinct("feature_shape") - 1, F.lit(0)).alias("n_bad"),
-    ).select(F.lit("feature_shape").alias("check"), "n_bad", F.lit("").alias("examples"))
-    out = shapes
-    for name, offenders in (
-        ("row_out_of_bounds", outside),
-        ("duplicate_row", repeated),
-        ("missing_row", absent),
-        ("missing_shard", no_shard),
-        ("shard_row_count", wrong_count),
-        ("shard_offset", bad_offset),
-    ):
-        out = out.unionByName(summary(name, offenders))
-    return out
+        .unionByName(
+            shards.agg(F.greatest(shapes, F.lit(0)).alias("n_bad")).select(
+                F.lit("feature_shape").alias("check"), "n_bad", F.lit("").alias("examples")
+            )
+        )
+    )
+    checks = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CHECKS])).alias("check"))
+    return checks.join(counted, "check", "left").select(
+        "check", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), F.coalesce("examples", F.lit("")).alias("examples")
+    )
+
+
+def joined_ids(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
 
 
 def require_clean(report: DataFrame) -> None:

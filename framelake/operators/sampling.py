@@ -27,13 +27,14 @@ def split_to_chunks(frames: DataFrame, chunk_size: int, key: str = "key") -> Dat
     )
 
 
-def one_chunk_per_video(chunked: DataFrame, key: str, seed: int = 0, n_chunks: Column | None = None) -> DataFrame:
+def one_chunk_per_video(chunked: DataFrame, key: str, chunk_size: int, seed: int = 0) -> DataFrame:
     """Keeps one hash-chosen chunk of every video.
 
-    The chunk number is computed from the key alone, so nothing is grouped or ranked.
+    The chunk number is computed from the key and length alone, so nothing is
+    grouped or ranked.
     """
-    total = F.floor(F.col("length") / F.col("chunk_size")) if n_chunks is None else n_chunks
-    return chunked.filter(F.col("chunk") == F.floor(hash_uniform(seed, key) * total))
+    n_chunks = F.floor(F.col("length") / chunk_size)
+    return chunked.filter(F.col("chunk") == F.floor(hash_uniform(seed, key) * n_chunks))
 
 
 def explode_frames(videos: DataFrame, length: str = "length") -> DataFrame:

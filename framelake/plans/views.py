@@ -15,6 +15,7 @@ from ..operators.masks import soft_array_to_hard
 from ..operators.mixing import mixed_union
 from ..operators.numbering import dense_index
 from ..operators.splits import split_by_fraction
+from ..sources.synthetic import square_images
 
 SEED = 42
 FPS_A, FPS_B = 10.0, 12.0
@@ -198,6 +199,28 @@ def pred_mask(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SIDE, OBJECTS = 24, 3
+
+
+def square_masks(spark: SparkSession, sf: str, shift_x: int = 0) -> DataFrame:
+    """One image of squares per supplier: video = nation, frame = supplier, class 0 = background."""
+    images = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("long").alias("video"), F.col("s_suppkey").alias("frame")
+    )
+    return square_images(images, "frame", SIDE, SIDE, OBJECTS, SEED, shift_x)
+
+
+def square_true(spark: SparkSession, sf: str) -> DataFrame:
+    return square_masks(spark, sf).select("video", "frame", "y", "x", F.col("label").alias("class"))
+
+
+def square_pred(spark: SparkSession, sf: str) -> DataFrame:
+    """The squares one pixel further right, under other class numbers."""
+    return square_masks(spark, sf, 1).select(
+        "video", "frame", "y", "x", F.pmod(F.col("label") + 1, F.lit(OBJECTS + 1)).alias("class")
+    )
+
+
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("event_id").alias("id"),
@@ -313,6 +336,27 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def _square_sql(shift_x: int, cls: str) -> str:
+    limit = int(0.3 * SIDE)
+    draws = ", ".join(
+        f"CAST(floor({uniform_sql(f'{SEED}-{i}', 's_suppkey', word)} * {n}) AS BIGINT) AS {name}{i}"
+        for i in range(OBJECTS)
+        for word, (name, n) in enumerate((("x", SIDE), ("y", SIDE), ("s", limit)))
+    )
+    cases = " ".join(
+        f"WHEN px - x{i} - {shift_x} BETWEEN 0 AND s{i} - 1 AND py - y{i} BETWEEN 0 AND s{i} - 1 THEN {i + 1}"
+        for i in reversed(range(OBJECTS))
+    )
+    return f"""SELECT video, frame, y, x, CAST({cls} AS BIGINT) AS class FROM (
+      SELECT video, frame, py AS y, px AS x, CASE {cases} ELSE 0 END AS label
+      FROM (SELECT s_nationkey::BIGINT AS video, s_suppkey AS frame, {draws} FROM supplier),
+        range({SIDE}) a(py), range({SIDE}) b(px))"""
+
+
+SQL["square_true"] = ((), _square_sql(0, "label"))
+SQL["square_pred"] = ((), _square_sql(1, f"(label + 1) % {OBJECTS + 1}"))
+
+
 def with_views(*names: str, extra: dict[str, str] | None = None) -> str:
     """WITH clause that defines the named views and what they need."""
     ordered: list[str] = []
