@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from . import annotations, cache, episodes, metrics, projections, sampling  # noqa: F401
+from . import annotations, cache, episodes, frames, metrics, projections, sampling, similarity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
