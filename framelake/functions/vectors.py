@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,20 @@ def l2_norm(vector) -> Column:
     return F.sqrt(array_sum(F.transform(as_doubles(vector), lambda x: x * x)))
 
 
+def let(value, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once per row.
+
+    The body of an array function runs per element and re-evaluates every
+    expression in it; a value that does not depend on the element is bound here.
+    """
+    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+
+
 def l2_normalize(vector) -> Column:
-    norm = F.greatest(l2_norm(vector), F.lit(NORM_FLOOR))
-    return F.transform(as_doubles(vector), lambda x: x / norm)
+    def scaled(v: Column) -> Column:
+        return let(F.greatest(l2_norm(v), F.lit(NORM_FLOOR)), lambda n: F.transform(v, lambda x: x / n))
+
+    return let(as_doubles(vector), scaled)
 
 
 def slice_range(vector, start: int, stop: int) -> Column:
@@ -49,24 +62,33 @@ def finite(value: Column) -> Column:
 
 def softmax(logits) -> Column:
     """Softmax over the finite entries; an array without any becomes uniform."""
-    logits = as_doubles(logits)
-    kept = F.filter(logits, finite)
-    peak = F.array_max(kept)
-    weights = F.transform(
-        logits, lambda x: F.when(finite(x), F.exp(x - peak)).otherwise(F.lit(0.0))
-    )
-    total = array_sum(weights)
-    n = F.size(logits)
-    return F.when(F.size(kept) == 0, F.transform(logits, lambda x: F.lit(1.0) / n)).otherwise(
-        F.transform(weights, lambda w: w / total)
-    )
+
+    def weights(values: Column) -> Column:
+        # Without a finite entry the peak is null and every weight is one.
+        peak = F.array_max(F.filter(values, finite))
+        return let(
+            peak,
+            lambda top: F.transform(
+                values,
+                lambda x: F.when(top.isNull(), F.lit(1.0)).when(finite(x), F.exp(x - top)).otherwise(F.lit(0.0)),
+            ),
+        )
+
+    def shares(w: Column) -> Column:
+        return let(array_sum(w), lambda total: F.transform(w, lambda x: x / total))
+
+    return let(let(as_doubles(logits), weights), shares)
 
 
 def log_softmax(logits) -> Column:
-    logits = as_doubles(logits)
-    peak = F.array_max(logits)
-    log_total = F.log(array_sum(F.transform(logits, lambda x: F.exp(x - peak))))
-    return F.transform(logits, lambda x: x - peak - log_total)
+    def shifted(values: Column) -> Column:
+        return let(F.array_max(values), lambda top: F.transform(values, lambda x: x - top))
+
+    def normalized(values: Column) -> Column:
+        log_total = F.log(array_sum(F.transform(values, F.exp)))
+        return let(log_total, lambda total: F.transform(values, lambda x: x - total))
+
+    return let(let(as_doubles(logits), shifted), normalized)
 
 
 def argmax(values) -> Column:
@@ -82,17 +104,12 @@ def at(values, index: Column) -> Column:
 def rank_of(values, index: Column) -> Column:
     """How many entries come before `index` when sorted by value, descending, then by position."""
     values = _col(values)
-    pivot = at(values, index)
-    ahead = F.zip_with(
-        values,
-        F.sequence(F.lit(0), F.size(values) - 1),
-        lambda v, i: (v > pivot) | ((v == pivot) & (i < index)),
-    )
-    return F.aggregate(ahead, F.lit(0), lambda acc, hit: acc + hit.cast("int")).cast("long")
 
+    def ahead_of(pivot: Column) -> Column:
+        ahead = F.transform(
+            values,
+            lambda v, i: ((v > pivot["value"]) | ((v == pivot["value"]) & (i < pivot["at"]))).cast("long"),
+        )
+        return F.aggregate(ahead, F.lit(0).cast("long"), lambda acc, hit: acc + hit)
 
-def scaled_ints(values, scale: float = 1e6) -> Column:
-    """Array of doubles as a comma list of rounded integers, for compact exact comparison."""
-    return F.array_join(
-        F.transform(_col(values), lambda x: F.round(x * F.lit(scale)).cast("long").cast("string")), ","
-    )
+    return let(F.struct(at(values, index).alias("value"), index.alias("at")), ahead_of)

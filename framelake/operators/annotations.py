@@ -123,14 +123,21 @@ def mean_area(areas: Column) -> Column:
     return F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(F.lit(0.0))
 
 
-def enrich_results(results: DataFrame, order: Sequence[str], bucket: Column, areas: str = "areas") -> DataFrame:
-    """Adds id (position from 1 in `order`), avg_area and iscrowd = 0."""
-    return (
-        dense_index(results, order, bucket, "id")
-        .withColumn("id", F.col("id") + 1)
-        .withColumn("avg_area", mean_area(F.col(areas)))
-        .withColumn("iscrowd", F.lit(0).cast("long"))
-    )
+def segment_areas(segments: DataFrame, key: str, area: str = "area") -> DataFrame:
+    """(key, avg_area) from one row per segment, for results kept as a long table."""
+    kept = F.when(F.col(area) != 0, F.col(area))
+    return segments.groupBy(key).agg(F.coalesce(F.avg(kept), F.lit(0.0)).alias("avg_area"))
+
+
+def enrich_results(results: DataFrame, order: Sequence[str], bucket: Column, areas: str | None = None) -> DataFrame:
+    """Adds id (position from 1 in `order`), avg_area and iscrowd = 0.
+
+    The mean area comes from the array column `areas`, or stays as it is when None.
+    """
+    numbered = dense_index(results, order, bucket, "id").withColumn("id", F.col("id") + 1)
+    if areas is not None:
+        numbered = numbered.withColumn("avg_area", mean_area(F.col(areas)))
+    return numbered.withColumn("iscrowd", F.lit(0).cast("long"))
 
 
 def max_instances(annotations: DataFrame, video: str = "video_id") -> DataFrame:

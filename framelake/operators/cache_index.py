@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import array_sum
+from ..functions.vectors import array_sum, let
 from ..schemas import CACHE_INDEX
 
 ITEM_BYTES = {"float16": 2, "float32": 4}
@@ -45,13 +45,18 @@ def feature_shape_ok(features: Column, slots: int, dim: int) -> Column:
     return (F.size(features) == slots) & F.forall(features, lambda slot: F.size(slot) == dim)
 
 
-def sorted_index(fragments: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """The index ordered by row id: range partitions, each sorted."""
+def sorted_index(fragments: DataFrame, total: Column, n_partitions: int = 200) -> DataFrame:
+    """The index in row order: `n_partitions` equal id ranges, each sorted.
+
+    Ids are dense, so a row's range is arithmetic; a sampled range partitioning would
+    run the whole upstream plan twice.
+    """
     missing = [f.name for f in CACHE_INDEX.fields if f.name not in fragments.columns]
     if missing:
         raise ValueError(f"index fragments are missing fields: {missing}")
-    args = (n_partitions, "row_id") if n_partitions else ("row_id",)
-    return fragments.repartitionByRange(*args).sortWithinPartitions("row_id")
+    spot = F.floor(F.col("row_id") * n_partitions / total).cast("int")
+    ranged = F.greatest(F.lit(0), F.least(spot, F.lit(n_partitions - 1)))
+    return fragments.repartitionById(n_partitions, ranged).sortWithinPartitions("row_id")
 
 
 # The checks of an index.
@@ -144,7 +149,7 @@ def feature_stats(features: DataFrame, column: str, keys: Sequence[str] = (), fi
     v = F.col(column).cast("array<double>")
     n = F.size(v)
     mean = array_sum(v) / n
-    spread = array_sum(F.transform(v, lambda x: (x - mean) * (x - mean))) / n
+    spread = let(mean, lambda m: array_sum(F.transform(v, lambda x: (x - m) * (x - m)))) / n
     return features.select(
         *keys,
         F.array_min(v).alias("min_value"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import exclusive_prefix_sum, int_bucket
+from .numbering import ALWAYS, exclusive_prefix_sum, int_bucket
 
 SPLITS = ("train", "val", "test")
 
@@ -34,6 +34,7 @@ def episode_offsets(episodes: DataFrame, keys: Sequence[str] = (), bucket_width:
         int_bucket("episode_index", bucket_width),
         "dataset_from_index",
         partition=keys,
+        hot_rows=ALWAYS,
     )
     return out.withColumn("dataset_to_index", F.col("dataset_from_index") + F.col("length"))
 
@@ -98,10 +99,14 @@ def gather_context(
 
     sends = F.flatten(F.array(*[readers(j, int(o)) for j, o in enumerate(offsets)]))
     sent = frames.select(*keys, F.col(value).alias("__value"), F.explode(sends).alias("__to"))
+    # One fixed slot per offset keeps the aggregate hashed and combines on the map side.
+    slots = [
+        F.max(F.when(F.col("__to.slot") == j, F.col("__value"))).alias(f"__v{j}") for j in range(len(offsets))
+    ]
     return (
         sent.groupBy(*keys, F.col("__to.frame").alias("frame_index"))
-        .agg(F.sort_array(F.collect_list(F.struct("__to.slot", "__value"))).alias("__slots"))
-        .select(*keys, "frame_index", F.col("__slots.__value").alias("values"))
+        .agg(*slots)
+        .select(*keys, "frame_index", F.array(*[F.col(f"__v{j}") for j in range(len(offsets))]).alias("values"))
     )
 
 
@@ -133,8 +138,9 @@ def cache_row_ids(
     """Dense row_id over (requested split order, dataset, episode, frame).
 
     `episodes` has one row per (dataset_index, episode_index) with split and
-    length. Frames are only joined to their episode's first id: the id of a frame
-    is that plus its frame_index, and no window runs over frames.
+    length; its other columns go along. Frames are only joined to their episode's
+    first id: the id of a frame is that plus its frame_index, and no window runs
+    over frames.
     """
     unknown = [s for s in splits if s not in SPLITS]
     if unknown:
@@ -143,7 +149,7 @@ def cache_row_ids(
     bucket = F.struct("split_index", "dataset_index", int_bucket("episode_index", bucket_width).alias("chunk"))
     first = exclusive_prefix_sum(
         chosen, "length", ["split_index", "dataset_index", "episode_index"], bucket, "first_row"
-    ).select("dataset_index", "episode_index", "split", "split_index", "first_row")
+    )
     return (
         frames.join(first, ["dataset_index", "episode_index"])
         .withColumn("row_id", F.col("first_row") + F.col("frame_index"))

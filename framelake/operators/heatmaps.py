@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colors import DIVERGING, SEQUENTIAL, color_ramp
 from ..functions.geometry import atlas_position
+from ..functions.vectors import let
 
 FLAT = 1e-12
 
@@ -21,12 +22,19 @@ def scale_relative(values: Column, kind: str) -> Column:
     if kind == "affinity":
         return F.transform(values, lambda v: _clip((v + 1.0) / 2.0))
     if kind == "difference":
-        peak = F.array_max(F.transform(values, F.abs))
-        unit = lambda v: F.when(peak > FLAT, v / peak).otherwise(0.0)
-        return F.transform(values, lambda v: _clip((unit(v) + 1.0) / 2.0))
-    low, high = F.array_min(values), F.array_max(values)
-    span = high - low
-    return F.transform(values, lambda v: _clip(F.when(span > FLAT, (v - low) / span).otherwise(0.5)))
+        return let(
+            F.array_max(F.transform(values, F.abs)),
+            lambda peak: F.transform(
+                values, lambda v: _clip((F.when(peak > FLAT, v / peak).otherwise(0.0) + 1.0) / 2.0)
+            ),
+        )
+    extent = F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+
+    def scaled(e: Column) -> Column:
+        span = e["high"] - e["low"]
+        return F.transform(values, lambda v: _clip(F.when(span > FLAT, (v - e["low"]) / span).otherwise(0.5)))
+
+    return let(extent, scaled)
 
 
 def scale_fixed(values: Column, kind: str, probability_max: float, difference_abs_max: float) -> Column:
@@ -40,13 +48,14 @@ def ramp_of(kind: str):
     return DIVERGING if kind in ("affinity", "difference") else SEQUENTIAL
 
 
-def atlas(rows: DataFrame, kind: str, scaled: str, grid: tuple[int, int]) -> DataFrame:
-    """(video, frame, atlas_y, atlas_x, color) pixels of a scaled heat-map."""
-    y, x = atlas_position("patch", "target_patch", *grid)
-    return rows.select("video", "frame", "patch", F.posexplode(scaled).alias("target_patch", "t")).select(
-        "video",
-        "frame",
-        y.alias("atlas_y"),
-        x.alias("atlas_x"),
-        color_ramp(F.col("t"), ramp_of(kind)).alias("color"),
-    )
+def atlas_tiles(rows: DataFrame, scaled: str, grid: tuple[int, int], kind: str | None = None) -> DataFrame:
+    """(video, frame, tile_y, tile_x, tile): one atlas tile per source patch.
+
+    A tile holds its target patches in reading order, as values or, with `kind`, as
+    colours; `atlas_position` gives the place of a single pixel.
+    """
+    y, x = atlas_position(F.col("patch"), F.lit(0), *grid)
+    tile = F.col(scaled)
+    if kind is not None:
+        tile = F.transform(tile, lambda t: color_ramp(t, ramp_of(kind)))
+    return rows.select("video", "frame", y.alias("tile_y"), x.alias("tile_x"), tile.alias("tile"))

@@ -69,16 +69,14 @@ def weighted_sample(
     if draws is None:
         draws = spark.range(n_draws).withColumnRenamed("id", "draw")
     sizes = rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("size"))
+    # One entry per configured dataset, so the sizes travel as a map and draws are not shuffled for them.
+    entries = F.map_from_entries(F.collect_list(F.struct("dataset_index", "size")))
+    size = F.try_element_at(sizes.agg(entries).scalar(), F.col("dataset_index"))
     picked = draws.withColumn("dataset_index", weighted_dataset(hash_uniform(seed, "draw"), weights))
-    located = (
-        picked.join(sizes, "dataset_index", "left")
-        .withColumn(
-            "local_index",
-            F.when(
-                F.col("size").isNotNull(),
-                F.floor(hash_uniform(seed, "draw", offset=1) * F.col("size")).cast("long"),
-            ).otherwise(F.raise_error(F.lit("cannot sample from an empty dataset"))),
-        )
-        .drop("size")
+    located = picked.withColumn(
+        "local_index",
+        F.when(
+            size.isNotNull(), F.floor(hash_uniform(seed, "draw", offset=1) * size).cast("long")
+        ).otherwise(F.raise_error(F.lit("cannot sample from an empty dataset"))),
     )
     return located.join(rows, ["dataset_index", "local_index"])

@@ -2,8 +2,9 @@
 
 Rows are grouped into buckets that follow the requested order. Only the bucket
 totals are chained; the rows themselves are numbered per bucket, so the largest
-task holds one bucket. With a partition (per episode, per dataset) only its hot
-keys are cut into buckets: the others are numbered in one window group each.
+task holds one bucket. With a partition of many small keys (per episode) only hot
+keys are cut into buckets, and the others are numbered in one window group each; a
+partition of few large keys (per dataset) passes ALWAYS and is cut throughout.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 # A partition key with more rows than this is cut into buckets.
 HOT_ROWS = 1_000_000
+# Cuts every key, without looking for hot ones.
+ALWAYS = 0
 # At most this many keys are cut. Any other key holds less than a thousandth of the rows.
 HOT_KEYS = 1_000
 
@@ -36,21 +39,26 @@ def _is_hot(df: DataFrame, partition: Sequence[str], hot_rows: int) -> Column:
 
 def _tag(df: DataFrame, bucket: Column, partition: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their bucket, rows whose buckets need chaining)."""
-    if not partition:
+    if not partition or hot_rows == ALWAYS:
         tagged = df.withColumn(_BUCKET, bucket)
         return tagged, tagged
     tagged = df.withColumn(_BUCKET, F.when(_is_hot(df, partition, hot_rows), bucket))
     return tagged, tagged.filter(F.col(_BUCKET).isNotNull())
 
 
-def _bucket_bases(chained: DataFrame, total: Column, partition: Sequence[str]) -> DataFrame:
-    window = Window.partitionBy(*partition).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+def _bucket_bases(
+    chained: DataFrame, total: Column, partition: Sequence[str], total_out: str | None = None
+) -> DataFrame:
+    group = Window.partitionBy(*partition)
+    window = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     totals = chained.groupBy(*partition, _BUCKET).agg(total.alias("__total"))
+    if total_out is not None:
+        totals = totals.withColumn(total_out, F.sum("__total").over(group))
     return totals.withColumn(_BASE, F.coalesce(F.sum("__total").over(window), F.lit(0))).drop("__total")
 
 
-def _with_base(rows: DataFrame, bases: DataFrame, partition: Sequence[str]) -> DataFrame:
-    joined = rows.join(bases, [*partition, _BUCKET], "left" if partition else "inner")
+def _with_base(rows: DataFrame, bases: DataFrame, partition: Sequence[str], whole: bool) -> DataFrame:
+    joined = rows.join(bases, [*partition, _BUCKET], "inner" if whole else "left")
     return joined.withColumn(_BASE, F.coalesce(_BASE, F.lit(0)))
 
 
@@ -72,7 +80,7 @@ def exclusive_prefix_sum(
     )
     numbered = tagged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (
-        _with_base(numbered, _bucket_bases(chained, F.sum(value), partition), partition)
+        _with_base(numbered, _bucket_bases(chained, F.sum(value), partition), partition, chained is tagged)
         .withColumn(out, F.col(_BASE) + F.col(out))
         .drop(_BUCKET, _BASE)
     )
@@ -85,13 +93,25 @@ def dense_index(
     out: str = "row_id",
     partition: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
+    total_out: str | None = None,
 ) -> DataFrame:
-    """Adds a dense zero-based index in `order`; `bucket` must be monotone in `order`."""
+    """Adds a dense zero-based index in `order`; `bucket` must be monotone in `order`.
+
+    `total_out` also adds the row count of the partition, which the bucket totals
+    hold; it needs every row in a bucket (no partition, or ALWAYS).
+    """
+    if total_out is not None and partition and hot_rows != ALWAYS:
+        raise ValueError("totals need every key cut into buckets")
     tagged, chained = _tag(df, bucket, partition, hot_rows)
     inside = Window.partitionBy(*partition, _BUCKET).orderBy(*order)
     numbered = tagged.withColumn(out, F.row_number().over(inside) - 1)
     return (
-        _with_base(numbered, _bucket_bases(chained, F.count(F.lit(1)), partition), partition)
+        _with_base(
+            numbered,
+            _bucket_bases(chained, F.count(F.lit(1)), partition, total_out),
+            partition,
+            chained is tagged,
+        )
         .withColumn(out, (F.col(_BASE) + F.col(out)).cast("long"))
         .drop(_BUCKET, _BASE)
     )

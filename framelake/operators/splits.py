@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, seeded_digest
-from .numbering import dense_index
+from .numbering import ALWAYS, dense_index
 
 
 def split_size(n: Column, fraction: Column) -> Column:
@@ -40,10 +40,9 @@ def split_by_fraction(
         hash_bucket(F.col("__digest")),
         "__rank",
         partition=keys,
+        hot_rows=ALWAYS,
+        total_out="__n",
     )
-    sizes = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # The sizes have one row per dataset.
-    ranked = ranked.join(sizes, list(keys)) if keys else ranked.withColumn("__n", sizes.scalar())
     n_val, n_test = split_size(F.col("__n"), val), split_size(F.col("__n"), test)
     split = (
         F.when(F.col("__rank") < n_val, "val")
@@ -143,11 +142,10 @@ def episode_list_checks(explicit: DataFrame, total: int | Column) -> DataFrame:
 
 def tail_split(rows: DataFrame, key: str, n_tail: int, bucket: Column) -> DataFrame:
     """Adds split: the last `n_tail` keys are val, the others train."""
-    indexed = dense_index(rows, [key], bucket, "__position")
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    indexed = dense_index(rows, [key], bucket, "__position", total_out="__n")
     return indexed.withColumn(
-        "split", F.when(F.col("__position") >= total - n_tail, "val").otherwise("train")
-    ).drop("__position")
+        "split", F.when(F.col("__position") >= F.col("__n") - n_tail, "val").otherwise("train")
+    ).drop("__position", "__n")
 
 
 def split_sizes(rows: DataFrame, keys: Sequence[str] = ("dataset_index", "split")) -> DataFrame:

@@ -98,18 +98,16 @@ def results_anti_check(spark, sf):
       FROM orders LEFT JOIN lineitem l ON l.l_orderkey = o_orderkey GROUP BY 1)""",
 )
 def annotation_avg_area(spark, sf):
-    """Results with one area per segment; finished lines are segments without a mask.
-
-    Areas are bounded by the frames of one video, so the array is the result file's own list.
-    """
-    areas = v.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).alias("a"))).alias("areas")
+    """Orders as results, their lines as segments; finished lines are segments without a mask."""
+    segments = v.table(spark, sf, "lineitem").select(
+        "l_orderkey", F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).alias("area")
     )
+    areas = ops.segment_areas(segments, "l_orderkey")
     results = (
         v.table(spark, sf, "orders")
         .select("o_orderkey")
         .join(areas, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select("o_orderkey", F.coalesce(F.col("areas.a"), F.array().cast("array<double>")).alias("areas"))
+        .select("o_orderkey", F.coalesce("avg_area", F.lit(0.0)).alias("avg_area"))
     )
     enriched = ops.enrich_results(results, ["o_orderkey"], int_bucket("o_orderkey"))
     return enriched.select("id", "o_orderkey", r6(F.col("avg_area")).alias("avg_area"), "iscrowd")

@@ -39,11 +39,14 @@ def cache_shard_layout(spark, sf):
 
 
 def frame_index(spark, sf, per_shard: int = 4096):
-    """Full cache index of the mixed frames."""
-    rows = cache_row_ids(v.mixed_frames(spark, sf), v.mixed_splits(spark, sf))
+    """(full cache index of the mixed frames, its row count)."""
+    plan = v.episode_plan(spark, sf)
+    total = plan.agg(F.sum("length")).scalar()
+    rows = cache_row_ids(v.mixed_turns(spark, sf), plan).withColumn(
+        "absolute_index", F.col("dataset_from_index") + F.col("frame_index")
+    )
     described = attach_dataset_info(clamped_context(rows, frame_offsets(2)), v.dataset_info(spark, sf))
-    total = v.mixed_splits(spark, sf).agg(F.sum("length")).scalar()
-    return ops.shard_layout(described, per_shard, total)
+    return ops.shard_layout(described, per_shard, total), total
 
 
 INDEX_SQL = v.with_views(
@@ -63,7 +66,7 @@ INDEX_SQL = v.with_views(
     shard_path, shard_offset, shard_num_rows FROM idx""",
 )
 def cache_index_sorted(spark, sf):
-    index = ops.sorted_index(frame_index(spark, sf))
+    index = ops.sorted_index(*frame_index(spark, sf), 8)
     return index.select(
         "row_id",
         "split",
@@ -82,13 +85,13 @@ def cache_index_sorted(spark, sf):
     INDEX_SQL + "SELECT split, dataset_index, count(*) AS n_rows, count(DISTINCT shard_path) AS n_shards FROM idx GROUP BY ALL",
 )
 def cache_summary(spark, sf):
-    return ops.cache_summary(frame_index(spark, sf))
+    return ops.cache_summary(frame_index(spark, sf)[0])
 
 
 @query("head_n", v.with_views("cache_rows") + "SELECT row_id, split, episode_index, frame_index FROM cache_rows ORDER BY row_id LIMIT 20")
 def head_n(spark, sf):
     """The first rows of the index, as the summary prints them."""
-    rows = cache_row_ids(v.mixed_turns(spark, sf), v.mixed_splits(spark, sf))
+    rows = cache_row_ids(v.mixed_turns(spark, sf), v.episode_plan(spark, sf))
     return rows.select("row_id", "split", "episode_index", "frame_index").orderBy("row_id").limit(20)
 
 

@@ -158,7 +158,7 @@ def join_task_text(spark, sf):
     CASE dataset_index WHEN 0 THEN 'images.top' ELSE 'images.wrist' END AS camera_key FROM cache_rows""",
 )
 def join_dataset_info(spark, sf):
-    rows = ops.cache_row_ids(v.mixed_turns(spark, sf), v.mixed_splits(spark, sf))
+    rows = ops.cache_row_ids(v.mixed_turns(spark, sf), v.episode_plan(spark, sf))
     return ops.attach_dataset_info(rows, v.dataset_info(spark, sf)).select(
         "row_id", "split", "repo_id", "root", "camera_key"
     )
@@ -170,7 +170,7 @@ def join_dataset_info(spark, sf):
     + "SELECT row_id, split_index, dataset_index, episode_index, frame_index FROM cache_rows",
 )
 def cache_row_ids(spark, sf):
-    rows = ops.cache_row_ids(v.mixed_turns(spark, sf), v.mixed_splits(spark, sf))
+    rows = ops.cache_row_ids(v.mixed_turns(spark, sf), v.episode_plan(spark, sf))
     return rows.select("row_id", "split_index", "dataset_index", "episode_index", "frame_index")
 
 

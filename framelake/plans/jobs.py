@@ -13,6 +13,7 @@ from ..operators.episodes import attach_dataset_info, cache_row_ids, clamped_con
 from ..operators.splits import split_by_fraction
 from ..operators.udfs import predict_features
 from ..schemas import PROVENANCE
+from ..session import materialize
 from ..sources.cache_store import write_cache
 
 
@@ -37,12 +38,13 @@ def build_feature_cache(
     plus the predictor's `inputs`; `episodes` has dataset_index, episode_index, length.
     """
     assigned = split_by_fraction(episodes, val_fraction, test_fraction, seed, ["dataset_index"])
-    bounds = episode_offsets(episodes, ["dataset_index"]).drop("length")
-    rows = cache_row_ids(frames, assigned, splits).join(bounds, ["dataset_index", "episode_index"])
-    rows = rows.withColumn("absolute_index", F.col("dataset_from_index") + F.col("frame_index"))
+    plan = materialize(episode_offsets(assigned, ["dataset_index"]))
+    rows = cache_row_ids(frames, plan, splits).withColumn(
+        "absolute_index", F.col("dataset_from_index") + F.col("frame_index")
+    )
     windows = clamped_context(rows, frame_offsets(num_frames)).select(*PROVENANCE, *inputs)
     predicted = predict_features(windows, predict, T.ArrayType(T.ArrayType(T.FloatType())))
-    expected = assigned.filter(F.col("split").isin(list(splits))).agg(F.sum("length")).first()[0]
+    expected = plan.filter(F.col("split").isin(list(splits))).agg(F.sum("length")).first()[0]
     if not expected:
         raise ValueError("no frames in the requested splits")
     write_cache(attach_dataset_info(predicted, info), path, shape, int(expected), **options)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.colors import color_ramp, hex_color, palette_color
-from ..functions.geometry import atlas_position, patch_grid, short_side_size
+from ..functions.geometry import patch_grid, short_side_size
 from ..functions.vectors import softmax
 from ..operators import agreement, heatmaps, losses
 from ..operators import similarity as ops
@@ -214,17 +214,13 @@ def slot_palette(spark, sf):
 @query(
     "atlas_layout",
     v.with_views("patches", extra=AFFINITY)
-    + f"""SELECT video, frame, (patch // {v.GRID_W}) * {v.GRID_H} + (i - 1) // {v.GRID_W} AS atlas_y,
-    (patch % {v.GRID_W}) * {v.GRID_W} + (i - 1) % {v.GRID_W} AS atlas_x, {s6('affinity[i]')} AS value
-    FROM aff, range(1, {v.PATCHES + 1}) r(i)""",
+    + f"""SELECT video, frame, (patch // {v.GRID_W}) * {v.GRID_H} AS tile_y, (patch % {v.GRID_W}) * {v.GRID_W} AS tile_x,
+    {smicros('affinity')} AS tile FROM aff""",
 )
 def atlas_layout(spark, sf):
-    """Atlas pixel of every heat value."""
-    y, x = atlas_position("patch", "target", v.GRID_H, v.GRID_W)
-    cells = ops.affinity(v.patches(spark, sf)).select(
-        "video", "frame", "patch", F.posexplode("affinity").alias("target", "value")
-    )
-    return cells.select("video", "frame", y.alias("atlas_y"), x.alias("atlas_x"), r6(F.col("value")).alias("value"))
+    """Heat values as atlas tiles."""
+    tiles = heatmaps.atlas_tiles(ops.affinity(v.patches(spark, sf)), "affinity", (v.GRID_H, v.GRID_W))
+    return tiles.withColumn("tile", micros("tile"))
 
 
 @query(

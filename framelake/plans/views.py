@@ -15,6 +15,7 @@ from ..operators.masks import soft_array_to_hard
 from ..operators.mixing import mixed_union
 from ..operators.numbering import dense_index
 from ..operators.splits import split_by_fraction
+from ..session import materialize
 from ..sources.synthetic import square_images
 
 SEED = 42
@@ -121,6 +122,14 @@ def mixed_splits(spark: SparkSession, sf: str) -> DataFrame:
     return split_by_fraction(mixed_episodes(spark, sf), VAL, TEST, SEED, ["dataset_index"])
 
 
+def episode_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Length, split and frame range of every episode: the planning table of a cache run.
+
+    It has one row per episode and several readers, so it is computed once.
+    """
+    return materialize(episode_offsets(mixed_splits(spark, sf), ["dataset_index"]))
+
+
 def mixed_turns(spark: SparkSession, sf: str) -> DataFrame:
     return mixed_union([turns_a(spark, sf), turns_b(spark, sf)])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "framelake") -> SparkSession:
@@ -42,3 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="framelake-checkpoint-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes a small planning table to the checkpoint folder, so that its readers do not repeat it.
+
+    The files outlive executors; the lineage ends at them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

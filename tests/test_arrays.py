@@ -111,6 +111,15 @@ def test_relative_scale_of_flat_rows(spark):
     assert (row["flat"], row["zero"], row["fixed"]) == ([0.5, 0.5], [0.5, 0.5], [1.0, 0.5])
 
 
+def test_atlas(spark):
+    rows = spark.createDataFrame([(0, 0, 4, [0.0, 0.5, 1.0, 0.0, 0.0, 1.0])], "video long, frame long, patch long, t array<double>")
+    tile = heatmaps.atlas_tiles(rows, "t", (2, 3), "prediction").first()
+    assert (tile["tile_y"], tile["tile_x"]) == (2, 3)
+    assert tuple(tile["tile"][0]) == (19, 60, 85) and tuple(tile["tile"][2]) == (214, 95, 66)
+    y, x = geometry.atlas_position(F.lit(4), F.lit(5), 2, 3)
+    assert tuple(spark.range(1).select(y, x).first()) == (3, 5)
+
+
 def test_colors(spark):
     palette = spark.range(4).select(colors.hex_color(colors.palette_color(F.col("id"))).alias("c"))
     assert [r["c"] for r in palette.collect()] == ["#000000", "#800000", "#008000", "#808000"]

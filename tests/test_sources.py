@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import projections, sampling
 from framelake.operators.numbering import dense_index, int_bucket
-from framelake.plans import pipelines, views
+from framelake.plans import jobs, views
 from framelake.sources import cache_store, files, metadata, synthetic, tar_shards
 
 CAMERA = "observation.images.image"
@@ -214,7 +214,7 @@ def predict_ids(batch):
 
 def test_cache_round_trip(spark, tmp_path, cache_inputs):
     path = str(tmp_path / "cache")
-    build = lambda **kw: pipelines.build_feature_cache(
+    build = lambda **kw: jobs.build_feature_cache(
         *cache_inputs, predict_ids, path, (2, 3), num_frames=2, val_fraction=0.25, test_fraction=0.25, target_mb=0.0001, **kw
     )
     build(dtype="float32")
@@ -244,7 +244,7 @@ def test_cache_round_trip(spark, tmp_path, cache_inputs):
 def test_incomplete_cache_is_refused(spark, tmp_path, cache_inputs):
     path = str(tmp_path / "cache")
     with pytest.raises(Exception, match="feature shape"):
-        pipelines.build_feature_cache(*cache_inputs, predict_ids, path, (9, 3), num_frames=2)
+        jobs.build_feature_cache(*cache_inputs, predict_ids, path, (9, 3), num_frames=2)
     with pytest.raises(ValueError, match="incomplete"):
         cache_store.FeatureCache(spark, path)
     with pytest.raises(FileNotFoundError):
@@ -252,7 +252,7 @@ def test_incomplete_cache_is_refused(spark, tmp_path, cache_inputs):
 
 
 def test_evaluation_pipelines(spark, sf):
-    scores = pipelines.evaluate_masks(views.true_mask(spark, sf), views.pred_mask(spark, sf)).collect()
+    scores = jobs.evaluate_masks(views.true_mask(spark, sf), views.pred_mask(spark, sf)).collect()
     assert {r["metric"] for r in scores} == {"video_ari", "video_mbo"}
-    report = pipelines.measure_agreement(views.patches(spark, sf), views.logits(spark, sf), use_softmax=True, temperature=0.1)
+    report = jobs.measure_agreement(views.patches(spark, sf), views.logits(spark, sf), use_softmax=True, temperature=0.1)
     assert report.columns == list(files.REPORT_COLUMNS) and report.count() == 5
