@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .integers import div
+
 
 def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value) if isinstance(value, str) else F.lit(value)
@@ -60,6 +62,6 @@ def boundary_dilation(height: int, width: int, ratio: float = 0.02) -> int:
 def atlas_position(source, target, grid_h: int, grid_w: int) -> tuple[Column, Column]:
     """(atlas_y, atlas_x) of one (source patch, target patch) value."""
     s, t = _col(source), _col(target)
-    row = F.floor(s / grid_w) * grid_h + F.floor(t / grid_w)
+    row = div(s, grid_w) * grid_h + div(t, grid_w)
     column = F.pmod(s, F.lit(grid_w)) * grid_w + F.pmod(t, F.lit(grid_w))
     return row.cast("long"), column.cast("long")

@@ -13,15 +13,19 @@ def seeded_digest(seed, *keys) -> Column:
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
+# 52 bits fill a double's mantissa, so even a table of trillions of rows is reached evenly.
+HEX_DIGITS, SPAN = 13, 4503599627370496.0
+
+
 def hash_bits(seed, *keys, offset: int = 0) -> Column:
-    """32 bits of the digest as a non-negative long; `offset` 0..3 picks the word."""
-    word = F.substring(seeded_digest(seed, *keys), 1 + 8 * offset, 8)
-    return F.conv(word, 16, 10).cast("long")
+    """52 bits of the digest as a non-negative long; `offset` gives independent draws of a key."""
+    tag = f"{seed}/{offset}" if offset else seed
+    return F.conv(F.substring(seeded_digest(tag, *keys), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
 def hash_uniform(seed, *keys, offset: int = 0) -> Column:
     """Uniform double in [0, 1)."""
-    return hash_bits(seed, *keys, offset=offset) / F.lit(4294967296.0)
+    return hash_bits(seed, *keys, offset=offset) / F.lit(SPAN)
 
 
 def hash_bucket(digest: Column, hex_digits: int = 3) -> Column:

@@ -8,13 +8,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .integers import div
+
 _FIELD = re.compile(r"\{(\w+)(?::0?(\d+)d)?\}")
 _RANGE = re.compile(r"\{(\d+)\.\.(\d+)\}")
 
 
 def episode_path(template: str, episode: Column, chunks_size: int = 1000, video_key: str | None = None) -> Column:
     """Path of an episode file from a template with episode_chunk, chunk_index, file_index, episode_index, video_key."""
-    chunk = F.floor(episode / chunks_size).cast("long")
+    chunk = div(episode, chunks_size)
     values = {
         "episode_chunk": chunk,
         "chunk_index": chunk,

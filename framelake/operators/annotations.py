@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
 from .numbering import dense_index, int_bucket
 
 
@@ -183,7 +184,7 @@ def rle_decode(df: DataFrame, keys: Sequence[str], height: Column, counts: str =
     return runs.select(*keys, "__h", pixel.alias("__p")).select(
         *keys,
         F.pmod("__p", "__h").cast("long").alias("y"),
-        F.floor(F.col("__p") / F.col("__h")).cast("long").alias("x"),
+        div("__p", "__h").alias("x"),
     )
 
 

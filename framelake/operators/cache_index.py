@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
 from ..functions.vectors import array_sum, let
 from ..schemas import CACHE_INDEX
 
@@ -29,7 +30,7 @@ def shard_layout(rows: DataFrame, per_shard: int, total: Column, row_id: str = "
 
     Row ids are dense, so every value is arithmetic on the id: no window, no shuffle.
     """
-    shard = F.floor(F.col(row_id) / per_shard).cast("long")
+    shard = div(row_id, per_shard)
     return (
         rows.withColumn("shard_id", shard)
         .withColumn("shard_path", F.format_string("features/shard_id=%d", F.col("shard_id")))
@@ -54,7 +55,7 @@ def sorted_index(fragments: DataFrame, total: Column, n_partitions: int = 200) -
     missing = [f.name for f in CACHE_INDEX.fields if f.name not in fragments.columns]
     if missing:
         raise ValueError(f"index fragments are missing fields: {missing}")
-    spot = F.floor(F.col("row_id") * n_partitions / total).cast("int")
+    spot = div(F.col("row_id") * n_partitions, total).cast("int")
     ranged = F.greatest(F.lit(0), F.least(spot, F.lit(n_partitions - 1)))
     return fragments.repartitionById(n_partitions, ranged).sortWithinPartitions("row_id")
 

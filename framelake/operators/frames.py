@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center_offset
+from ..functions.integers import div
 
 # Channel statistics of the usual image normalisation.
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
@@ -113,7 +114,7 @@ def patchify(pixels: DataFrame, keys: Sequence[str], patch_size: int, width: int
     A group is one patch: patch_size squared times the channels.
     """
     p = patch_size
-    patch = F.floor(F.col("y") / p) * (width // p) + F.floor(F.col("x") / p)
+    patch = div("y", p) * (width // p) + div("x", p)
     place = F.struct(
         F.pmod("y", F.lit(p)).alias("dy"), F.pmod("x", F.lit(p)).alias("dx"), "channel", F.col(value).alias("v")
     )

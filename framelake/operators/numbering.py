@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
+
 # A partition key with more rows than this is cut into buckets.
 HOT_ROWS = 1_000_000
 # Cuts every key, without looking for hot ones.
@@ -119,4 +121,4 @@ def dense_index(
 
 def int_bucket(column: str, width: int = 65536) -> Column:
     """Bucket of an integer key; with unique keys it never holds more than `width` rows."""
-    return F.floor(F.col(column) / width).cast("long")
+    return div(column, width)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bits, hash_uniform
+from ..functions.integers import div
 
 PADDING = "PADDING"
 
@@ -18,10 +19,10 @@ def split_to_chunks(frames: DataFrame, chunk_size: int, key: str = "key") -> Dat
     Needs frame_index and the sequence `length` on every row, so chunking is a
     projection and a filter. Columns that are not per frame simply repeat.
     """
-    chunk = F.floor(F.col("frame_index") / chunk_size).cast("long")
+    chunk = div("frame_index", chunk_size)
     return (
         frames.withColumn("chunk", chunk)
-        .filter(F.col("chunk") < F.floor(F.col("length") / chunk_size))
+        .filter(F.col("chunk") < div("length", chunk_size))
         .withColumn("frame_in_chunk", F.pmod("frame_index", F.lit(chunk_size)).cast("long"))
         .withColumn("chunk_key", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk").cast("string")))
     )
@@ -33,7 +34,7 @@ def one_chunk_per_video(chunked: DataFrame, key: str, chunk_size: int, seed: int
     The chunk number is computed from the key and length alone, so nothing is
     grouped or ranked.
     """
-    n_chunks = F.floor(F.col("length") / chunk_size)
+    n_chunks = div("length", chunk_size)
     return chunked.filter(F.col("chunk") == F.floor(hash_uniform(seed, key) * n_chunks))
 
 
@@ -48,7 +49,7 @@ def expected_sample_counts(n_samples: Column, video_size: int | None, chunk_size
         return n_samples.cast("long")
     if video_size is None:
         return F.lit(None).cast("long")
-    return F.floor(n_samples * video_size / chunk_size).cast("long")
+    return div(n_samples * video_size, chunk_size)
 
 
 def round_robin_shards(rows: DataFrame, world_size: int, index: str = "row_id") -> DataFrame:
@@ -56,20 +57,20 @@ def round_robin_shards(rows: DataFrame, world_size: int, index: str = "row_id")
     if world_size <= 0:
         raise ValueError("world size must be positive")
     return rows.withColumn("rank", F.pmod(index, F.lit(world_size)).cast("long")).withColumn(
-        "position", F.floor(F.col(index) / world_size).cast("long")
+        "position", div(index, world_size)
     )
 
 
 def shard_length(total: Column, rank: Column, world_size: int) -> Column:
-    return F.greatest(F.floor((total - 1 - rank) / world_size) + 1, F.lit(0)).cast("long")
+    return div(F.greatest(total - rank + (world_size - 1), F.lit(0)), world_size)
 
 
 def assign_batches(rows: DataFrame, batch_size: int, total: Column, drop_last: bool, index: str = "row_id") -> DataFrame:
     """Adds batch and slot from a dense index; `drop_last` removes an incomplete last batch."""
-    out = rows.withColumn("batch", F.floor(F.col(index) / batch_size).cast("long")).withColumn(
+    out = rows.withColumn("batch", div(index, batch_size)).withColumn(
         "slot", F.pmod(index, F.lit(batch_size)).cast("long")
     )
-    return out.filter(F.col("batch") < F.floor(total / batch_size)) if drop_last else out
+    return out.filter(F.col("batch") < div(total, batch_size)) if drop_last else out
 
 
 def batches_per_epoch(n_samples: Column, batch_size: int, n_nodes: int = 1, partial: bool = False) -> Column:
@@ -92,7 +93,7 @@ def epoch_repeat(rows: DataFrame, total: Column, n_out: Column, index: str = "ro
 def assign_shards(rows: DataFrame, maxcount: int, pattern: str = "shard-%06d.tar", index: str = "row_id") -> DataFrame:
     """Adds shard_id, the position in the shard and the file name; at most `maxcount` rows each."""
     return (
-        rows.withColumn("shard_id", F.floor(F.col(index) / maxcount).cast("long"))
+        rows.withColumn("shard_id", div(index, maxcount))
         .withColumn("shard_pos", F.pmod(index, F.lit(maxcount)).cast("long"))
         .withColumn("shard_file", F.format_string(pattern, F.col("shard_id")))
     )
@@ -111,7 +112,7 @@ def max_samples_per_worker(n_samples: Column, n_shards: Column, n_nodes: int, n_
 
 def shard_balance(sizes: DataFrame, n_nodes: int, n_workers: int, keys: Sequence[str] = ("split",)) -> DataFrame:
     """Per split: shards, samples, the per-worker bound, and whether nodes and workers fit."""
-    per_node = F.floor(F.col("n_shards") / n_nodes)
+    per_node = div("n_shards", n_nodes)
     return (
         sizes.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_shards"), F.sum("n_samples").alias("n_samples"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.integers import div
 from ..functions.vectors import as_doubles, l2_normalize, softmax
 
 
@@ -54,7 +55,7 @@ def affinity(
     """
     values = l2_normalize(vector) if normalize else as_doubles(vector)
     base = features.select("video", "frame", "patch", values.alias("v"))
-    source = _stack(base.withColumn("block", F.floor(F.col("patch") / block)), ["video", "frame", "block"], "v", "source")
+    source = _stack(base.withColumn("block", div("patch", block)), ["video", "frame", "block"], "v", "source")
     target = _stack(base.withColumn("frame", F.col("frame") - time_shift), ["video", "frame"], "v", "target")
     n_target = F.size("target_patches")
     product = source.join(target, ["video", "frame"]).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
 from ..operators import annotations as ops
 from ..operators.numbering import int_bucket
 from . import views as v
@@ -64,7 +65,7 @@ def expand_video_annotations(spark, sf):
     annotation = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("annotation_id")
     videos = v.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("video_id"),
-        F.floor(F.length("o_orderpriority") / 4).cast("long").alias("length"),
+        div(F.length("o_orderpriority"), 4).alias("length"),
     )
     instances = lines.select(
         F.col("l_orderkey").alias("video_id"),

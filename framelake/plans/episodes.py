@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
 from ..functions.paths import episode_path
 from ..operators import episodes as ops
 from ..operators import mixing, splits
@@ -313,7 +314,7 @@ def episode_list_checks(spark, sf):
     lists = v.table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("split"), F.col("l_partkey").alias("episode_index")
     )
-    total = v.table(spark, sf, "part").agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
+    total = v.table(spark, sf, "part").agg(div(F.count(F.lit(1)), 2)).scalar()
     return splits.episode_list_checks(lists, total)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
 from ..functions.nested import json_path, read_path
 from ..operators import projections as ops
 from ..operators.numbering import dense_index, int_bucket
@@ -119,7 +120,7 @@ def padded_samples(spark, sf):
     dealt = labels.select(
         F.col("doc_id").cast("string").alias("key"), "quality", F.pmod("row_id", F.lit(8)).alias("worker")
     )
-    size = v.table(spark, sf, "labels").agg(F.floor((F.count(F.lit(1)) + 7) / 8) + 2).scalar()
+    size = v.table(spark, sf, "labels").agg(div(F.count(F.lit(1)) + 7, 8) + 2).scalar()
     return pad_to_size(dealt, size)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
 from ..operators import sampling as ops
 from ..operators.numbering import dense_index, int_bucket
 from . import views as v
@@ -77,7 +78,7 @@ def expected_sample_counts(spark, sf):
         ops.expected_sample_counts(n, v.FRAMES, 2).alias("expected_chunks"),
         ops.expected_sample_counts(n, v.FRAMES, 1).alias("expected_frames"),
         ops.expected_sample_counts(n, v.FRAMES, 2, one_chunk=True).alias("expected_one_chunk"),
-        F.sum(F.floor(F.col("size") / 2)).alias("actual_chunks"),
+        F.sum(div("size", 2)).alias("actual_chunks"),
         F.sum("size").alias("actual_frames"),
     )
 
@@ -142,7 +143,7 @@ def shard_assign_maxcount(spark, sf):
 @query(
     "resampled_shards",
     f"""WITH {NUMBERED}, n AS (SELECT CAST(ceil(count(*) / 32) AS BIGINT) AS n_shards FROM documents),
-    draws AS (SELECT event_id AS draw, ('0x' || substr(md5('17:' || event_id), 1, 8))::BIGINT % n_shards AS shard_id FROM events, n)
+    draws AS (SELECT event_id AS draw, ('0x' || substr(md5('17:' || event_id), 1, 13))::BIGINT % n_shards AS shard_id FROM events, n)
     SELECT shard_id, count(*) AS n_draws, (SELECT count(*) FROM numbered WHERE row_id // 32 = shard_id) AS shard_rows
     FROM draws GROUP BY shard_id""",
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.integers import div
 from ..functions.vectors import as_doubles
 from ..operators.episodes import episode_offsets
 from ..operators.masks import soft_array_to_hard
@@ -163,8 +164,8 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vec_id")
     per_video = PATCHES * FRAMES
     return table(spark, sf, "embeddings").select(
-        F.floor(v / per_video).cast("long").alias("video"),
-        F.floor(F.pmod(v, F.lit(per_video)) / PATCHES).cast("long").alias("frame"),
+        div(v, per_video).alias("video"),
+        div(F.pmod(v, F.lit(per_video)), PATCHES).alias("frame"),
         F.pmod(v, F.lit(PATCHES)).cast("long").alias("patch"),
         F.col("embedding").alias("feature"),
         F.col("label").cast("long").alias("label"),
@@ -179,7 +180,7 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid_yx():
     return (
-        F.floor(F.col("patch") / GRID_W).cast("long").alias("y"),
+        div("patch", GRID_W).alias("y"),
         F.pmod("patch", F.lit(GRID_W)).cast("long").alias("x"),
     )
 
@@ -244,8 +245,8 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def uniform_sql(seed, key: str, word: int = 0) -> str:
-    digest = f"md5('{seed}:' || {key})"
-    return f"(('0x' || substr({digest}, {1 + 8 * word}, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    tag = f"{seed}/{word}" if word else seed
+    return f"(('0x' || substr(md5('{tag}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
