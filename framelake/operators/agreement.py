@@ -37,10 +37,8 @@ def _floored(x: Column) -> Column:
 
 def row_statistics(rows: DataFrame) -> DataFrame:
     """One set of sums, maxima and positions per source patch."""
-    out = rows.withColumn("n", F.size("target").cast("long"))
-    for name, (left, right) in PAIRS.items():
-        gap = F.zip_with(left, right, lambda a, b: b - a)
-        out = out.withColumn(f"__{name}", gap)
+    gaps = {f"__{name}": F.zip_with(a, b, lambda x, y: y - x) for name, (a, b) in PAIRS.items()}
+    out = rows.withColumns({"n": F.size("target").cast("long"), **gaps})
     stats: dict[str, Column] = {}
     for name in PAIRS:
         gap = F.col(f"__{name}")

@@ -17,16 +17,23 @@ def soft_to_hard(
     value: str = "value",
     threshold: float | None = None,
     strict: bool = True,
+    n_slots: int | None = None,
 ) -> DataFrame:
     """(point, class): the slot with the largest value, the lowest slot on ties.
 
     With a threshold, values become 0/1 first. A value outside [0, 1] is an error.
+    With the slot count given, each slot gets its own plain maximum, so the
+    aggregation is hashed; without it the pair (value, slot) is compared, which sorts.
     """
     v = F.col(value)
     if strict:
         v = F.when((v >= 0) & (v <= 1), v).otherwise(F.raise_error(F.lit("mask value outside [0, 1]")))
     if threshold is not None:
         v = (v > threshold).cast("int")
+    if n_slots is not None:
+        per_slot = [F.max(F.when(F.col(slot) == i, v)).alias(f"__s{i}") for i in range(n_slots)]
+        table = F.array(*[F.col(f"__s{i}") for i in range(n_slots)])
+        return soft.groupBy(*point).agg(*per_slot).select(*point, soft_array_to_hard(table).alias("class"))
     best = F.max(F.struct(v.alias("v"), (-F.col(slot)).alias("s")))
     return soft.groupBy(*point).agg(best.alias("__best")).select(
         *point, (-F.col("__best.s")).cast("long").alias("class")
@@ -113,7 +120,8 @@ def require_valid(report: DataFrame) -> DataFrame:
 
 def overlap_points(true: DataFrame, keys: Sequence[str], cls: str = "class") -> DataFrame:
     """Points that more than one true class claims."""
-    return true.groupBy(*keys).agg(F.count_distinct(cls).alias("__n")).filter("__n > 1").select(*keys)
+    ends = true.groupBy(*keys).agg(F.min(cls).alias("__low"), F.max(cls).alias("__high"))
+    return ends.filter("__low <> __high").select(*keys)
 
 
 def drop_overlaps(

@@ -1,7 +1,9 @@
 """Clustering and segmentation scores from pixel tables.
 
-Pixels meet once, in an equi join on (sample, point); everything after that works
-on per-class-pair counts, which map-side aggregation already shrinks.
+All pixel work is one shuffle: true and predicted rows are united and folded per
+point, which yields the classes of the point and shows overlaps at the same time.
+The next aggregation leaves class-pair counts per sample (cells), which map-side
+aggregation already shrinks; totals, background removal and scores use only those.
 Class pairs without a shared point are left out: their overlap is zero.
 """
 
@@ -12,38 +14,82 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .masks import drop_background, drop_overlaps, mask_boundaries
+from .masks import drop_overlaps, mask_boundaries
 from .matching import match_optimal
 
 TRUE, PRED = "true_class", "pred_class"
+BACKGROUND = 0
 
 
 def ratio(numerator: Column, denominator: Column, empty: float = 0.0) -> Column:
     return F.when(denominator != 0, numerator / denominator).otherwise(F.lit(float(empty)))
 
 
-def contingency(
-    true: DataFrame, pred: DataFrame, sample: Sequence[str], point: Sequence[str], cls: str = "class"
+def class_cells(
+    true: DataFrame,
+    pred: DataFrame,
+    sample: Sequence[str],
+    point: Sequence[str],
+    cls: str = "class",
+    ignore_overlaps: bool = False,
+    overlaps_leave_pred: bool = False,
 ) -> DataFrame:
-    """(sample, true_class, pred_class, n): points that a true and a predicted class share."""
+    """(sample, true_class, pred_class, n, labelled): points per class pair, null where a side has none.
+
+    `labelled` says whether the cell has points with a true class, overlapping ones
+    included. Overlapping true classes fail the job, or, when ignored, leave the truth
+    and with `overlaps_leave_pred` the prediction too. So does a point with two
+    predicted classes.
+    """
     keys = [*sample, *point]
-    left = true.select(*keys, F.col(cls).alias(TRUE))
-    right = pred.select(*keys, F.col(cls).alias(PRED))
-    return left.join(right, keys).groupBy(*sample, TRUE, PRED).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast(true.schema[cls].dataType)
+    sides = true.select(*keys, F.col(cls).alias("__t"), none.alias("__p")).unionByName(
+        pred.select(*keys, none.alias("__t"), F.col(cls).alias("__p"))
+    )
+    points = sides.groupBy(*keys).agg(
+        F.max("__t").alias("__t"), F.max("__p").alias("__p"), F.count("__t").alias("__n_t"), F.count("__p").alias("__n_p")
+    )
+    overlap, nothing = F.col("__n_t") > 1, F.lit(None)
+    true_class = F.when(~overlap, F.col("__t")).otherwise(
+        nothing if ignore_overlaps else F.raise_error(F.lit("true classes overlap"))
+    )
+    pred_class = F.when(F.col("__n_p") > 1, F.raise_error(F.lit("predicted classes overlap")))
+    if ignore_overlaps and overlaps_leave_pred:
+        pred_class = pred_class.when(overlap, nothing)
+    return (
+        points.withColumns({TRUE: true_class, PRED: pred_class.otherwise(F.col("__p"))})
+        .groupBy(*sample, TRUE, PRED)
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.col("__n_t") > 0).alias("labelled"))
+    )
 
 
-def class_totals(mask: DataFrame, sample: Sequence[str], name: str, cls: str = "class") -> DataFrame:
-    return mask.groupBy(*sample, F.col(cls).alias(name)).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+def shared(cells: DataFrame, ignore_background: bool = False) -> DataFrame:
+    """Cells with both classes, without the background class on request."""
+    both = cells.filter(F.col(TRUE).isNotNull() & F.col(PRED).isNotNull())
+    return both.filter(F.col(TRUE) != BACKGROUND) if ignore_background else both
 
 
-def confusion(
+def class_totals(cells: DataFrame, sample: Sequence[str], name: str, ignore_background: bool = False) -> DataFrame:
+    """(sample, class, total) of one side; predicted points on background count."""
+    kept = cells.filter(F.col(name).isNotNull())
+    if ignore_background and name == TRUE:
+        kept = kept.filter(F.col(TRUE) != BACKGROUND)
+    return kept.groupBy(*sample, name).agg(F.sum("n").alias(f"n_{name}"))
+
+
+def contingency(
     true: DataFrame, pred: DataFrame, sample: Sequence[str], point: Sequence[str], cls: str = "class"
 ) -> DataFrame:
+    """(sample, true_class, pred_class, n): points that a true and a predicted class share."""
+    return shared(class_cells(true, pred, sample, point, cls)).drop("labelled")
+
+
+def confusion_of(cells: DataFrame, sample: Sequence[str], ignore_background: bool = False) -> DataFrame:
     """(sample, true_class, pred_class, tp, fp, fn) for every pair with tp > 0."""
-    cells = contingency(true, pred, sample, point, cls)
     return (
-        cells.join(class_totals(true, sample, TRUE, cls), [*sample, TRUE])
-        .join(class_totals(pred, sample, PRED, cls), [*sample, PRED])
+        shared(cells, ignore_background)
+        .join(class_totals(cells, sample, TRUE, ignore_background), [*sample, TRUE])
+        .join(class_totals(cells, sample, PRED), [*sample, PRED])
         .select(
             *sample,
             TRUE,
@@ -55,6 +101,12 @@ def confusion(
     )
 
 
+def confusion(
+    true: DataFrame, pred: DataFrame, sample: Sequence[str], point: Sequence[str], cls: str = "class"
+) -> DataFrame:
+    return confusion_of(class_cells(true, pred, sample, point, cls), sample)
+
+
 def adjusted_rand_index(
     true: DataFrame,
     pred: DataFrame,
@@ -66,29 +118,28 @@ def adjusted_rand_index(
 ) -> DataFrame:
     """(sample, ari) for every sample with any true pixel; 1.0 when the index is undefined.
 
-    Samples are taken before background and overlaps are removed, so one that holds
+    Samples count before background and overlaps are removed, so one that holds
     nothing else scores 1.0.
     """
-    scored = true.select(*sample).distinct()
-    if ignore_overlaps:
-        true, pred = drop_overlaps(true, pred, [*sample, *point], from_pred=False, cls=cls)
-    if ignore_background:
-        true = drop_background(true, cls)
-    cells = contingency(true, pred, sample, point, cls).withColumn("n", F.col("n").cast("double"))
+    cells = class_cells(true, pred, sample, point, cls, ignore_overlaps)
+    scored = cells.groupBy(*sample).agg(F.max("labelled").alias("labelled")).filter("labelled").drop("labelled")
+    both = shared(cells, ignore_background).withColumn("n", F.col("n").cast("double"))
 
     def pairs_in(column: Column) -> Column:
         return column * (column - 1)
 
-    rows = cells.groupBy(*sample, TRUE).agg(
-        F.sum("n").alias("row_n"), F.sum(pairs_in(F.col("n"))).alias("row_cells")
-    )
-    by_true = rows.groupBy(*sample).agg(
-        F.sum("row_n").alias("points"),
-        F.sum("row_cells").alias("same_both"),
-        F.sum(pairs_in(F.col("row_n"))).alias("same_true"),
+    by_true = (
+        both.groupBy(*sample, TRUE)
+        .agg(F.sum("n").alias("row_n"), F.sum(pairs_in(F.col("n"))).alias("row_cells"))
+        .groupBy(*sample)
+        .agg(
+            F.sum("row_n").alias("points"),
+            F.sum("row_cells").alias("same_both"),
+            F.sum(pairs_in(F.col("row_n"))).alias("same_true"),
+        )
     )
     by_pred = (
-        cells.groupBy(*sample, PRED)
+        both.groupBy(*sample, PRED)
         .agg(F.sum("n").alias("col_n"))
         .groupBy(*sample)
         .agg(F.sum(pairs_in(F.col("col_n"))).alias("same_pred"))
@@ -130,13 +181,16 @@ def matched_iou(
     matching: str,
     cls: str = "class",
     n_classes: tuple[int, int] | None = None,
+    ignore_background: bool = False,
+    ignore_overlaps: bool = False,
 ) -> DataFrame:
     """(sample, true_class, iou) of every true class that occurs, under one matching.
 
     none: the predicted class with the same index (equal class counts, when given);
     overlap: the best predicted class; optimal: one-to-one with the largest total.
     """
-    ious = pairwise_iou(confusion(true, pred, sample, point, cls))
+    cells = class_cells(true, pred, sample, point, cls, ignore_overlaps, overlaps_leave_pred=True)
+    ious = pairwise_iou(confusion_of(cells, sample, ignore_background))
     if matching == "none":
         if n_classes is not None and n_classes[0] != n_classes[1]:
             raise ValueError(f"class counts differ: {n_classes[0]} and {n_classes[1]}")
@@ -147,7 +201,7 @@ def matched_iou(
         chosen = match_optimal(ious, sample, "iou").select(*sample, TRUE, "iou")
     else:
         raise ValueError(f"unknown matching {matching}")
-    classes = true.select(*sample, F.col(cls).alias(TRUE)).distinct()
+    classes = class_totals(cells, sample, TRUE, ignore_background).select(*sample, TRUE)
     return classes.join(chosen, [*sample, TRUE], "left").fillna(0.0, ["iou"])
 
 
@@ -166,14 +220,11 @@ def mean_iou(
     A sample without such a class has no row. Predicted pixels on removed background
     still count in the union.
     """
-    if ignore_overlaps:
-        true, pred = drop_overlaps(true, pred, [*sample, *point], from_pred=True, cls=cls)
-    if ignore_background:
-        true = drop_background(true, cls)
-    return (
-        matched_iou(true, pred, sample, point, matching, cls)
-        .groupBy(*sample)
-        .agg(F.count(F.lit(1)).alias("n_classes"), F.avg("iou").alias("mean_iou"))
+    matched = matched_iou(
+        true, pred, sample, point, matching, cls, None, ignore_background, ignore_overlaps
+    )
+    return matched.groupBy(*sample).agg(
+        F.count(F.lit(1)).alias("n_classes"), F.avg("iou").alias("mean_iou")
     )
 
 
@@ -184,18 +235,14 @@ def boundary_f_measure(
     height: int,
     width: int,
     cls: str = "class",
+    ignore_background: bool = False,
 ) -> DataFrame:
     """Pairwise precision, recall and F of the mask boundaries; masks carry y, x and class."""
     keys = [*frame, cls]
-    return pairwise_f_measure(
-        confusion(
-            mask_boundaries(true, keys, height, width),
-            mask_boundaries(pred, keys, height, width),
-            frame,
-            ["y", "x"],
-            cls,
-        )
+    edges = class_cells(
+        mask_boundaries(true, keys, height, width), mask_boundaries(pred, keys, height, width), frame, ["y", "x"], cls
     )
+    return pairwise_f_measure(confusion_of(edges, frame, ignore_background))
 
 
 def j_and_f(
@@ -219,19 +266,18 @@ def j_and_f(
     if match_by not in ("j_and_f", "jaccard", "f_measure"):
         raise ValueError(f"unknown matching score {match_by}")
     per_frame = [*video, frame]
+    # Every frame counts, also one that loses all its points to overlaps.
     n_frames = pred.groupBy(*video).agg(F.count_distinct(frame).alias("n_frames"))
     if ignore_overlaps:
         true, pred = drop_overlaps(true, pred, [*per_frame, "y", "x"], from_pred=True, cls=cls)
-    if ignore_background:
-        true = drop_background(true, cls)
+    cells = class_cells(true, pred, per_frame, ["y", "x"], cls)
     pair = [*video, TRUE, PRED]
     region = (
-        pairwise_iou(confusion(true, pred, per_frame, ["y", "x"], cls))
-        .groupBy(*pair)
-        .agg(F.sum("iou").alias("j_sum"))
+        pairwise_iou(confusion_of(cells, per_frame, ignore_background)).groupBy(*pair).agg(F.sum("iou").alias("j_sum"))
     )
+    # Each class has its own boundary, so the background's leaves without touching the others.
     contour = (
-        boundary_f_measure(true, pred, per_frame, height, width, cls)
+        boundary_f_measure(true, pred, per_frame, height, width, cls, ignore_background)
         .groupBy(*pair)
         .agg(F.sum("f_measure").alias("f_sum"))
     )
@@ -250,7 +296,9 @@ def j_and_f(
         .groupBy(*video)
         .agg(*[F.sum(c).alias(c) for c in ("jaccard", "f_measure", "j_and_f")])
     )
-    active = true.groupBy(*video).agg(F.count_distinct(cls).alias("n_classes"))
+    active = class_totals(cells, video, TRUE, ignore_background).groupBy(*video).agg(
+        F.count(F.lit(1)).alias("n_classes")
+    )
     return active.join(matched, list(video), "left").select(
         *video,
         "n_classes",

@@ -78,7 +78,7 @@ def soft_to_hard_long(spark, sf):
     soft = v.patches(spark, sf).select(
         "video", "frame", *v.grid_yx(), F.posexplode(v.soft_values()).alias("slot", "value")
     )
-    return masks.soft_to_hard(soft, ["video", "frame", "y", "x"])
+    return masks.soft_to_hard(soft, ["video", "frame", "y", "x"], n_slots=v.SLOTS)
 
 
 @query(

@@ -28,11 +28,13 @@ def square_images(
     the pixels are made.
     """
     limit = int(0.3 * (height + width) / 2)
-    drawn = images
-    for i in range(n_objects):
-        for word, (name, n) in enumerate((("x", width), ("y", height), ("s", limit))):
-            u = hash_uniform(f"{seed}-{i}", key, offset=word)
-            drawn = drawn.withColumn(f"__{name}{i}", F.floor(u * n).cast("long"))
+    drawn = images.withColumns(
+        {
+            f"__{name}{i}": F.floor(hash_uniform(f"{seed}-{i}", key, offset=word) * n).cast("long")
+            for i in range(n_objects)
+            for word, (name, n) in enumerate((("x", width), ("y", height), ("s", limit)))
+        }
+    )
     pixels = _pixels(drawn, height, width)
 
     def inside(i: int):

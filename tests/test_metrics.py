@@ -161,6 +161,16 @@ def test_assignment_equals_brute_force():
         assert sum(gain[r, c] for r, c in pairs) == pytest.approx(best)
 
 
+def test_overlapping_classes_fail_unless_ignored(spark):
+    true, pred = points(spark, [0, 1]), points(spark, [0, 1])
+    twice = true.union(spark.createDataFrame([(0, 0, 0, 1)], true.schema))
+    with pytest.raises(Exception, match="true classes overlap"):
+        metrics.mean_iou(twice, pred, SAMPLE, POINT).collect()
+    with pytest.raises(Exception, match="predicted classes overlap"):
+        metrics.adjusted_rand_index(true, twice, SAMPLE, POINT).collect()
+    assert scores(metrics.mean_iou(twice, pred, SAMPLE, POINT, ignore_overlaps=True), "mean_iou") == [1.0]
+
+
 def test_slot_coverage_includes_absent_slots(spark):
     out = masks.slot_coverage(points(spark, [0, 0, 0, 2]), SAMPLE, 3).orderBy("slot").collect()
     assert [r["coverage"] for r in out] == [0.75, 0.0, 0.25]
@@ -169,6 +179,8 @@ def test_slot_coverage_includes_absent_slots(spark):
 def test_soft_mask_ties_and_range(spark):
     soft = spark.createDataFrame([(0, 0, 0.4), (0, 1, 0.4), (1, 0, 0.1), (1, 1, 0.9)], "p long, slot long, value double")
     assert [r["class"] for r in masks.soft_to_hard(soft, ["p"]).orderBy("p").collect()] == [0, 1]
+    fixed = masks.soft_to_hard(soft, ["p"], n_slots=2)
+    assert [r["class"] for r in fixed.orderBy("p").collect()] == [0, 1]
     bad = spark.createDataFrame([(0, 0, 1.5)], soft.schema)
     with pytest.raises(Exception, match="outside"):
         masks.soft_to_hard(bad, ["p"]).collect()
