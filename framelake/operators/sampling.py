@@ -171,7 +171,8 @@ def exactly_once_check(rows: DataFrame, key: str, expected: int | Column) -> Dat
 def topk_per_row(df: DataFrame, keys: Sequence[str], value: str, tie: str, k: int) -> DataFrame:
     """The k largest values per key, ties by the smaller `tie`; adds rank from 1."""
     window = Window.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(tie))
-    return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def random_flip_flag(seed: int, p: float, *keys: str) -> Column:

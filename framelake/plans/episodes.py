@@ -172,7 +172,9 @@ def join_dataset_info(spark, sf):
 )
 def cache_row_ids(spark, sf):
     rows = ops.cache_row_ids(v.mixed_turns(spark, sf), v.episode_plan(spark, sf))
-    return rows.select("row_id", "split_index", "dataset_index", "episode_index", "frame_index")
+    return rows.select(
+        "row_id", F.col("split_index").cast("int").alias("split_index"), "dataset_index", "episode_index", "frame_index"
+    )
 
 
 @query(

@@ -247,7 +247,7 @@ def patch_grids(spark, sf):
 )
 def short_side_sizes(spark, sf):
     images = v.table(spark, sf, "part").select(
-        "p_partkey", (F.col("p_size") * 10 + 100).alias("h"), (F.length("p_name") * 30 + 50).alias("w")
+        "p_partkey", (F.col("p_size") * 10 + 100).alias("h"), (F.length("p_name") * 30 + 50).cast("long").alias("w")
     )
     return images.select("*", short_side_size("h", "w", 224).alias("s")).select(
         "p_partkey", "h", "w", "s.new_h", "s.new_w"
