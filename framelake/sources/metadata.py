@@ -22,7 +22,8 @@ def read_info(spark: SparkSession, *roots: str) -> DataFrame:
     """One row per dataset root, with `root` and the declared features as a map."""
     paths = [f"{root.rstrip('/')}/meta/info.json" for root in roots]
     info = spark.read.schema(DATASET_INFO).option("multiLine", True).json(paths)
-    root = F.regexp_extract(F.col("_metadata.file_path"), r"^(?:file:)?/*(/.*)/meta/info\.json$", 1)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), r"/meta/info\.json$", "")
+    root = F.regexp_replace(folder, "^file:/+", "/")
     return info.select("*", root.alias("root"))
 
 
