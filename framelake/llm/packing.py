@@ -158,7 +158,7 @@ def plan_places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int
 
 def numbered(pieces: DataFrame, rows: int) -> DataFrame:
     """Adds `nth`, from 0 and dense within each length. No task sorts a whole length."""
-    parts = max(1, rows // ROWS_PER_TASK)
+    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_TASK)
     cut = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     by_length = Window.partitionBy("length").orderBy("part")
