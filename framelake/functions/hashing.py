@@ -28,6 +28,14 @@ def hash_uniform(seed, *keys, offset: int = 0) -> Column:
     return hash_bits(seed, *keys, offset=offset) / F.lit(SPAN)
 
 
-def hash_bucket(digest: Column, hex_digits: int = 3) -> Column:
-    """Leading hex digits of a digest: buckets that follow digest order and fill evenly."""
-    return F.substring(digest, 1, hex_digits)
+# Rows that a bucket of a digest holds on average, up to a factor of 16.
+BUCKET_ROWS = 65536
+
+
+def hash_bucket(digest: Column, rows: Column) -> Column:
+    """Leading hex digits of a digest: buckets that follow digest order and fill evenly.
+
+    `rows` is the number of rows or a bound of it; the digits grow with it.
+    """
+    digits = F.ceil(F.log(16.0, F.greatest(rows, F.lit(BUCKET_ROWS)) / BUCKET_ROWS))
+    return F.substring(digest, F.lit(1), F.greatest(digits, F.lit(1)).cast("int"))

@@ -46,8 +46,8 @@ def feature_shape_ok(features: Column, slots: int, dim: int) -> Column:
     return (F.size(features) == slots) & F.forall(features, lambda slot: F.size(slot) == dim)
 
 
-def sorted_index(fragments: DataFrame, total: Column, n_partitions: int = 200) -> DataFrame:
-    """The index in row order: `n_partitions` equal id ranges, each sorted.
+def sorted_index(fragments: DataFrame, total: int, per_partition: int = 1_000_000) -> DataFrame:
+    """The index in row order: equal id ranges of at most `per_partition` rows, each sorted.
 
     Ids are dense, so a row's range is arithmetic; a sampled range partitioning would
     run the whole upstream plan twice.
@@ -55,7 +55,8 @@ def sorted_index(fragments: DataFrame, total: Column, n_partitions: int = 200) -
     missing = [f.name for f in CACHE_INDEX.fields if f.name not in fragments.columns]
     if missing:
         raise ValueError(f"index fragments are missing fields: {missing}")
-    spot = div(F.col("row_id") * n_partitions, total).cast("int")
+    n_partitions = max(1, -(-total // per_partition))
+    spot = div("row_id", per_partition).cast("int")
     ranged = F.greatest(F.lit(0), F.least(spot, F.lit(n_partitions - 1)))
     return fragments.repartitionById(n_partitions, ranged).sortWithinPartitions("row_id")
 
@@ -68,14 +69,14 @@ CHECKS = (
 
 
 def integrity_report(
-    spark: SparkSession, index: DataFrame, expected: int, shards: DataFrame, top: int = 10, salts: int = 64
+    spark: SparkSession, index: DataFrame, expected: int, shards: DataFrame, top: int = 10
 ) -> DataFrame:
     """(check, n_bad, examples): one row per violated or passed check of an index.
 
     `shards` holds the real content: shard_path, actual_rows, feature_shape.
-    Violations come from three passes (per id, absent ids, per shard) and are counted
-    once; examples are the `top` smallest ids, taken per salt first, so that a check
-    which every row violates is spread over many tasks.
+    Violations come from three passes (per id, absent ids, per shard). Counts are summed
+    in the tasks; examples are the `top` smallest ids, of which each task keeps its own
+    `top` before any row moves, so a check that every row violates is no hot group.
     """
     row = F.col("row_id")
 
@@ -105,17 +106,17 @@ def integrity_report(
     )
     shapes = F.count_distinct("feature_shape") - 1
     violations = by_id.unionByName(absent).unionByName(by_shard)
-    salted = violations.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(salts)))
-    group = Window.partitionBy("check", "salt")
-    counted = (
-        salted.withColumn("k", F.row_number().over(group.orderBy("row_id")))
-        .withColumn("n", F.count(F.lit(1)).over(group))
+    order = Window.partitionBy("check").orderBy("row_id")
+    examples = (
+        violations.withColumn("k", F.row_number().over(order))
         .filter(F.col("k") <= top)
         .groupBy("check")
-        .agg(
-            F.sum(F.when(F.col("k") == 1, F.col("n"))).alias("n_bad"),
-            joined_ids(F.slice(F.array_sort(F.collect_list("row_id")), 1, top)).alias("examples"),
-        )
+        .agg(joined_ids(F.array_sort(F.collect_list("row_id"))).alias("examples"))
+    )
+    counted = (
+        violations.groupBy("check")
+        .agg(F.count(F.lit(1)).alias("n_bad"))
+        .join(examples, "check")
         .unionByName(
             shards.agg(F.greatest(shapes, F.lit(0)).alias("n_bad")).select(
                 F.lit("feature_shape").alias("check"), "n_bad", F.lit("").alias("examples")

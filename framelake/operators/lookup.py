@@ -21,7 +21,9 @@ def lookup_unique_key(
 
     In strict mode a request without exactly one row fails the job.
     """
-    found = requests.join(unique_keys(index, keys, row), list(keys), "left")
+    # only rows of requested keys are grouped
+    wanted = index.join(requests.select(*keys).distinct(), list(keys), "left_semi")
+    found = requests.join(unique_keys(wanted, keys, row), list(keys), "left")
     status = (
         F.when(F.col("copies").isNull(), "missing").when(F.col("copies") > 1, "ambiguous").otherwise("found")
     )

@@ -33,9 +33,13 @@ def class_cells(
     cls: str = "class",
     ignore_overlaps: bool = False,
     overlaps_leave_pred: bool = False,
+    one_pred: bool = True,
 ) -> DataFrame:
     """(sample, true_class, pred_class, n, labelled): points per class pair, null where a side has none.
 
+    A point of the masks needs exactly one predicted class (`one_pred`; boundaries are
+    not whole masks). A row that repeats a point's class fails the job too.
+
     `labelled` says whether the cell has points with a true class, overlapping ones
     included. Overlapping true classes fail the job, or, when ignored, leave the truth
     and with `overlaps_leave_pred` the prediction too. So does a point with two
@@ -47,13 +51,22 @@ def class_cells(
         pred.select(*keys, none.alias("__t"), F.col(cls).alias("__p"))
     )
     points = sides.groupBy(*keys).agg(
-        F.max("__t").alias("__t"), F.max("__p").alias("__p"), F.count("__t").alias("__n_t"), F.count("__p").alias("__n_p")
+        F.max("__t").alias("__t"),
+        F.min("__t").alias("__low"),
+        F.max("__p").alias("__p"),
+        F.count("__t").alias("__n_t"),
+        F.count("__p").alias("__n_p"),
     )
     overlap, nothing = F.col("__n_t") > 1, F.lit(None)
-    true_class = F.when(~overlap, F.col("__t")).otherwise(
+    true_class = F.when(
+        overlap & (F.col("__t") == F.col("__low")), F.raise_error(F.lit("a true class is repeated at a point"))
+    )
+    true_class = true_class.when(~overlap, F.col("__t")).otherwise(
         nothing if ignore_overlaps else F.raise_error(F.lit("true classes overlap"))
     )
     pred_class = F.when(F.col("__n_p") > 1, F.raise_error(F.lit("predicted classes overlap")))
+    if one_pred:
+        pred_class = pred_class.when(F.col("__n_p") == 0, F.raise_error(F.lit("a point has no predicted class")))
     if ignore_overlaps and overlaps_leave_pred:
         pred_class = pred_class.when(overlap, nothing)
     return (
@@ -240,7 +253,12 @@ def boundary_f_measure(
     """Pairwise precision, recall and F of the mask boundaries; masks carry y, x and class."""
     keys = [*frame, cls]
     edges = class_cells(
-        mask_boundaries(true, keys, height, width), mask_boundaries(pred, keys, height, width), frame, ["y", "x"], cls
+        mask_boundaries(true, keys, height, width),
+        mask_boundaries(pred, keys, height, width),
+        frame,
+        ["y", "x"],
+        cls,
+        one_pred=False,
     )
     return pairwise_f_measure(confusion_of(edges, frame, ignore_background))
 

@@ -71,12 +71,16 @@ def weighted_sample(
     sizes = rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("size"))
     # One entry per configured dataset, so the sizes travel as a map and draws are not shuffled for them.
     entries = F.map_from_entries(F.collect_list(F.struct("dataset_index", "size")))
-    size = F.try_element_at(sizes.agg(entries).scalar(), F.col("dataset_index"))
+    known = sizes.agg(entries).scalar()
+    size = F.try_element_at(known, F.col("dataset_index"))
+    # every configured dataset needs rows, whether or not a draw meets it
+    configured = F.array(*[F.lit(i).cast("long") for i in range(len(weights))])
+    filled = F.size(F.array_except(configured, F.map_keys(known))) == 0
     picked = draws.withColumn("dataset_index", weighted_dataset(hash_uniform(seed, "draw"), weights))
     located = picked.withColumn(
         "local_index",
         F.when(
-            size.isNotNull(), F.floor(hash_uniform(seed, "draw", offset=1) * size).cast("long")
+            filled & size.isNotNull(), F.floor(hash_uniform(seed, "draw", offset=1) * size).cast("long")
         ).otherwise(F.raise_error(F.lit("cannot sample from an empty dataset"))),
     )
     return located.join(rows, ["dataset_index", "local_index"])

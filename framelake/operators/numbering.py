@@ -1,10 +1,9 @@
 """Dense numbers and running offsets over whole tables without a one-task window.
 
-Rows are grouped into buckets that follow the requested order. Only the bucket
-totals are chained; the rows themselves are numbered per bucket, so the largest
-task holds one bucket. With a partition of many small keys (per episode) only hot
-keys are cut into buckets, and the others are numbered in one window group each; a
-partition of few large keys (per dataset) passes ALWAYS and is cut throughout.
+Rows are grouped into buckets that follow the requested order, within each
+partition key if there is one. Only the bucket totals are chained; the rows
+themselves are numbered per bucket, so the largest task holds one bucket, whatever
+share of the rows a key has.
 """
 
 from __future__ import annotations
@@ -16,54 +15,20 @@ from pyspark.sql import functions as F
 
 from ..functions.integers import div
 
-# A partition key with more rows than this is cut into buckets.
-HOT_ROWS = 1_000_000
-# Cuts every key, without looking for hot ones.
-ALWAYS = 0
-# At most this many keys are cut. Any other key holds less than a thousandth of the rows.
-HOT_KEYS = 1_000
-
 _BUCKET, _BASE = "__bucket", "__base"
 
 
-def _is_hot(df: DataFrame, partition: Sequence[str], hot_rows: int) -> Column:
-    """Whether the row's key is hot; the hot keys arrive as one bounded array."""
-    hot = (
-        df.groupBy(*partition)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > hot_rows)
-        .orderBy(F.col("__rows").desc())
-        .limit(HOT_KEYS)
-        .agg(F.collect_list(F.struct(*partition)))
-    )
-    return F.array_contains(hot.scalar(), F.struct(*partition))
-
-
-def _tag(df: DataFrame, bucket: Column, partition: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their bucket, rows whose buckets need chaining)."""
-    if not partition or hot_rows == ALWAYS:
-        tagged = df.withColumn(_BUCKET, bucket)
-        return tagged, tagged
-    tagged = df.withColumn(_BUCKET, F.when(_is_hot(df, partition, hot_rows), bucket))
-    return tagged, tagged.filter(F.col(_BUCKET).isNotNull())
-
-
 def _bucket_bases(
-    chained: DataFrame, total: Column, partition: Sequence[str], total_out: str | None = None
+    tagged: DataFrame, total: Column, partition: Sequence[str], total_out: str | None = None
 ) -> DataFrame:
     group = Window.partitionBy(*partition)
     window = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    totals = chained.groupBy(*partition, _BUCKET).agg(total.alias("__total"))
+    totals = tagged.groupBy(*partition, _BUCKET).agg(total.alias("__total"))
     if total_out is not None:
         totals = totals.withColumn(total_out, F.sum("__total").over(group))
     return totals.withColumn(_BASE, F.coalesce(F.sum("__total").over(window), F.lit(0))).drop("__total")
 
 
-def _with_base(rows: DataFrame, bases: DataFrame, partition: Sequence[str], whole: bool) -> DataFrame:
-    joined = rows.join(bases, [*partition, _BUCKET], "inner" if whole else "left")
-    return joined.withColumn(_BASE, F.coalesce(_BASE, F.lit(0)))
-
-
 def exclusive_prefix_sum(
     df: DataFrame,
     value: str,
@@ -71,18 +36,18 @@ def exclusive_prefix_sum(
     bucket: Column,
     out: str,
     partition: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds the sum of `value` over all earlier rows; `bucket` must be monotone in `order`."""
-    tagged, chained = _tag(df, bucket, partition, hot_rows)
+    tagged = df.withColumn(_BUCKET, bucket)
     inside = (
         Window.partitionBy(*partition, _BUCKET)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     numbered = tagged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    bases = _bucket_bases(tagged, F.sum(value), partition)
     return (
-        _with_base(numbered, _bucket_bases(chained, F.sum(value), partition), partition, chained is tagged)
+        numbered.join(bases, [*partition, _BUCKET])
         .withColumn(out, F.col(_BASE) + F.col(out))
         .drop(_BUCKET, _BASE)
     )
@@ -94,26 +59,19 @@ def dense_index(
     bucket: Column,
     out: str = "row_id",
     partition: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
     total_out: str | None = None,
 ) -> DataFrame:
     """Adds a dense zero-based index in `order`; `bucket` must be monotone in `order`.
 
-    `total_out` also adds the row count of the partition, which the bucket totals
-    hold; it needs every row in a bucket (no partition, or ALWAYS).
+    `total_out` also adds the row count of the partition, which the bucket totals hold.
+    Rows with a null partition key or bucket belong to no order and are left out.
     """
-    if total_out is not None and partition and hot_rows != ALWAYS:
-        raise ValueError("totals need every key cut into buckets")
-    tagged, chained = _tag(df, bucket, partition, hot_rows)
+    tagged = df.withColumn(_BUCKET, bucket)
     inside = Window.partitionBy(*partition, _BUCKET).orderBy(*order)
     numbered = tagged.withColumn(out, F.row_number().over(inside) - 1)
+    bases = _bucket_bases(tagged, F.count(F.lit(1)), partition, total_out)
     return (
-        _with_base(
-            numbered,
-            _bucket_bases(chained, F.count(F.lit(1)), partition, total_out),
-            partition,
-            chained is tagged,
-        )
+        numbered.join(bases, [*partition, _BUCKET])
         .withColumn(out, (F.col(_BASE) + F.col(out)).cast("long"))
         .drop(_BUCKET, _BASE)
     )

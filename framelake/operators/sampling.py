@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import hash_bits, hash_uniform
 from ..functions.integers import div
@@ -125,25 +126,42 @@ def shard_balance(sizes: DataFrame, n_nodes: int, n_workers: int, keys: Sequence
     )
 
 
+FILLER_RUN = 4096
+
+
+def _filler(kind: T.DataType, example: Column) -> Column:
+    """Filler of a type; arrays take their length from the example."""
+    if isinstance(kind, T.StringType):
+        return F.lit(PADDING)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(example, lambda x: _filler(kind.elementType, x))
+    if isinstance(kind, (T.MapType, T.StructType, T.BinaryType)):
+        return F.lit(None).cast(kind)
+    return F.lit(0).cast(kind)
+
+
 def pad_to_size(rows: DataFrame, size: int | Column, worker: str = "worker") -> DataFrame:
     """Fills each worker's slice up to `size` rows and adds batch_padding_mask.
 
-    Text columns are filled with a marker, numbers with zero, other types with null.
+    Text is filled with a marker, numbers with zero, arrays with as many fillers as the
+    worker's first array holds, other types with null. Filler comes in runs of FILLER_RUN
+    rows, so no array grows with `size`.
     """
     size = F.lit(size) if isinstance(size, int) else size
-    fill = {
-        field.name: F.lit(PADDING)
-        if field.dataType.typeName() == "string"
-        else F.lit(None).cast(field.dataType)
-        if field.dataType.typeName() in ("array", "map", "struct", "binary")
-        else F.lit(0).cast(field.dataType)
-        for field in rows.schema.fields
-        if field.name != worker
-    }
-    missing = rows.groupBy(worker).agg(F.count(F.lit(1)).alias("__n")).withColumn("__need", size - F.col("__n"))
+    fields = [field for field in rows.schema.fields if field.name != worker]
+    arrays = [field.name for field in fields if isinstance(field.dataType, T.ArrayType)]
+    fill = {field.name: _filler(field.dataType, F.col(f"`{field.name}`")) for field in fields}
+    missing = rows.groupBy(worker).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.first(f"`{name}`", ignorenulls=True).alias(name) for name in arrays]
+    )
+    need = (size - F.col("__n")).cast("long")
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__need") - 1, F.lit(FILLER_RUN).cast("long"))).alias("__from")
+    place = F.sequence(F.col("__from"), F.least(F.col("__from") + FILLER_RUN, F.col("__need")) - 1)
     padding = (
-        missing.filter("__need > 0")
-        .select(worker, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__need").cast("long"))))
+        missing.withColumn("__need", need)
+        .filter("__need > 0")
+        .select(worker, *arrays, "__need", run)
+        .withColumn("__place", F.explode(place))
         .select(worker, *[value.alias(name) for name, value in fill.items()])
         .withColumn("batch_padding_mask", F.lit(True))
     )

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, seeded_digest
-from .numbering import ALWAYS, dense_index
+from .numbering import dense_index
+
+
+def row_count(rows: DataFrame) -> Column:
+    return rows.agg(F.count(F.lit(1))).scalar()
 
 
 def split_size(n: Column, fraction: Column) -> Column:
@@ -37,10 +41,9 @@ def split_by_fraction(
     ranked = dense_index(
         hashed,
         ["__digest", "episode_index"],
-        hash_bucket(F.col("__digest")),
+        hash_bucket(F.col("__digest"), row_count(episodes)),
         "__rank",
         partition=keys,
-        hot_rows=ALWAYS,
         total_out="__n",
     )
     n_val, n_test = split_size(F.col("__n"), val), split_size(F.col("__n"), test)
@@ -156,5 +159,5 @@ def hash_order(rows: DataFrame, seed: int, keys: Sequence[str], out: str = "posi
     """Adds the position of every row in a seeded shuffle of the whole table."""
     hashed = rows.withColumn("__digest", seeded_digest(seed, *keys))
     return dense_index(
-        hashed, ["__digest", *keys], hash_bucket(F.col("__digest")), out
+        hashed, ["__digest", *keys], hash_bucket(F.col("__digest"), row_count(rows)), out
     ).drop("__digest")

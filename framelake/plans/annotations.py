@@ -54,7 +54,7 @@ def videos_with_all_categories(spark, sf):
     seg AS (SELECT l_orderkey * 10 + l_linenumber AS annotation_id, l_suppkey % 3 AS frame_index, max(l_quantity) AS area FROM lineitem GROUP BY ALL),
     num AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY annotation_id) - 1 AS instance FROM ann),
     grid AS (SELECT v.video_id, f.i AS frame_index, n.instance, n.annotation_id, n.category_id
-      FROM videos v JOIN range(100) f(i) ON f.i < v.length LEFT JOIN num n USING (video_id))
+      FROM videos v CROSS JOIN LATERAL (SELECT unnest(range(v.length)) AS i) f LEFT JOIN num n USING (video_id))
     SELECT g.video_id, g.frame_index, coalesce(instance, 0) AS instance, coalesce(g.annotation_id, -1) AS annotation_id,
     coalesce(category_id, -1)::BIGINT AS category_id, coalesce(s.area, 0::DOUBLE) AS area, s.area IS NULL AS is_empty
     FROM grid g LEFT JOIN seg s ON s.annotation_id = g.annotation_id AND s.frame_index = g.frame_index""",

@@ -41,12 +41,12 @@ def cache_shard_layout(spark, sf):
 def frame_index(spark, sf, per_shard: int = 4096):
     """(full cache index of the mixed frames, its row count)."""
     plan = v.episode_plan(spark, sf)
-    total = plan.agg(F.sum("length")).scalar()
+    total = plan.agg(F.sum("length")).first()[0]  # of the written plan
     rows = cache_row_ids(v.mixed_turns(spark, sf), plan).withColumn(
         "absolute_index", F.col("dataset_from_index") + F.col("frame_index")
     )
     described = attach_dataset_info(clamped_context(rows, frame_offsets(2)), v.dataset_info(spark, sf))
-    return ops.shard_layout(described, per_shard, total), total
+    return ops.shard_layout(described, per_shard, F.lit(total)), total
 
 
 INDEX_SQL = v.with_views(
@@ -66,7 +66,8 @@ INDEX_SQL = v.with_views(
     shard_path, shard_offset, shard_num_rows FROM idx""",
 )
 def cache_index_sorted(spark, sf):
-    index = ops.sorted_index(*frame_index(spark, sf), 8)
+    index, total = frame_index(spark, sf)
+    index = ops.sorted_index(index, total)
     return index.select(
         "row_id",
         "split",
@@ -105,7 +106,7 @@ BROKEN_SQL = """WITH idx AS (SELECT l_partkey AS row_id, 'shard-' || l_returnfla
     bad AS (
       SELECT 'row_out_of_bounds' AS "check", row_id FROM ids, expected WHERE row_id < 0 OR row_id >= n
       UNION ALL SELECT 'duplicate_row', row_id FROM ids WHERE copies > 1
-      UNION ALL SELECT 'missing_row', r.i FROM expected, range(1000000) r(i) WHERE r.i < n AND r.i NOT IN (SELECT row_id FROM ids)
+      UNION ALL SELECT 'missing_row', r.i FROM (SELECT unnest(range(n)) AS i FROM expected) r WHERE r.i NOT IN (SELECT row_id FROM ids)
       UNION ALL SELECT 'missing_shard', row_id FROM m WHERE actual_rows IS NULL
       UNION ALL SELECT 'shard_row_count', row_id FROM m WHERE shard_num_rows <> actual_rows
       UNION ALL SELECT 'shard_offset', row_id FROM m WHERE shard_offset < 0 OR shard_offset >= actual_rows),
@@ -177,8 +178,9 @@ def lookup_unique_key(spark, sf):
 
 @query(
     "multi_get_ordered",
-    """SELECT e.event_id AS position, vec_id AS row_id, label::BIGINT AS label, round(embedding[1]::DOUBLE, 6) + 0 AS first_value
-    FROM events e JOIN embeddings v ON v.vec_id = (e.user_id * 7) % (SELECT count(*) FROM embeddings)""",
+    """SELECT e.event_id AS position, vec_id AS row_id, label::BIGINT AS label, """
+    + smicros("list_transform(embedding, lambda x: x::DOUBLE)")
+    + """ AS vector FROM events e JOIN embeddings v ON v.vec_id = (e.user_id * 7) % (SELECT count(*) FROM embeddings)""",
 )
 def multi_get_ordered(spark, sf):
     """Every event asks for a vector by id; ids repeat, positions keep the request order."""
@@ -189,9 +191,9 @@ def multi_get_ordered(spark, sf):
     vecs = v.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_id"),
         F.col("label").cast("long").alias("label"),
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"),
+        micros(F.col("embedding").cast("array<double>")).alias("vector"),
     )
-    return lookup.multi_get(requests, vecs, "row_id").select("position", "row_id", "label", "first_value")
+    return lookup.multi_get(requests, vecs, "row_id").select("position", "row_id", "label", "vector")
 
 
 @query(

@@ -418,7 +418,7 @@ def shuffle_rows(spark, sf):
     "random_hflip",
     v.with_views("patches")
     + f"""SELECT video, frame, patch, y, CASE WHEN {v.uniform_sql(5, 'video')} < 0.5 THEN {v.GRID_W} - 1 - x ELSE x END AS x,
-    {s6('feature[1]')} AS value FROM patches""",
+    {smicros('feature')} AS value FROM patches""",
 )
 def random_hflip(spark, sf):
     """One coin per video: all its frames flip or none."""
@@ -426,6 +426,6 @@ def random_hflip(spark, sf):
     from ..operators.sampling import random_flip_flag
 
     pixels = v.patches(spark, sf).select(
-        "video", "frame", "patch", *v.grid_yx(), r6(F.get("feature", F.lit(0)).cast("double")).alias("value")
+        "video", "frame", "patch", *v.grid_yx(), micros(F.col("feature").cast("array<double>")).alias("value")
     )
     return hflip(pixels, v.GRID_W, random_flip_flag(5, 0.5, "video"))

@@ -12,37 +12,38 @@ from .registry import micros, query, r6, s6, smicros
 
 
 def pixels(spark, sf):
-    """Patches as pixels with three channels: the first three vector components."""
+    """Patches as pixels of several images: three components after another are an image's channels."""
     return v.patches(spark, sf).select(
-        "video",
-        "frame",
-        *v.grid_yx(),
-        F.posexplode(F.slice(F.col("feature").cast("array<double>"), 1, 3)).alias("channel", "value"),
+        "video", "frame", *v.grid_yx(), F.posexplode(F.col("feature").cast("array<double>")).alias("at", "value")
+    ).select(
+        "video", "frame", F.floor(F.col("at") / 3).alias("image"), "y", "x", (F.col("at") % 3).alias("channel"), "value"
     )
 
 
 PIXELS = {
-    "pixels": """SELECT video, frame, y, x, c AS channel, feature[c + 1] AS value FROM patches, range(3) r(c)"""
+    "pixels": """SELECT video, frame, c // 3 AS image, y, x, c % 3 AS channel, feature[c + 1] AS value
+      FROM (SELECT *, unnest(range(len(feature))) AS c FROM patches)"""
 }
 
 
 @query(
     "pixel_normalize",
     v.with_views("patches", extra=PIXELS)
-    + f"""SELECT video, frame, y, x, channel::INT AS channel, {s6('(u / 255.0::DOUBLE - m) / s')} AS normalized,
+    + f"""SELECT video, frame, image, y, x, channel::INT AS channel, {s6('(u / 255.0::DOUBLE - m) / s')} AS normalized,
     {s6('u / 255.0::DOUBLE')} AS restored, CAST(u AS INT) AS as_uint8 FROM (
       SELECT *, floor((value + 1) * 127) AS u, [0.485, 0.456, 0.406][channel + 1]::DOUBLE AS m, [0.229, 0.224, 0.225][channel + 1]::DOUBLE AS s FROM pixels)""",
 )
 def pixel_normalize(spark, sf):
     """Byte pixels scaled, normalised, restored, and back to bytes."""
     raw = pixels(spark, sf).withColumn("byte", F.floor((F.col("value") + 1) * 127).cast("int"))
-    scaled = ops.unit_scale(raw, "byte", ["video", "frame"])
+    scaled = ops.unit_scale(raw, "byte", ["video", "frame", "image"])
     normal = ops.normalize_pixels(F.col("byte"), F.col("channel"))
     restored = ops.denormalize_pixels(normal, F.col("channel"))
     # The restored value may miss an exact byte by one unit in the last place.
     return scaled.select(
         "video",
         "frame",
+        "image",
         "y",
         "x",
         "channel",
@@ -90,33 +91,33 @@ OUT_H, OUT_W = 7, 3
             "gx": f"SELECT ox, greatest((ox + 0.5) * {v.GRID_W} / {OUT_W}::DOUBLE - 0.5, 0) AS sx FROM range({OUT_W}) r(ox)",
             "taps": f"""SELECT oy, ox, floor(sy)::INT AS y0, least(floor(sy) + 1, {v.GRID_H - 1})::INT AS y1, sy - floor(sy) AS fy,
               floor(sx)::INT AS x0, least(floor(sx) + 1, {v.GRID_W - 1})::INT AS x1, sx - floor(sx) AS fx FROM gy, gx""",
-            "img": "SELECT video, frame, y, x, feature[1] AS value FROM patches",
+            "img": "SELECT video, frame, c AS channel, y, x, feature[c + 1] AS value FROM (SELECT *, unnest(range(len(feature))) AS c FROM patches)",
         },
     )
-    + f"""SELECT a.video, a.frame, oy AS y, ox AS x,
+    + f"""SELECT a.video, a.frame, a.channel::INT AS channel, oy AS y, ox AS x,
     {s6('(1-fy)*(1-fx)*a.value + (1-fy)*fx*b.value + fy*(1-fx)*c.value + fy*fx*d.value')} AS value
-    FROM taps JOIN img a ON a.y = y0 AND a.x = x0 JOIN img b ON b.video = a.video AND b.frame = a.frame AND b.y = y0 AND b.x = x1
-    JOIN img c ON c.video = a.video AND c.frame = a.frame AND c.y = y1 AND c.x = x0
-    JOIN img d ON d.video = a.video AND d.frame = a.frame AND d.y = y1 AND d.x = x1""",
+    FROM taps JOIN img a ON a.y = y0 AND a.x = x0 JOIN img b ON b.video = a.video AND b.frame = a.frame AND b.channel = a.channel AND b.y = y0 AND b.x = x1
+    JOIN img c ON c.video = a.video AND c.frame = a.frame AND c.channel = a.channel AND c.y = y1 AND c.x = x0
+    JOIN img d ON d.video = a.video AND d.frame = a.frame AND d.channel = a.channel AND d.y = y1 AND d.x = x1""",
 )
 def resize_bilinear(spark, sf):
     image = v.patches(spark, sf).select(
-        "video", "frame", *v.grid_yx(), F.get("feature", F.lit(0)).cast("double").alias("value")
+        "video", "frame", *v.grid_yx(), F.posexplode(F.col("feature").cast("array<double>")).alias("channel", "value")
     )
-    out = ops.resize_bilinear(image, ["video", "frame"], (v.GRID_H, v.GRID_W), (OUT_H, OUT_W))
+    out = ops.resize_bilinear(image, ["video", "frame", "channel"], (v.GRID_H, v.GRID_W), (OUT_H, OUT_W))
     return out.withColumn("value", r6(F.col("value")))
 
 
 @query(
     "patchify",
     v.with_views("patches", extra={**PIXELS, "square": "SELECT * FROM pixels WHERE x < 4"})
-    + f"""SELECT video, frame, (y // 2) * 2 + x // 2 AS patch, {smicros('list(value ORDER BY y, x, channel)')} AS "values"
-    FROM square GROUP BY video, frame, (y // 2) * 2 + x // 2""",
+    + f"""SELECT video, frame, image, (y // 2) * 2 + x // 2 AS patch, {smicros('list(value ORDER BY y, x, channel)')} AS "values"
+    FROM square GROUP BY video, frame, image, (y // 2) * 2 + x // 2""",
 )
 def patchify(spark, sf):
     """2 x 2 patches of the centred square."""
     square = ops.center_full_crop(pixels(spark, sf), (v.GRID_H, v.GRID_W))
-    out = ops.patchify(square, ["video", "frame"], 2, 4)
+    out = ops.patchify(square, ["video", "frame", "image"], 2, 4)
     return out.withColumn("values", micros("values"))
 
 

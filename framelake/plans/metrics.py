@@ -51,10 +51,10 @@ def both(spark, sf):
 
 @query(
     "soft_to_hard_mask",
-    v.with_views("patches", "pred_mask")
-    + """, thr AS (SELECT video, frame, y, x, list_transform(feature[1:8], lambda s: CASE WHEN (s + 1.0) / 2.0 > 0.55 THEN 1 ELSE 0 END) AS h FROM patches)
+    v.with_views("patches", "hard_mask")
+    + """, thr AS (SELECT video, frame, y, x, list_transform(feature, lambda s: CASE WHEN (s + 1.0) / 2.0 > 0.55 THEN 1 ELSE 0 END) AS h FROM patches)
     SELECT video, frame, y, x, p.class AS hard_class, CAST(list_position(h, list_max(h)) - 1 AS BIGINT) AS threshold_class
-    FROM pred_mask p JOIN thr USING (video, frame, y, x)""",
+    FROM hard_mask p JOIN thr USING (video, frame, y, x)""",
 )
 def soft_to_hard_mask(spark, sf):
     """Hard class with and without a threshold, from slots kept in one array."""
@@ -71,7 +71,7 @@ def soft_to_hard_mask(spark, sf):
 
 @query(
     "soft_to_hard_long",
-    v.with_views("pred_mask") + "SELECT video, frame, y, x, class FROM pred_mask",
+    v.with_views("hard_mask") + "SELECT video, frame, y, x, class FROM hard_mask",
 )
 def soft_to_hard_long(spark, sf):
     """The same from a long table with one row per slot."""
@@ -96,15 +96,15 @@ def dense_to_onehot(spark, sf):
 @query(
     "instances_to_binary",
     v.with_views("patches")
-    + """SELECT video, frame, y, x, array_to_string(list_concat(list_transform(feature[1:3], lambda f: CASE WHEN floor(f * 8) <> 0 THEN 1 ELSE 0 END), [0, 0]), ',') AS binary_mask FROM patches""",
+    + """SELECT video, frame, y, x, array_to_string(list_concat(list_transform(feature, lambda f: CASE WHEN floor(f * 8) <> 0 THEN 1 ELSE 0 END), [0, 0]), ',') AS binary_mask FROM patches""",
 )
 def instances_to_binary(spark, sf):
-    stack = F.transform(F.slice(as_doubles("feature"), 1, 3), lambda f: F.floor(f * 8))
+    stack = F.transform(as_doubles("feature"), lambda f: F.floor(f * 8))
     return v.patches(spark, sf).select(
         "video",
         "frame",
         *v.grid_yx(),
-        joined(masks.instances_to_binary(stack, 5).cast("array<int>")).alias("binary_mask"),
+        joined(masks.instances_to_binary(stack, 66).cast("array<int>")).alias("binary_mask"),
     )
 
 
@@ -321,11 +321,10 @@ def synthetic_squares(spark, sf):
 @query(
     "mask_boundaries",
     v.with_views("square_true", extra={"edge_true": EDGES["edge_true"]})
-    + "SELECT video, frame, y, x, class FROM edge_true WHERE class > 0",
+    + "SELECT video, frame, y, x, class FROM edge_true",
 )
 def mask_boundaries(spark, sf):
-    objects = v.square_true(spark, sf).filter(F.col("class") > 0)
-    return masks.mask_boundaries(objects, ["video", "frame", "class"], v.SIDE, v.SIDE)
+    return masks.mask_boundaries(v.square_true(spark, sf), ["video", "frame", "class"], v.SIDE, v.SIDE)
 
 
 @query(
@@ -407,10 +406,10 @@ def metric_mean_report(spark, sf):
     "slot_coverage",
     v.with_views("pred_mask")
     + f"""SELECT video, frame, CAST(s AS BIGINT) AS slot, {s6('count(*) FILTER (class = s) / count(*)::DOUBLE')} AS coverage
-    FROM pred_mask, range({v.SLOTS}) r(s) GROUP BY video, frame, s""",
+    FROM pred_mask, range({v.CLASSES}) r(s) GROUP BY video, frame, s""",
 )
 def slot_coverage(spark, sf):
-    coverage = masks.slot_coverage(v.pred_mask(spark, sf), FRAME, v.SLOTS)
+    coverage = masks.slot_coverage(v.pred_mask(spark, sf), FRAME, v.CLASSES)
     return coverage.withColumn("coverage", r6(F.col("coverage")))
 
 

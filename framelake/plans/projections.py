@@ -133,7 +133,7 @@ PADDED = """labelled AS (SELECT CAST(doc_id AS VARCHAR) AS key, quality,
 @query(
     "pad_to_size",
     f"""WITH {PADDED} SELECT worker, key, quality, false AS batch_padding_mask FROM labelled
-    UNION ALL SELECT worker, 'PADDING', 0, true FROM need, range(100000) r(i) WHERE i < n""",
+    UNION ALL SELECT worker, 'PADDING', 0, true FROM (SELECT *, unnest(range(n)) FROM need)""",
 )
 def pad_query(spark, sf):
     return padded_samples(spark, sf)
@@ -148,18 +148,17 @@ def remove_padding(spark, sf):
     "l2_normalize",
     v.with_views(
         "patches",
-        extra={"norms": "SELECT *, greatest(sqrt(list_sum(list_transform(feature[1:16], lambda x: x * x))), 1e-12) AS norm FROM patches"},
+        extra={"norms": "SELECT *, greatest(sqrt(list_sum(list_transform(feature, lambda x: x * x))), 1e-12) AS norm FROM patches"},
     )
-    + f"SELECT video, frame, patch, {s6('norm')} AS norm, {smicros('list_transform(feature[1:16], lambda x: x / norm)')} AS unit FROM norms",
+    + f"SELECT video, frame, patch, {s6('norm')} AS norm, {smicros('list_transform(feature, lambda x: x / norm)')} AS unit FROM norms",
 )
 def l2_normalize(spark, sf):
     from ..functions import vectors
 
-    part = F.slice("feature", 1, 16)
     return v.patches(spark, sf).select(
         "video",
         "frame",
         "patch",
-        r6(vectors.l2_norm(part)).alias("norm"),
-        micros(vectors.l2_normalize(part)).alias("unit"),
+        r6(vectors.l2_norm("feature")).alias("norm"),
+        micros(vectors.l2_normalize("feature")).alias("unit"),
     )

@@ -57,7 +57,7 @@ def one_chunk_per_video(spark, sf):
 @query(
     "explode_frames",
     v.with_views("mixed_episodes")
-    + "SELECT dataset_index, episode_index, i AS frame_index FROM mixed_episodes JOIN range(100000) r(i) ON r.i < length",
+    + "SELECT dataset_index, episode_index, unnest(range(length)) AS frame_index FROM mixed_episodes",
 )
 def explode_frames(spark, sf):
     return ops.explode_frames(v.mixed_episodes(spark, sf)).select("dataset_index", "episode_index", "frame_index")
@@ -120,7 +120,7 @@ def assign_batches(spark, sf):
     "epoch_repeat",
     """WITH rows AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id, count(*) OVER () AS n FROM labels),
     goal AS (SELECT count(*) * 2 + 5 AS m FROM documents)
-    SELECT doc_id, CAST(row_id + k * n AS BIGINT) AS position FROM rows, goal, range(1000) r(k) WHERE row_id + k * n < m""",
+    SELECT doc_id, CAST(row_id + k * n AS BIGINT) AS position FROM (SELECT *, unnest(range(m // n + 1)) AS k FROM rows, goal) WHERE row_id + k * n < m""",
 )
 def epoch_repeat(spark, sf):
     """Labels cycle until an epoch of twice the documents (and five more) is full."""

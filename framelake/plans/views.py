@@ -24,7 +24,9 @@ FPS_A, FPS_B = 10.0, 12.0
 VAL, TEST = 0.25, 0.25
 GRID_H, GRID_W = 4, 5
 PATCHES, FRAMES = GRID_H * GRID_W, 5
-SLOTS = 8
+SLOTS = 64
+# Slots fold onto this many predicted classes.
+CLASSES = 8
 
 ROLE_CODES = {"user": 0, "assistant": 1, "system": 2}
 
@@ -200,12 +202,13 @@ def overlapping_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def soft_values():
-    return F.transform(F.slice(as_doubles("feature"), 1, SLOTS), lambda v: (v + 1.0) / 2.0)
+    return F.transform(as_doubles("feature"), lambda v: (v + 1.0) / 2.0)
 
 
 def pred_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of the largest of all components."""
     return patches(spark, sf).select(
-        "video", "frame", *grid_yx(), soft_array_to_hard(soft_values()).alias("class")
+        "video", "frame", *grid_yx(), F.pmod(soft_array_to_hard(soft_values()), F.lit(CLASSES)).alias("class")
     )
 
 
@@ -331,11 +334,12 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT video, frame, y, x, label AS class FROM patches
            UNION ALL SELECT video, frame, y, x, (label + 1) % 10 FROM patches WHERE feature[1] > 0.1""",
     ),
-    "pred_mask": (
+    "pred_mask": (("hard_mask",), f"""SELECT video, frame, y, x, class % {CLASSES} AS class FROM hard_mask"""),
+    "hard_mask": (
         ("patches",),
-        f"""SELECT video, frame, y, x,
+        """SELECT video, frame, y, x,
              CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS class
-             FROM (SELECT *, list_transform(feature[1:{SLOTS}], lambda v: (v + 1.0) / 2.0) AS s FROM patches)""",
+             FROM (SELECT *, list_transform(feature, lambda v: (v + 1.0) / 2.0) AS s FROM patches)""",
     ),
     "annotations": (
         (),

@@ -89,7 +89,7 @@ def write_cache(
     )
     stored = spark.read.parquet(f"{path}/features")
     index = stored.select(*[F.col(f.name).cast(f.dataType) for f in CACHE_INDEX.fields])
-    sorted_index(index, F.lit(expected_rows), max(1, -(-expected_rows // INDEX_ROWS_PER_FILE))).write.mode(mode).parquet(f"{path}/index")
+    sorted_index(index, expected_rows, INDEX_ROWS_PER_FILE).write.mode(mode).parquet(f"{path}/index")
     verify_cache(spark, path, expected_rows)
     n_shards = -(-expected_rows // per_shard)
     _write_metadata(spark, path, {**metadata, "complete": True, "num_rows": expected_rows, "num_shards": n_shards})

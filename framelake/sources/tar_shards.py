@@ -82,8 +82,8 @@ class Written(WriterCommitMessage):
 
 
 class ShardWriter(DataSourceWriter):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    def __init__(self, folder: str, overwrite: bool = False) -> None:
+        self.folder, self.overwrite = folder, overwrite
 
     def write(self, rows: Iterator) -> Written:
         os.makedirs(self.folder, exist_ok=True)
@@ -111,6 +111,11 @@ class ShardWriter(DataSourceWriter):
         for message in messages:
             for temporary, final in message.files if message else []:
                 os.replace(temporary, os.path.join(self.folder, final))
+        if self.overwrite and os.path.isdir(self.folder):
+            written = {final for message in messages if message for _, final in message.files}
+            for name in os.listdir(self.folder):
+                if name.endswith(".tar") and not name.startswith(".") and name not in written:
+                    os.remove(os.path.join(self.folder, name))
 
     def abort(self, messages: list) -> None:
         for message in messages:
@@ -134,7 +139,7 @@ class TarShards(DataSource):
         folder = self.options["path"]
         if not overwrite and os.path.isdir(folder) and any(f.endswith(".tar") for f in os.listdir(folder)):
             raise FileExistsError(f"{folder} already holds shards")
-        return ShardWriter(folder)
+        return ShardWriter(folder, overwrite)
 
 
 def read_shards(spark: SparkSession, shards: str | list[str], prefixes: tuple = (), data_dir: str | None = None) -> DataFrame:

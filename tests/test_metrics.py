@@ -184,3 +184,26 @@ def test_soft_mask_ties_and_range(spark):
     bad = spark.createDataFrame([(0, 0, 1.5)], soft.schema)
     with pytest.raises(Exception, match="outside"):
         masks.soft_to_hard(bad, ["p"]).collect()
+
+
+def _points(spark, rows):
+    return spark.createDataFrame(rows, "video long, frame long, y long, x long, class long")
+
+
+def test_masks_with_missing_or_repeated_points_are_refused(spark):
+    whole = [(0, 0, 0, i, i % 2) for i in range(4)]
+    true, pred = _points(spark, whole), _points(spark, whole)
+    key, point = ["video"], ["frame", "y", "x"]
+    assert metrics.adjusted_rand_index(true, pred, key, point).first()["ari"] == 1.0
+    bad = {
+        "no predicted class": (true, _points(spark, whole[:2])),
+        "true class is repeated": (_points(spark, whole + whole[:1]), pred),
+        "predicted classes overlap": (true, _points(spark, whole + whole[:1])),
+    }
+    for message, (t, p) in bad.items():
+        for score in (
+            lambda: metrics.adjusted_rand_index(t, p, key, point, ignore_overlaps=True),
+            lambda: metrics.mean_iou(t, p, key, point, ignore_overlaps=True),
+        ):
+            with pytest.raises(Exception, match=message):
+                score().collect()

@@ -30,19 +30,27 @@ def plain(skewed):
 
 def test_numbering(skewed, plain):
     bucket = numbering.int_bucket("frame_index", 64)
-    got = numbering.dense_index(skewed, ["frame_index"], bucket, "i", ["episode_index"], hot_rows=100)
+    got = numbering.dense_index(skewed, ["frame_index"], bucket, "i", ["episode_index"])
     assert all(r["i"] == r["frame_index"] for r in got.collect()) and got.count() == 3000
-    # The hot key is spread over several window groups.
-    tagged, hot = numbering._tag(skewed, bucket, ["episode_index"], 100)
-    assert hot.select("episode_index").distinct().count() == 1
-    assert tagged.groupBy("episode_index", "__bucket").count().agg(F.max("count")).first()[0] == 64
+    # No window group holds more than a bucket.
+    assert skewed.groupBy("episode_index", bucket).count().agg(F.max("count")).first()[0] == 64
+
+
+def test_every_hot_key_is_cut(spark):
+    """1,500 keys of 40 rows each, in buckets of 16."""
+    rows = spark.range(60_000).selectExpr("id % 1500 as k", "id div 1500 as o")
+    bucket = numbering.int_bucket("o", 16)
+    got = numbering.dense_index(rows, ["o"], bucket, "i", ["k"])
+    assert got.filter("i <> o").count() == 0 and got.count() == 60_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(k" in plan and "__bucket" in plan.split("windowspecdefinition(k", 1)[1][:200]
 
 
 def test_running_sum(skewed, plain):
     for df in (
         scans.scan_sum(skewed, ["episode_index"], "frame_index", "v", bucket_width=50),
         numbering.exclusive_prefix_sum(
-            skewed, "v", ["frame_index"], numbering.int_bucket("frame_index", 50), "state", ["episode_index"], 100
+            skewed, "v", ["frame_index"], numbering.int_bucket("frame_index", 50), "state", ["episode_index"]
         ),
     ):
         for r in df.collect():

@@ -256,3 +256,12 @@ def test_evaluation_pipelines(spark, sf):
     assert {r["metric"] for r in scores} == {"video_ari", "video_mbo"}
     report = jobs.measure_agreement(views.patches(spark, sf), views.logits(spark, sf), use_softmax=True, temperature=0.1)
     assert report.columns == list(files.REPORT_COLUMNS) and report.count() == 5
+
+
+def test_tar_overwrite_leaves_no_old_shard(spark, tmp_path):
+    samples = spark.createDataFrame([(i, f"{i:03d}", {"txt": bytearray(b"x")}) for i in range(9)], "id long, key string, members map<string, binary>")
+    folder = str(tmp_path / "shards")
+    for rows, shards in ((samples, 3), (samples.filter("id < 2"), 1)):
+        numbered = dense_index(rows, ["id"], int_bucket("id"))
+        tar_shards.write_shards(sampling.assign_shards(numbered, 3, "s-%06d.tar"), folder, overwrite=True)
+        assert len(list((tmp_path / "shards").glob("*.tar"))) == shards
