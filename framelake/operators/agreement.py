@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import argmax, array_sum, at, rank_of
+from ..functions.vectors import argmax, array_sum, at, let, rank_of
 
 FLOOR = 1e-12
 
@@ -31,6 +31,11 @@ def _product_sum(a, b) -> Column:
     return array_sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def _centred(values: str) -> Column:
+    mean = array_sum(values) / F.size(values)
+    return let(mean, lambda m: F.transform(values, lambda x: x - m))
+
+
 def _floored(x: Column) -> Column:
     return F.greatest(x, F.lit(FLOOR))
 
@@ -38,7 +43,8 @@ def _floored(x: Column) -> Column:
 def row_statistics(rows: DataFrame) -> DataFrame:
     """One set of sums, maxima and positions per source patch."""
     gaps = {f"__{name}": F.zip_with(a, b, lambda x, y: y - x) for name, (a, b) in PAIRS.items()}
-    out = rows.withColumns({"n": F.size("target").cast("long"), **gaps})
+    centred = {f"__c_{name}": _centred(name) for name in ("target", "prediction")}
+    out = rows.withColumns({"n": F.size("target").cast("long"), **gaps, **centred})
     stats: dict[str, Column] = {}
     for name in PAIRS:
         gap = F.col(f"__{name}")
@@ -50,27 +56,23 @@ def row_statistics(rows: DataFrame) -> DataFrame:
     stats["entropy"] = -_product_sum("target", _log("target"))
     for name, (a, b) in {"tp": ("target", "prediction"), "tt": ("target",) * 2, "pp": ("prediction",) * 2}.items():
         stats[f"dot_{name}"] = _product_sum(a, b)
-    stats["sum_t"], stats["sum_p"] = array_sum("target"), array_sum("prediction")
+    stats["cov_tp"] = _product_sum("__c_target", "__c_prediction")
+    stats["var_t"], stats["var_p"] = (_product_sum(c, c) for c in ("__c_target", "__c_prediction"))
     stats["target_peak"], stats["prediction_peak"] = F.array_max("target"), F.array_max("prediction")
     stats["target_idx"], stats["pred_idx"] = argmax("target"), argmax("prediction")
     stats["aff_idx"] = argmax("affinity")
     out = out.withColumns(stats)
-    # Centred sums from the plain ones; tiny negative squares from rounding become zero.
-    centred = lambda xy, x, y: F.col(xy) - F.col(x) * F.col(y) / F.col("n")
-    spread = F.sqrt(F.greatest(centred("dot_tt", "sum_t", "sum_t"), F.lit(0.0))) * F.sqrt(
-        F.greatest(centred("dot_pp", "sum_p", "sum_p"), F.lit(0.0))
-    )
     return out.withColumns(
         {
             "tv": F.col("target_prediction_abs") * 0.5,
             "kl": F.col("ce") - F.col("entropy"),
             "cosine": F.col("dot_tp") / _floored(F.sqrt("dot_tt") * F.sqrt("dot_pp")),
-            "correlation": centred("dot_tp", "sum_t", "sum_p") / _floored(spread),
+            "correlation": F.col("cov_tp") / _floored(F.sqrt("var_t") * F.sqrt("var_p")),
             "pred_at_target": at("prediction", F.col("target_idx")),
             "target_at_pred": at("target", F.col("pred_idx")),
             "target_rank": rank_of("prediction", F.col("target_idx")),
         }
-    ).drop(*[f"__{name}" for name in PAIRS])
+    ).drop(*gaps, *centred)
 
 
 def _share(condition: Column) -> Column:
