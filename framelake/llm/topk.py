@@ -35,9 +35,9 @@ EVERY = 20
 BLOCK = 32_768
 CHUNK = 512
 #: The first threshold is the largest impact divided by this.
-FIRST = 8
+FIRST = 16
 #: Possible members are scored once there are at most this many for each wanted one.
-MEMBERS = 16
+MEMBERS = 128
 
 
 class ImpactIndex:
@@ -48,8 +48,10 @@ class ImpactIndex:
         self.ids = np.ascontiguousarray(order.T)
         #: The count of postings seen is kept in the low bits of a score.
         self.shift = int(dims).bit_length()
-        self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, order, 0).T)
-        self.impacts = -np.abs(self.values)  # ascending
+        values = np.ascontiguousarray(np.take_along_axis(self.vectors, order, 0).T)
+        self.impacts = -np.abs(values)  # ascending
+        #: Sums in 32 bits wherever they fit take a third of the time.
+        self.values = values.astype(np.int32) if np.abs(values).max(initial=0) < 1 << 31 else values
         self.largest = -self.impacts[:, 0] if size else np.zeros(dims, np.int64)
 
     def search(self, query: np.ndarray, k: int, own: int = -1) -> np.ndarray:
@@ -57,20 +59,22 @@ class ImpactIndex:
         size, dims = self.vectors.shape
         weights = np.abs(query)
         used = np.flatnonzero(weights * self.largest)
-        scores = np.full(size, dims - len(used), np.int64)  # unused dimensions add nothing: seen
+        reach = int((weights * self.largest).sum()) << self.shift
+        kind = np.int32 if reach + dims < 1 << 31 else np.int64
+        scores = np.full(size, dims - len(used), kind)  # unused dimensions add nothing: seen
         done = dict.fromkeys(used.tolist(), 0)
         tau = int((weights * self.largest).max(initial=0)) // FIRST
-        query = query << self.shift
+        query = (query << self.shift).astype(kind)
         seen = (1 << self.shift) - 1
         while True:
             for d, low in done.items():
                 # postings with an impact above tau
                 high = int(np.searchsorted(self.impacts[d], -(tau // int(weights[d])), "left")) if tau else size
                 if high > low:
-                    scores[self.ids[d, low:high]] += self.values[d, low:high] * query[d] + 1
+                    np.add.at(scores, self.ids[d, low:high], self.values[d, low:high] * query[d] + kind(1))
                     done[d] = high
-            slack = (dims - (scores & seen)) * tau
-            middle = scores >> self.shift
+            slack = (dims - (scores & seen)).astype(np.int64) * tau
+            middle = (scores >> self.shift).astype(np.int64)
             lower, upper = middle - slack, middle + slack
             if own >= 0:
                 lower[own] = upper[own] = np.iinfo(np.int64).min
