@@ -55,12 +55,14 @@ def weighted_sample(
     n_datasets: int | None = None,
     seed: int = 0,
     draws: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """`n_draws` rows with replacement: a dataset by weight, then a row of it uniformly.
 
     `rows` has dataset_index and a dense position inside the dataset
     (`local_index`). Draws are a distributed range; they meet the rows in an equi
-    join on (dataset_index, local_index). An empty dataset with weight is an error.
+    join on (dataset_index, local_index). `sizes` (dataset_index, size) saves counting
+    the rows. An empty dataset is an error.
     """
     if weights is None:
         if n_datasets is None:
@@ -68,7 +70,8 @@ def weighted_sample(
         weights = [1.0] * n_datasets
     if draws is None:
         draws = spark.range(n_draws).withColumnRenamed("id", "draw")
-    sizes = rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("size"))
+    if sizes is None:
+        sizes = rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("size"))
     # One entry per configured dataset, so the sizes travel as a map and draws are not shuffled for them.
     entries = F.map_from_entries(F.collect_list(F.struct("dataset_index", "size")))
     known = sizes.agg(entries).scalar()

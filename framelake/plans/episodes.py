@@ -111,10 +111,11 @@ def delta_timestamps(spark, sf):
 @query(
     "frames_full_context",
     v.with_views("mixed_frames")
-    + "SELECT dataset_index, episode_index, frame_index FROM mixed_frames WHERE frame_index >= 3",
+    + "SELECT dataset_index, episode_index, frame_index FROM mixed_frames WHERE frame_index >= 2 AND frame_index + 1 < length",
 )
 def frames_full_context(spark, sf):
-    frames = ops.frames_full_context(v.mixed_frames(spark, sf), OFFSETS)
+    """Two frames back and one ahead."""
+    frames = ops.frames_full_context(v.mixed_frames(spark, sf), [-2, 0, 1])
     return frames.select("dataset_index", "episode_index", "frame_index")
 
 
@@ -397,9 +398,14 @@ WEIGHTS = (0.75, 0.25)
 )
 def weighted_sample(spark, sf):
     """One draw per event; frames are dense inside a dataset, so the absolute index locates a row."""
-    rows = v.mixed_frames(spark, sf).withColumn("local_index", F.col("absolute_index"))
+    lengths = v.stored_episodes(spark, sf)
+    bounds = ops.episode_offsets(lengths, ["dataset_index"])
+    rows = v.bounded(v.mixed_turns(spark, sf), bounds, ["dataset_index", "episode_index"]).select(
+        "dataset_index", "episode_index", "frame_index", F.col("absolute_index").alias("local_index")
+    )
     draws = v.table(spark, sf, "events").select(F.col("event_id").alias("draw"))
-    out = mixing.weighted_sample(spark, rows, 0, WEIGHTS, seed=11, draws=draws)
+    sizes = lengths.groupBy("dataset_index").agg(F.sum("length").alias("size"))
+    out = mixing.weighted_sample(spark, rows, 0, WEIGHTS, seed=11, draws=draws, sizes=sizes)
     return out.select("draw", "dataset_index", "episode_index", "frame_index")
 
 

@@ -121,8 +121,13 @@ def mixed_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return keys.groupBy("dataset_index", "episode_index").agg(F.count(F.lit(1)).alias("length"))
 
 
+def stored_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The episodes, counted once: numbering reads them several times."""
+    return materialize(mixed_episodes(spark, sf))
+
+
 def mixed_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return split_by_fraction(mixed_episodes(spark, sf), VAL, TEST, SEED, ["dataset_index"])
+    return split_by_fraction(stored_episodes(spark, sf), VAL, TEST, SEED, ["dataset_index"])
 
 
 def episode_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +143,7 @@ def mixed_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mixed_frames(spark: SparkSession, sf: str) -> DataFrame:
-    bounds = episode_offsets(mixed_episodes(spark, sf), ["dataset_index"])
+    bounds = episode_offsets(stored_episodes(spark, sf), ["dataset_index"])
     return bounded(mixed_turns(spark, sf), bounds, ["dataset_index", "episode_index"])
 
 
