@@ -127,15 +127,18 @@ def summarize_rollup(stats: DataFrame, columns: list[Column], key: str = "video"
 
 def argmax_histogram(stats: DataFrame, keys: Sequence[str] = ("video",)) -> DataFrame:
     """Distinct argmax positions and the share of the most common one, for target and prediction."""
-    outs = []
-    for column, name in (("pred_idx", "pred"), ("target_idx", "target")):
-        hits = stats.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("c"))
-        outs.append(
-            hits.groupBy(*keys).agg(
-                F.count(F.lit(1)).alias(f"{name}_unique"), (F.max("c") / F.sum("c")).alias(f"{name}_top_share")
-            )
-        )
-    return outs[0].join(outs[1], list(keys))
+    # Both positions of a row are counted in one pass over the statistics.
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"{n}_idx").alias("idx")) for n in ("pred", "target")])
+    hits = (
+        stats.select(*keys, F.explode(sides).alias("__at"))
+        .groupBy(*keys, "__at.side", "__at.idx")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    columns = []
+    for name in ("pred", "target"):
+        own = F.when(F.col("side") == name, F.col("c"))
+        columns += [F.count(own).alias(f"{name}_unique"), (F.max(own) / F.sum(own)).alias(f"{name}_top_share")]
+    return hits.groupBy(*keys).agg(*columns)
 
 
 # Columns of the per-video report, in order.
