@@ -272,8 +272,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs for each group, with all its columns: that with the smallest doc_id (nulls
     come last), and of several such rows that with the smallest content hash; repeats of that row go."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first")
-    kept = groups(docs).groupBy("root").agg(first).select("first.doc_id", "first.content").distinct()
+    kept = groups(docs).groupBy("root").agg(first).select("first.content").distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), content(docs).alias("content"))
-    same = (F.col("row.doc_id").eqNullSafe(F.col("doc_id"))) & (rows["content"] == kept["content"])
-    own = rows.join(kept, same, "left_semi")
-    return own.groupBy("content", F.col("row.doc_id").alias("id")).agg(F.first("row").alias("row")).select("row.*")
+    # equal rows have equal content, which is all that the texts are shuffled by
+    return rows.join(kept, "content", "left_semi").groupBy("content").agg(F.first("row").alias("row")).select("row.*")
