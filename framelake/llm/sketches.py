@@ -158,8 +158,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         "key", F.coalesce("doc_id", F.lit(-(1 << 63)))
     )
     rows = rows.withColumn("range", _ranges(rows, F.col("key")))
-    firsts = rows.groupBy("range").agg(F.min("key").alias("key"))  # a row for each range
-    heads = rows.join(firsts, ["range", "key"]).groupBy("range").agg(F.min("text").alias("head"))
+    firsts = rows.groupBy("range").agg(F.min("key").alias("key"))
+    # broadcast: a row for each range, of which there are RANGES for each shuffle partition
+    heads = rows.join(F.broadcast(firsts), ["range", "key"]).groupBy("range").agg(F.min("text").alias("head"))
     over = Window.partitionBy(F.lit(0)).orderBy("range")
     whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = firsts.select(F.coalesce(F.lag("range").over(over), F.max("range").over(whole)).alias("before"), "range")
