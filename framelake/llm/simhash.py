@@ -268,11 +268,16 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group, with all its columns: that with the smallest doc_id (nulls
-    come last), and of several such rows that with the smallest content hash; repeats of that row go."""
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each root of found (doc_id, content, root), with all its columns: that with the smallest
+    doc_id (nulls come last), and of several such rows that with the smallest content hash; repeats of that row go."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first")
-    kept = groups(docs).groupBy("root").agg(first).select("first.content").distinct()
+    kept = found.groupBy("root").agg(first).select("first.content").distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), content(docs).alias("content"))
     # equal rows have equal content, which is all that the texts are shuffled by
     return rows.join(kept, "content", "left_semi").groupBy("content").agg(F.first("row").alias("row")).select("row.*")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group, as `one_of_each` chooses it."""
+    return one_of_each(docs, groups(docs))
