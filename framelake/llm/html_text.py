@@ -2,12 +2,13 @@
 
 Markup is stripped first: each block element of a page becomes one line of text, in page order.
 Lines in menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, role,
-class or id), scripts and styles keep their place but count as empty; so do lines that are links
-for the most part. If the page marks its article (`article`, or else `main`), lines outside count
+class or id), scripts and styles keep their place but count as empty; so do, outside a marked article,
+lines that are links for the most part. If the page marks its article (`article`, or else `main`), lines outside count
 as empty too, and each surge inside counts. The length of a line is its text's. The sum of `window` lines from each line on is the
 block distribution: it surges where the article starts and dives to nothing where it ends. The
 text between a surge and the next dive is a candidate, and candidates that hold at least a share of
-the longest one's text are kept: an article cut by a long advert stays whole.
+the longest one's text are kept: an article cut by a long advert stays whole. So are all lines in the
+container of the longest candidate's longest line, however short their run.
 
 Null and empty pages, and pages without text, give an empty text. Repeated rows each give a row.
 """
@@ -41,7 +42,9 @@ _INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 _APART = frozenset("nav header footer aside form button dialog menu head fieldset".split())
-_HINT = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"']++))?+")
+#: Elements that hold one paragraph; a container holds several.
+_PARAGRAPH = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption summary address".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|"
     r"banner|cookies?|consent|notice|alert|popup|modal|overlay|comments?|disqus|respond|replies|reply|share|sharing|social|related|"
@@ -49,7 +52,7 @@ _NAMES = re.compile(
     re.I,
 )
 _ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|promo|advert\w*)(?:$|[\s_-])", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 #: These start a new element of their kind where one is open: their end tags may be left out.
 _CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -59,10 +62,15 @@ def _boilerplate(name: str, attributes: str) -> bool:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
-    if _HIDDEN.search(attributes):
+    own: dict[str, str] = {}
+    for key, value in _ATTRIBUTE.findall(attributes):
+        own.setdefault(key.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _UNSHOWN.search(own.get("style", "")):
+        return True
+    if "hidden" in own.get("class", "").lower().split():
         return True
     names = _ASIDE_ARTICLE if name == "article" else _NAMES
-    return any(names.search(value.strip("\"'")) for value in _HINT.findall(attributes))
+    return any(names.search(own[key]) for key in ("class", "id", "role") if key in own)
 
 
 class _Page:
@@ -72,7 +80,10 @@ class _Page:
         self.lines: list[tuple[str, int, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.open: list[tuple[str, bool]] = []  # name, whether it is set apart
+        self.open: list[tuple[str, bool, int]] = []  # name, whether it is set apart, its first line
+        self.spans: list[tuple[int, int]] = []  # first line and end of each container
+        self.bare: list[int] = []  # lines outside containers
+        self.depth = 0
         self.count = dict.fromkeys(("apart", "article", "main", "a"), 0)
         self.marked = False
 
@@ -86,6 +97,8 @@ class _Page:
             text = " ".join(html.unescape("".join(self.parts)).split())
             linked = len(" ".join(html.unescape(" ".join(self.linked)).split())) if self.linked else 0
             self.lines.append((text, linked, self.count["article"] > 0, self.count["main"] > 0, self.count["apart"] > 0))
+            if not self.depth:
+                self.bare.append(len(self.lines) - 1)
             self.parts, self.linked = [], []
 
     def start(self, name: str, attributes: str) -> None:
@@ -95,7 +108,7 @@ class _Page:
         if name in ("article", "main") and not apart and not self.marked:
             # what holds the page's article isn't boilerplate, whatever its name
             self.marked = True
-            self.open = [(above, False) for above, _ in self.open]
+            self.open = [(above, False, low) for above, _, low in self.open]
             self.count["apart"] = 0
         for i in range(len(self.open) - 1, -1, -1) if name in _CLOSED_BY else ():
             if self.open[i][0] in _CLOSED_BY[name]:
@@ -105,7 +118,7 @@ class _Page:
                 break
         if name in _VOID or attributes.endswith("/"):
             return
-        self.open.append((name, apart))
+        self.open.append((name, apart, len(self.lines)))
         self._count(name, apart, 1)
 
     def end(self, name: str) -> None:
@@ -121,24 +134,32 @@ class _Page:
             self.line()
 
     def _close(self, i: int) -> None:
-        for name, apart in self.open[i:]:
+        for name, apart, low in self.open[i:]:
             self._count(name, apart, -1)
+            if _container(name):
+                self.spans.append((low, len(self.lines)))
         del self.open[i:]
 
     def _count(self, name: str, apart: bool, by: int) -> None:
         self.count["apart"] += by * apart
+        self.depth += by * _container(name)
         if name in self.count and name != "apart":
             self.count[name] += by
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+def _container(name: str) -> bool:
+    return name not in _INLINE and name not in _PARAGRAPH and name not in ("html", "body")
+
+
+def read_page(page: str) -> _Page:
     out, at = _Page(), 0
     while True:
         tag = _TAG.search(page, at)
         if not tag:
             out.text(page[at:])
             out.line()
-            return out.lines
+            out._close(0)
+            return out
         if tag.start() > at:
             out.text(page[at : tag.start()])
         at = tag.end()
@@ -185,14 +206,29 @@ def kept_lines(lengths: list[int], window: int = WINDOW, surge: int = SURGE, sha
     return keep
 
 
+def container_lines(page: _Page, lengths: list[int], keep: list[bool]) -> list[bool]:
+    """keep, and the lines in the smallest container of the longest line that it keeps."""
+    if True not in keep:
+        return keep
+    longest = max((i for i, kept in enumerate(keep) if kept), key=lambda i: lengths[i])
+    around = [span for span in page.spans if span[0] <= longest < span[1]]
+    low, high = min(around, key=lambda span: span[1] - span[0], default=(0, 0))
+    same = range(low, high) if around else page.bare
+    keep = list(keep)
+    for i in same:
+        keep[i] = lengths[i] > 0
+    return keep
+
+
 def main_text(page: str | None) -> str:
-    lines = page_lines(page) if page else []
+    read = read_page(page or "")
+    lines = read.lines
     marks = next((i for i in (2, 3) if any(line[i] and line[0] and not line[4] for line in lines)), None)
     lengths = [
-        0 if line[4] or (marks and not line[marks]) or line[1] > LINKED * len(line[0]) else len(line[0]) for line in lines
+        0 if line[4] or (not line[marks] if marks else line[1] > LINKED * len(line[0])) else len(line[0]) for line in lines
     ]
     # in a marked article each surge counts, however small
-    keep = kept_lines(lengths, surge=1, share=0) if marks else kept_lines(lengths)
+    keep = kept_lines(lengths, surge=1, share=0) if marks else container_lines(read, lengths, kept_lines(lengths))
     return " ".join(line[0] for line, kept in zip(lines, keep) if kept)
 
 

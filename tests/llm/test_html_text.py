@@ -39,6 +39,25 @@ def test_broken_markup():
     html_text.main_text("<" * 20_000 + '<a href="' * 20_000)
 
 
+def test_links_in_a_marked_article_stay():
+    page = '<nav><a href="/">Home</a></nav><article><p>One</p><p><a href="/x">A linked paragraph</a></p><ul><li><a href="/y">Item</a></ul></article>'
+    assert html_text.main_text(page) == "One A linked paragraph Item"
+
+
+def test_only_attributes_of_their_own_name_mark_boilerplate():
+    page = """<article><p>a <a href="/the-hidden-valley">b</a></p><div class="overflow-hidden">c</div><p data-id="search">d</p>
+    <p><a href="/s?id=search">e</a></p><p title='class="ad"'>f</p><p title="display:none">g</p><p hidden>no</p><p style="display: none">no</p>
+    <p aria-hidden=true>no</p><p class="hidden x">no</p><div ID='search'>no</div><div class=ad>no</div></article>"""
+    assert html_text.main_text(page) == "a b c d e f g"
+
+
+def test_short_end_in_the_container_of_the_main_run():
+    adverts = '<div class="ad">Buy</div>' * 3
+    for low, high in (("<div>", "</div>"), ("", "")):
+        page = f"<body>{low}<p>{WORDS * 6}</p>{adverts}<p>Short end.</p>{high}{adverts}<div>Tail</div></body>"
+        assert html_text.main_text(page) == f"{WORDS * 6}Short end."
+
+
 def test_rows(spark):
     rows = [(1, "u", None, 0), (2, None, "", 1), (None, "v", "<article>a b</article>", 2), (4, "w", "<article>a b</article>", 3),
             (4, "w", "<article>a b</article>", 3)]
