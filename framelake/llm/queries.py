@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cnn, html_text, packing, pii, rollups, simhash, sketches, topk, warc
+from . import bpe, cnn, html_text, minhash, packing, pii, rollups, simhash, sketches, topk, warc
 from .registry import ORACLES, QUERIES, query, table
 from .scratch import new_path, stored
 
@@ -77,3 +77,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html")
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_minhash")
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
