@@ -12,11 +12,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise KeyError(f"query {name} is registered twice")
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
 
     return register
