@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cnn, divergence, html_text, minhash, packing, pii, rollups, simhash, sketches, topk, warc
+from . import bpe, cnn, divergence, html_text, minhash, packing, phrases, pii, rollups, simhash, sketches, topk, warc
 from .registry import ORACLES, QUERIES, query, table
 from .scratch import new_path, stored
 
@@ -84,6 +84,11 @@ def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op11_phrases", phrases.SQL)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_divergence", divergence.SQL)
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
