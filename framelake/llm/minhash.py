@@ -200,7 +200,9 @@ def linked(
         yield from forest.join(np.full(len(near), x), near)
 
 
-def _marked(shingle: int, sketcher: Sketcher):
+def _marked(shingle: int, sketcher: Sketcher, mark: Callable[[np.ndarray], int]):
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -209,10 +211,9 @@ def _marked(shingle: int, sketcher: Sketcher):
                 minima = sketcher.minima(found)
                 bits = minima.astype(np.uint8).tobytes()
                 keys = sketcher.keys(minima) if len(found) else np.zeros(0, np.int64)
-                rows.append((xxhash.xxh3_128_digest(found.tobytes(), SEED), len(found), bits, keys))
-            code, n, bits, keys = zip(*rows) if rows else ((), (), (), ())
-            made = [pa.array(code, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "c1", "c2", "code", "n", "sketch", "keys"])
+                rows.append((xxhash.xxh3_128_digest(found.tobytes(), SEED), len(found), mark(found), bits, keys))
+            made = [pa.array(own, kind) for own, kind in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "c1", "c2", "code", "n", "fp", "sketch", "keys"])
 
     return run
 
@@ -317,14 +318,17 @@ class Copies:
     similar, shingle: see above. rows, hashes: the bounds of a cell, smaller ones only for tests.
     """
 
+    #: A number that a subclass keeps with each set.
+    mark = staticmethod(len)
+
     def __init__(self, docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, band: int = BAND, rows: int = ROWS, hashes: int = HASHES):
         self.docs, self.shingle, self.similar, self.rows, self.hashes = docs, shingle, similar, rows, hashes
         sketcher = Sketcher(bands(similar, band), band)
         self.screen = Screen(len(sketcher.factor), similar)
-        kinds = "doc_id long, c1 long, c2 long, code binary, n long, sketch binary, keys array<long>"
+        kinds = "doc_id long, c1 long, c2 long, code binary, n long, fp long, sketch binary, keys array<long>"
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(docs), "text")
-        self.marked = stored(texts.mapInArrow(_marked(shingle, sketcher), kinds), "marked")
-        firsts = self.marked.groupBy("code").agg(F.min(F.struct("c1", "c2", "n", "sketch", "keys")).alias("first"), F.min("doc_id").alias("low"))
+        self.marked = stored(texts.mapInArrow(_marked(shingle, sketcher, self.mark), kinds), "marked")
+        firsts = self.marked.groupBy("code").agg(F.min(F.struct("c1", "c2", "n", "fp", "sketch", "keys")).alias("first"), F.min("doc_id").alias("low"))
         self.sets = stored(firsts.select(F.monotonically_increasing_id().alias("id"), "code", "low", "first.*"), "sets")
 
     def buckets(self) -> DataFrame:

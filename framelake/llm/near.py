@@ -1,250 +1,68 @@
-"""Near copies by exact Jaccard similarity of word shingles, over a prefix index.
-
-Sets. A text's A-Z are lower-cased, its words are runs of anything but ASCII white space, and its
-set has the XXH64 hash of each run of `shingle` words (all words if there are fewer). Texts without
-words, null texts included, have the empty set. Texts with equal sets are one entry from here on.
-
-Links. Two texts link if the Jaccard similarity of their sets is at least `similar`, a fraction of
-integers, so no rounding decides. Groups are the connected components of the links.
-
-Index. If all sets are sorted by one order, two sets of similarity t share one of the first
-n - ceil(t n) + 1 hashes of each. That holds for every order, so the index finds all links: recall
-is 1 by construction. The order only decides the cost. Hashes that are frequent in a sample of the
-texts come last, so a line that many texts have is seldom a key.
-
-Filter. Each set has a signature of `BITS` bits; a bit holds whether an odd number of its hashes fall
-there. A hash that only one of two sets has flips one bit, so two signatures differ in no more bits
-than the sets in hashes. Pairs of a key with too many differing bits or too different sizes can't
-link; others may. No linked pair is lost.
-
-Comparison. Texts connected by pairs that may link form a cluster; in a cluster above `CLUSTER` texts each
-key is a group of its own. Groups are cut into chunks of about `CHUNK` texts, and each pair of chunks
-is one group of rows, whose intersections a task counts by matrix products. It gives a spanning
-forest of links, never all pairs. The work grows with the square of a group, but is spread.
+"""One document of each group of near copies: SimHash links first, bands for what they can't reach, exact Jaccard decides.
+
+Sets are the distinct runs of five words of a text (`minhash.shingles`). Two texts link if the
+Jaccard similarity of their sets is at least `similar`; texts without words are copies of each other.
+Groups are the connected components of the links.
+
+Candidates come from two indexes. The Gray-order index of `simhash` links the sets' 64-bit SimHash
+fingerprints at three differing bits. At a similarity of 0.8 about ten of 64 bits differ, and no
+radius that an index over 64 bits can serve reaches that, so the bands of `minhash` give
+the other pairs, with their miss probability. All candidates, whichever index they come from, are
+verified together on full sets (`minhash.Copies`), each set shipped once for a cluster that fits a
+task. So no pair below the threshold joins a group.
+
+Kept is the row with the smallest doc_id of a group (nulls come last), of several such rows that with
+the smallest 128-bit hash of the whole row; repeats of that row go. Null and empty texts are one
+group, very long texts are read whole, other columns of any name are kept as they are, and an empty
+table stays empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby, repeat
-
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from . import minhash, simhash
 from .scratch import stored
-from .simhash import content, one_of_each
 
 SHINGLE = 5
 SIMILAR = (4, 5)
-SEED = 42
-#: One of so many texts is read for the order of the hashes; a hash in so many of those comes late.
-SAMPLE = 16
-FREQUENT = 4
-#: Most frequent hashes that the order knows.
-LATE = 65_536
-#: Texts of a cluster that is compared as one group, and of a chunk.
-CLUSTER = 4096
-CHUNK = 128
-#: Hashes of a group whose intersections are counted together.
-COLUMNS = 8192
-#: Bits of a signature, and signatures that are compared with all others of a key together.
-BITS = 512
-BUFFER = 256
-
-
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes, ascending."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64))
-
-
-def prefix(found: np.ndarray, late: np.ndarray, rank: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """The hashes that the set is indexed by; late: ascending, with their rank, from 1 on."""
-    n, (p, q) = len(found), similar
-    order = np.zeros(n, np.int64)
-    if len(late):
-        at = np.minimum(np.searchsorted(late, found), len(late) - 1)
-        order = np.where(late[at] == found, rank[at], 0)
-    return found[np.lexsort((found, order))[: n + (-p * n // q) + 1 if n else 0]]
-
-
-def signature(found: np.ndarray) -> bytes:
-    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _join(parent: list[int], pairs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs that connect what isn't connected yet."""
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in pairs.tolist():
-        x, y = root(i), root(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            yield i, j
-
-
-def possible(n: np.ndarray, signatures: np.ndarray, similar: tuple[int, int] = SIMILAR) -> Iterator[tuple[int, int]]:
-    """Positions that connect all sets which may link; signatures: one row of 64-bit words for each set."""
-    (p, q), parent = similar, list(range(len(n)))
-    for low in range(0, len(n), BUFFER):
-        own = slice(low, low + BUFFER)
-        total, differ = n[own, None] + n, np.zeros((len(n[own]), len(n)), np.int64)
-        for word in signatures.T:
-            differ += np.bitwise_count(word[own, None] ^ word)
-        near = (p + q) * differ <= (q - p) * total  # of a linked pair, at most that share of both is apart
-        near &= q * np.minimum(n[own, None], n) >= p * np.maximum(n[own, None], n)
-        near &= np.arange(low, low + len(near))[:, None] < np.arange(len(n))
-        yield from _join(parent, np.argwhere(near) + (low, 0))
-
-
-def forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
-    """Positions of linked sets; what is connected already is left out."""
-    p, q = similar
-    n = np.array([len(s) for s in sets])
-    owner, (_, column, count) = np.repeat(np.arange(len(sets)), n), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1  # hashes of one set only add nothing
-    both = np.flatnonzero(count[column] > 1)
-    owner, column = owner[both], number[column[both]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.int64)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (low, low + COLUMNS))
-        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
-        held[owner[a:b], column[a:b] - low] = 1
-        common += (held @ held.T).astype(np.int64)
-    linked = np.argwhere(np.triu((p + q) * common >= p * (n[:, None] + n), 1))
-    return list(_join(list(range(len(sets))), linked))
-
-
-def _indexed(shingle: int, similar: tuple[int, int], late: np.ndarray, rank: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(text.as_py(), shingle) for text in batch.column(2)]
-            codes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-            keys = pa.array([prefix(s, late, rank, similar).view(np.int64) for s in found], pa.list_(pa.int64()))
-            n = pa.array([len(s) for s in found], pa.int64())
-            columns = [batch.column(0), batch.column(1), pa.array(codes), n, pa.array(map(signature, found), pa.binary()), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "code", "n", "signature", "keys"])
-
-    return run
-
-
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(text.as_py(), shingle).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["code", "found"])
-
-    return run
-
-
-def _may_link(similar: tuple[int, int]):
-    """Rows (key, code, n, signature) lie sorted by key."""
-
-    def ends(rows: pa.Table) -> Iterator[np.ndarray]:
-        key, code, n = (rows.column(i).to_numpy() for i in range(3))
-        bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        at = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for a, b in zip(at, at[1:]):
-            pairs = list(possible(n[a:b], bits[a:b], similar))
-            if pairs:
-                yield code[a:b][np.array(pairs)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            key = rows.column(0).to_numpy()
-            last = np.searchsorted(key, key[-1]) if len(key) else 0
-            held = rows.slice(last)
-            for found in ends(rows.slice(0, last)) if last else ():
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-        for found in ends(held) if held is not None and held.num_rows else ():
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    return run
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        *keys, codes, found = batch.columns
-        for i, key in enumerate(zip(*(k.to_pylist() for k in keys))):
-            yield key, codes[i].as_py(), found[i].values.to_numpy().view(np.uint64)
-
-
-def _compare(similar: tuple[int, int]):
-    """Rows lie sorted by (group, low, high)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groupby(_rows(batches), lambda row: row[0]):
-            _, codes, sets = zip(*rows)
-            pairs = np.array(forest(list(sets), similar), np.int64).reshape(-1, 2)
-            ends = np.array(codes, np.int64)[pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-    return run
-
-
-def frequent(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that come late in the order, ascending, and their ranks."""
-    some = docs.filter(F.pmod(content(docs), F.lit(SAMPLE)) == 0).select(F.lit(0).cast("long").alias("code"), "text")
-    hashes = some.mapInArrow(_sets(shingle), "code long, found array<long>").select(F.explode("found").alias("key"))
-    counts = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "key").limit(LATE).collect()  # <= LATE rows
-    late = np.array([row["key"] for row in top], np.int64).view(np.uint64)
-    order = np.argsort(late)
-    return late[order], len(top) - order
-
-
-def groups(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, cluster: int = CLUSTER) -> DataFrame:
-    """doc_id, content, root for each row of docs; root is the same for all rows of a group."""
-    rows = docs.select("doc_id", content(docs).alias("content"), "text")
-    index = _indexed(shingle, similar, *frequent(docs, shingle))
-    kinds = "doc_id long, content long, code long, n long, signature binary, keys array<long>"
-    marked = stored(rows.mapInArrow(index, kinds), "marked")
-    keyed = marked.dropDuplicates(["code"]).select("code", F.explode("keys").alias("key"))
-    keyed = keyed.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    shared = stored(keyed.filter("texts > 1").select("key", "code"), "shared")
-    bits = marked.groupBy("code").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
-    placed = shared.join(bits, "code").select("key", "code", "n", "signature")
-    placed = placed.repartition("key").sortWithinPartitions("key")
-    clusters = stored(components(placed.mapInArrow(_may_link(similar), "a long, b long")), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    placed = clusters.join(sizes, "root").withColumnRenamed("vertex", "code")
-    by_key = shared.select("key", "code").join(placed.filter(F.col("n") > cluster).select("code"), "code")
-    by_key = by_key.join(by_key.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    placed = placed.filter(F.col("n") <= cluster).select("code", F.col("root").alias("group"), "n")
-    placed = placed.unionByName(by_key.select("code", F.col("key").alias("group"), "n"))
-    first = marked.join(clusters.select(F.col("vertex").alias("code")), "code").groupBy("code").agg(F.min("content").alias("content"))
-    texts = rows.select("content", "text").join(first, "content").select("code", "text")
-    sets = texts.mapInArrow(_sets(shingle), "code long, found array<long>").dropDuplicates(["code"])
-    chunks = F.ceil(F.col("n") / CHUNK)
-    chunk = F.pmod(F.xxhash64("code", "group"), chunks)
-    pairs = placed.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    blocks = pairs.select(
-        "group", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "code"
-    ).join(sets, "code").select("group", "low", "high", "code", "found")
-    blocks = blocks.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
-    roots = stored(components(blocks.mapInArrow(_compare(similar), "a long, b long")), "roots")
-    found = marked.join(roots, marked["code"] == roots["vertex"], "left")
-    return found.select("doc_id", "content", F.coalesce("root", "code").alias("root"))
-
-
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """One row of docs for each group, chosen as `simhash.one_of_each` says."""
-    return one_of_each(docs, groups(docs, shingle, similar))
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set as a signed long: a bit is set if it is in more than half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(found), simhash.COUNTED):
+        part = found[low : low + simhash.COUNTED]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
+
+
+class NearCopies(minhash.Copies):
+    """Copies whose candidates also come from SimHash links."""
+
+    mark = staticmethod(fingerprint)
+
+    def may_link(self) -> DataFrame:
+        marked = self.sets.filter("n > 0").select("id", "fp")
+        distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+        first = [distinct.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_id")) for end in ("a", "b")]
+        found = simhash.links(distinct.select("fp")).join(first[0], "a").join(first[1], "b")
+        equal = marked.join(distinct, "fp").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+        close = found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        return super().may_link().unionByName(equal).unionByName(close)
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, **bounds: int) -> DataFrame:
+    """doc_id, c1, c2, root for each row of docs; c1, c2: hashes of the row, root: the same for all rows of a group."""
+    copies = NearCopies(docs, shingle, similar, **bounds)
+    return copies.marked.select("doc_id", "c1", "c2", "code").join(copies.roots().select("code", "root"), "code").drop("code")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, **bounds: int) -> DataFrame:
+    """One row of docs for each group."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2")).alias("first")
+    kept = groups(docs, shingle, similar, **bounds).groupBy("root").agg(first).select("first.c1", "first.c2").distinct()
+    rows = docs.select(*minhash.identity(docs), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(kept, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("row").alias("row")).select("row.*")

@@ -48,32 +48,33 @@ def texts_with_edges():
     return texts
 
 
-@pytest.mark.parametrize("chunk,cluster,sample", [(128, 4096, 16), (3, 4096, 1), (4, 5, 1)])
-def test_groups_equal_all_pairs(documents, monkeypatch, chunk, cluster, sample):
-    monkeypatch.setattr(near, "CHUNK", chunk)
-    monkeypatch.setattr(near, "SAMPLE", sample)
+@pytest.mark.parametrize("bounds", [{}, {"rows": 4}, {"hashes": 300}])
+def test_groups_equal_all_pairs(documents, bounds):
     texts = texts_with_edges()
-    found = {r.doc_id: r.root for r in near.groups(documents(list(enumerate(texts))), cluster=cluster).collect()}
+    found = {r.doc_id: r.root for r in near.groups(documents(list(enumerate(texts))), **bounds).collect()}
     low = plain_roots(texts)
     roots = [found[i] for i in range(len(texts))]
     assert [roots.index(r) for r in roots] == low
 
 
-def test_prefixes_meet_in_any_order():
+def test_fingerprints_follow_the_majority_of_a_set():
     draw = np.random.default_rng(3)
-    for _ in range(200):
-        a = np.unique(draw.integers(0, 2**63, draw.integers(1, 60)).astype(np.uint64))
-        b = np.unique(np.append(draw.permutation(a)[: draw.integers(0, len(a) + 1)], draw.integers(0, 2**63, draw.integers(0, 12)).astype(np.uint64)))
-        late = np.unique(draw.permutation(np.union1d(a, b))[: draw.integers(0, 30)])
-        rank = draw.permutation(len(late)) + 1
-        common = len(np.intersect1d(a, b))
-        if 5 * common >= 4 * (len(a) + len(b) - common):
-            assert len(np.intersect1d(near.prefix(a, late, rank), near.prefix(b, late, rank)))
-            assert near.forest([a, b]) == [(0, 1)]
-            bits = np.frombuffer(near.signature(a) + near.signature(b), np.uint64).reshape(2, -1)
-            assert list(near.possible(np.array([len(a), len(b)]), bits)) == [(0, 1)]
-        else:
-            assert near.forest([a, b]) == []
+    for n in (0, 1, 2, 7, 100_000):
+        found = np.unique(draw.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        ones = [sum(int(h) >> bit & 1 for h in found[:101].tolist()) for bit in range(64)]
+        expected = sum(1 << bit for bit in range(64) if 2 * ones[bit] > len(found[:101]))
+        assert near.fingerprint(found[:101]) & (2**64 - 1) == expected
+    whole = np.array([near.fingerprint(found)]).view(np.uint64)[0]
+    assert int(whole) & 1 == 1  # all hashes are odd
+
+
+def test_extra_columns_and_repeats_stay_as_they_are(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, 1, "x"), (4, text, 2, "y"), (4, text, 2, "y"), (4, text, 3, "z"), (9, None, 5, "x"), (8, "", 6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c1 int, `a.b` string")
+    kept = near.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r[0], r[1]) for r in kept.collect()) == [(4, text), (8, "")]
 
 
 def test_the_stage_drops_near_copies_that_three_bits_miss(spark, documents):

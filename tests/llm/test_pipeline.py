@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from framelake.llm import cnn, pii
+from test_near import plain_roots
 from test_pii import PATTERNS, brute
-from test_simhash import plain_fingerprint, plain_groups
 
 
 def pieces_of(rows):
@@ -45,7 +45,7 @@ def by_hand(spark, docs, labels):
     """(doc_id, masked text) of the documents that are left."""
     net = cnn.fit(docs, labels)
     rows = [(r.doc_id, r.text) for r in docs.collect() if net.score(r.text or "") >= 0.3]
-    groups = plain_groups([plain_fingerprint(text) for _, text in rows])
+    groups = plain_roots([text for _, text in rows])
     kept = {}
     for row, group in zip(rows, groups):
         kept[group] = min(row, kept.get(group, row), key=lambda r: (r[0] is None, r[0] or 0))
