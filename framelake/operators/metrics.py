@@ -1,7 +1,9 @@
-"""Clustering and segmentation scores from pixel tables.
+"""Clustering and segmentation scores from label frames (`label_frames`) or pixel tables.
 
-All pixel work is one shuffle: true and predicted rows are united and folded per
-point, which yields the classes of the point and shows overlaps at the same time.
+Functions named `..._of` start from label frames or their class-pair counts, which need no
+shuffle of pixels; the others take pixel tables. All pixel work of those is one shuffle: true
+and predicted rows are united and folded per point, which yields the classes of the point and
+shows overlaps at the same time.
 The next aggregation leaves class-pair counts per sample (cells), which map-side
 aggregation already shrinks; totals, background removal and scores use only those.
 Class pairs without a shared point are left out: their overlap is zero.
@@ -11,11 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .label_frames import region_and_boundary
 from .masks import drop_overlaps, mask_boundaries
-from .matching import match_optimal
+from .matching import best_assignment, match_optimal
 
 TRUE, PRED = "true_class", "pred_class"
 BACKGROUND = 0
@@ -34,11 +40,13 @@ def class_cells(
     ignore_overlaps: bool = False,
     overlaps_leave_pred: bool = False,
     one_pred: bool = True,
+    ignore_background: bool = False,
 ) -> DataFrame:
     """(sample, true_class, pred_class, n, labelled): points per class pair, null where a side has none.
 
     A point of the masks needs exactly one predicted class (`one_pred`; boundaries are
-    not whole masks). A row that repeats a point's class fails the job too.
+    not whole masks). A row that repeats a point's class fails the job too, and with
+    `ignore_background` so does a point without a true class.
 
     `labelled` says whether the cell has points with a true class, overlapping ones
     included. Overlapping true classes fail the job, or, when ignored, leave the truth
@@ -61,6 +69,8 @@ def class_cells(
     true_class = F.when(
         overlap & (F.col("__t") == F.col("__low")), F.raise_error(F.lit("a true class is repeated at a point"))
     )
+    if ignore_background:
+        true_class = true_class.when(F.col("__n_t") == 0, F.raise_error(F.lit("a point has no true class")))
     true_class = true_class.when(~overlap, F.col("__t")).otherwise(
         nothing if ignore_overlaps else F.raise_error(F.lit("true classes overlap"))
     )
@@ -134,7 +144,12 @@ def adjusted_rand_index(
     Samples count before background and overlaps are removed, so one that holds
     nothing else scores 1.0.
     """
-    cells = class_cells(true, pred, sample, point, cls, ignore_overlaps)
+    cells = class_cells(true, pred, sample, point, cls, ignore_overlaps, ignore_background=ignore_background)
+    return adjusted_rand_index_of(cells, sample, ignore_background)
+
+
+def adjusted_rand_index_of(cells: DataFrame, sample: Sequence[str], ignore_background: bool = False) -> DataFrame:
+    """The same from class-pair counts."""
     scored = cells.groupBy(*sample).agg(F.max("labelled").alias("labelled")).filter("labelled").drop("labelled")
     both = shared(cells, ignore_background).withColumn("n", F.col("n").cast("double"))
 
@@ -202,7 +217,18 @@ def matched_iou(
     none: the predicted class with the same index (equal class counts, when given);
     overlap: the best predicted class; optimal: one-to-one with the largest total.
     """
-    cells = class_cells(true, pred, sample, point, cls, ignore_overlaps, overlaps_leave_pred=True)
+    cells = class_cells(true, pred, sample, point, cls, ignore_overlaps, True, ignore_background=ignore_background)
+    return matched_iou_of(cells, sample, matching, n_classes, ignore_background)
+
+
+def matched_iou_of(
+    cells: DataFrame,
+    sample: Sequence[str],
+    matching: str,
+    n_classes: tuple[int, int] | None = None,
+    ignore_background: bool = False,
+) -> DataFrame:
+    """The same from class-pair counts."""
     ious = pairwise_iou(confusion_of(cells, sample, ignore_background))
     if matching == "none":
         if n_classes is not None and n_classes[0] != n_classes[1]:
@@ -233,9 +259,19 @@ def mean_iou(
     A sample without such a class has no row. Predicted pixels on removed background
     still count in the union.
     """
-    matched = matched_iou(
-        true, pred, sample, point, matching, cls, None, ignore_background, ignore_overlaps
+    return mean_of(
+        matched_iou(true, pred, sample, point, matching, cls, None, ignore_background, ignore_overlaps), sample
     )
+
+
+def mean_iou_of(
+    cells: DataFrame, sample: Sequence[str], matching: str = "overlap", ignore_background: bool = False
+) -> DataFrame:
+    """The same from class-pair counts."""
+    return mean_of(matched_iou_of(cells, sample, matching, None, ignore_background), sample)
+
+
+def mean_of(matched: DataFrame, sample: Sequence[str]) -> DataFrame:
     return matched.groupBy(*sample).agg(
         F.count(F.lit(1)).alias("n_classes"), F.avg("iou").alias("mean_iou")
     )
@@ -331,6 +367,61 @@ def j_and_f(
     )
 
 
+def boundary_f_measure_of(
+    frames: DataFrame, frame: Sequence[str], height: int, width: int, ignore_background: bool = False
+) -> DataFrame:
+    """(frame, true_class, pred_class, precision, recall, f_measure) of label frames, for pairs whose boundaries meet."""
+    rows = region_and_boundary(frames, frame, height, width, ignore_background=ignore_background)
+    return rows.filter("shared").drop("iou", "shared")
+
+
+def j_and_f_of(
+    frames: DataFrame,
+    video: Sequence[str],
+    frame: str,
+    height: int,
+    width: int,
+    match_by: str = "j_and_f",
+    ignore_background: bool = False,
+    ignore_overlaps: bool = False,
+) -> DataFrame:
+    """`j_and_f` of label frames: regions and boundaries are scored in one pass, then one row a class pair is moved."""
+    if match_by not in ("j_and_f", "jaccard", "f_measure"):
+        raise ValueError(f"unknown matching score {match_by}")
+    rows = region_and_boundary(
+        frames, [*video, frame], height, width, ignore_background=ignore_background, ignore_overlaps=ignore_overlaps
+    )
+    sums = rows.groupBy(*video, TRUE, PRED).agg(
+        F.sum("iou").alias("j"), F.sum("f_measure").alias("f"), F.count(F.lit(1)).alias("n")
+    )
+    # A video's class pairs meet in the task that matches them, with its number of frames.
+    schema = T.StructType(
+        [frames.schema[c] for c in video]
+        + [T.StructField("n_classes", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("jaccard", "boundary_f_measure", "j_and_f")]
+    )
+
+    def match(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        n_frames = table.loc[table[TRUE].isna(), "n"].sum()
+        n_classes = int((table[TRUE].notna() & table[PRED].isna()).sum())
+        pairs = table[table[PRED].notna()]
+        if not n_classes:
+            return pd.DataFrame([], columns=schema.fieldNames())
+        scores = {"jaccard": pairs["j"] / n_frames, "f_measure": pairs["f"] / n_frames}
+        scores["j_and_f"] = (scores["jaccard"] + scores["f_measure"]) / 2
+        rows, row_of = np.unique(pairs[TRUE], return_inverse=True)
+        cols, col_of = np.unique(pairs[PRED], return_inverse=True)
+        gain = np.zeros((len(rows), len(cols)))
+        gain[row_of, col_of] = scores[match_by]
+        chosen = np.zeros(gain.shape, bool)
+        for r, c in best_assignment(gain):
+            chosen[r, c] = True
+        means = [scores[name][chosen[row_of, col_of]].sum() / n_classes for name in ("jaccard", "f_measure", "j_and_f")]
+        return pd.DataFrame([[*key, n_classes, *means]], columns=schema.fieldNames())
+
+    return sums.groupBy(*video).applyInPandas(match, schema)
+
+
 def metric_state(scores: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mergeable state of a metric: sum of values and their number."""
     return scores.groupBy(*keys).agg(F.sum(value).alias("value_sum"), F.count(value).alias("value_count"))

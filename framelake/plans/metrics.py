@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_doubles
-from ..operators import masks, metrics as ops
+from ..operators import label_frames, masks, metrics as ops
 from . import views as v
 from .registry import joined, query, r6, s6
 
@@ -46,9 +46,15 @@ MASKS = ("true_mask", "pred_mask")
 
 
 def both(spark, sf):
+    """Pixel rows of the two masks."""
     return v.true_mask(spark, sf), v.pred_mask(spark, sf)
 
 
+def cells(spark, sf, sample, **options):
+    """Class-pair counts of the packed masks."""
+    return label_frames.class_cells(v.label_frames(spark, sf), FRAME, sample, **options)
+
+
 @query(
     "soft_to_hard_mask",
     v.with_views("patches", "hard_mask")
@@ -149,6 +155,7 @@ def contingency_counts(spark, sf):
     + "SELECT video, frame, true_class, pred_class, tp, fp, fn FROM conf",
 )
 def mask_confusion(spark, sf):
+    """From pixel rows, as `contingency_counts` is."""
     return ops.confusion(*both(spark, sf), FRAME, POINT)
 
 
@@ -157,7 +164,7 @@ def mask_confusion(spark, sf):
     v.with_views(*MASKS, extra=ari_sql("video, frame")) + f"SELECT video, frame, {s6('ari')} AS ari FROM ari",
 )
 def ari_per_sample(spark, sf):
-    return ops.adjusted_rand_index(*both(spark, sf), FRAME, POINT).withColumn("ari", r6(F.col("ari")))
+    return ops.adjusted_rand_index_of(cells(spark, sf, FRAME), FRAME).withColumn("ari", r6(F.col("ari")))
 
 
 def report(scores, value):
@@ -170,7 +177,7 @@ def report(scores, value):
     v.with_views(*MASKS, extra=ari_sql("video, frame")) + f"SELECT {s6('avg(ari)')} AS ari, count(*) AS n_samples FROM ari",
 )
 def image_ari(spark, sf):
-    return report(ops.adjusted_rand_index(*both(spark, sf), FRAME, POINT), "ari")
+    return report(ops.adjusted_rand_index_of(cells(spark, sf, FRAME), FRAME), "ari")
 
 
 @query(
@@ -178,7 +185,7 @@ def image_ari(spark, sf):
     v.with_views(*MASKS, extra=ari_sql("video")) + f"SELECT {s6('avg(ari)')} AS ari, count(*) AS n_samples FROM ari",
 )
 def video_ari(spark, sf):
-    return report(ops.adjusted_rand_index(*both(spark, sf), VIDEO, ["frame", *POINT]), "ari")
+    return report(ops.adjusted_rand_index_of(cells(spark, sf, VIDEO), VIDEO), "ari")
 
 
 @query(
@@ -187,7 +194,7 @@ def video_ari(spark, sf):
 )
 def fg_ari(spark, sf):
     """Foreground ARI over all frames of a video."""
-    scores = ops.adjusted_rand_index(*both(spark, sf), VIDEO, ["frame", *POINT], ignore_background=True)
+    scores = ops.adjusted_rand_index_of(cells(spark, sf, VIDEO, ignore_background=True), VIDEO, ignore_background=True)
     return scores.withColumn("ari", r6(F.col("ari")))
 
 
@@ -197,7 +204,7 @@ def fg_ari(spark, sf):
     + f"SELECT video, frame, true_class, pred_class, {s6('iou')} AS iou FROM conf",
 )
 def pairwise_iou(spark, sf):
-    ious = ops.pairwise_iou(ops.confusion(*both(spark, sf), FRAME, POINT))
+    ious = ops.pairwise_iou(ops.confusion_of(cells(spark, sf, FRAME), FRAME))
     return ious.select(*FRAME, "true_class", "pred_class", r6(F.col("iou")).alias("iou"))
 
 
@@ -208,7 +215,7 @@ def pairwise_iou(spark, sf):
     LEFT JOIN (SELECT * FROM conf WHERE true_class = pred_class) USING (video, frame, true_class)""",
 )
 def iou_match_none(spark, sf):
-    ious = ops.matched_iou(*both(spark, sf), FRAME, POINT, "none")
+    ious = ops.matched_iou_of(cells(spark, sf, FRAME), FRAME, "none")
     return ious.withColumn("iou", r6(F.col("iou")))
 
 
@@ -220,12 +227,12 @@ def mean_of_best(sample: str) -> str:
 
 @query("image_mbo", v.with_views(*MASKS, extra=conf_sql("video, frame")) + mean_of_best("video, frame"))
 def image_mbo(spark, sf):
-    return report(ops.mean_iou(*both(spark, sf), FRAME, POINT, "overlap"), "mean_iou")
+    return report(ops.mean_iou_of(cells(spark, sf, FRAME), FRAME), "mean_iou")
 
 
 @query("video_mbo", v.with_views(*MASKS, extra=conf_sql("video")) + mean_of_best("video"))
 def video_mbo(spark, sf):
-    return report(ops.mean_iou(*both(spark, sf), VIDEO, ["frame", *POINT], "overlap"), "mean_iou")
+    return report(ops.mean_iou_of(cells(spark, sf, VIDEO), VIDEO), "mean_iou")
 
 
 CLEAN = {
@@ -243,30 +250,27 @@ CLEAN = {
 )
 def mean_iou(spark, sf):
     """Overlapping points and the background are ignored."""
-    scores = ops.mean_iou(
-        v.overlapping_mask(spark, sf),
-        v.pred_mask(spark, sf),
-        VIDEO,
-        ["frame", *POINT],
-        "overlap",
-        ignore_background=True,
-        ignore_overlaps=True,
+    counts = cells(
+        spark, sf, VIDEO, true="overlapping", ignore_overlaps=True, ignore_background=True, overlaps_leave_pred=True
     )
+    scores = ops.mean_iou_of(counts, VIDEO, ignore_background=True)
     return scores.withColumn("mean_iou", r6(F.col("mean_iou")))
 
 
-def assignment_sql(source: str, score: str, keys: str, n_true: int, n_pred: int) -> dict[str, str]:
-    """Best one-to-one total by dynamic programming over sets of used predictions."""
+def assignment_sql(source: str, score: str, keys: str, n_true: int, n_pred: int, also: tuple[str, ...] = ()) -> dict[str, str]:
+    """Best one-to-one total by dynamic programming over sets of used predictions; also: sums over the best pairs."""
+    zeros = "".join(f", 0.0::DOUBLE AS {c}" for c in also)
+    best, kept, added = ("".join(form.format(c=c) for c in also) for form in (", arg_max({c}, total) AS {c}", ", {c}", ", d.{c} + s.{c} AS {c}"))
     views = {
-        "dp0": f"SELECT {keys}, 0 AS used, 0.0::DOUBLE AS total FROM (SELECT DISTINCT {keys} FROM {source})",
+        "dp0": f"SELECT {keys}, 0 AS used, 0.0::DOUBLE AS total{zeros} FROM (SELECT DISTINCT {keys} FROM {source})",
     }
     for c in range(n_true):
-        views[f"dp{c + 1}"] = f"""SELECT {keys}, used, max(total) AS total FROM (
-          SELECT {keys}, used, total FROM dp{c}
-          UNION ALL SELECT {keys}, d.used | (1 << s.pred_class::INT), d.total + s.{score}
+        views[f"dp{c + 1}"] = f"""SELECT {keys}, used, max(total) AS total{best} FROM (
+          SELECT {keys}, used, total{kept} FROM dp{c}
+          UNION ALL SELECT {keys}, d.used | (1 << s.pred_class::INT), d.total + s.{score}{added}
           FROM dp{c} d JOIN {source} s USING ({keys}) WHERE s.true_class = {c} AND d.used & (1 << s.pred_class::INT) = 0)
           GROUP BY ALL"""
-    views["best"] = f"SELECT {keys}, max(total) AS total FROM dp{n_true} GROUP BY {keys}"
+    views["best"] = f"SELECT {keys}, max(total) AS total{best} FROM dp{n_true} GROUP BY {keys}"
     return views
 
 
@@ -277,7 +281,7 @@ def assignment_sql(source: str, score: str, keys: str, n_true: int, n_pred: int)
     FROM nt LEFT JOIN best USING (video, frame) GROUP BY video, frame""",
 )
 def iou_match_optimal(spark, sf):
-    scores = ops.mean_iou(*both(spark, sf), FRAME, POINT, "optimal")
+    scores = ops.mean_iou_of(cells(spark, sf, FRAME), FRAME, "optimal")
     return scores.withColumn("mean_iou", r6(F.col("mean_iou")))
 
 
@@ -288,7 +292,7 @@ def iou_match_optimal(spark, sf):
     {s6('2 * prec * rec / (prec + rec)')} AS f_measure FROM conf""",
 )
 def pairwise_f_measure(spark, sf):
-    scored = ops.pairwise_f_measure(ops.confusion(*both(spark, sf), FRAME, POINT))
+    scored = ops.pairwise_f_measure(ops.confusion_of(cells(spark, sf, FRAME), FRAME))
     return scored.select(
         *FRAME, "true_class", "pred_class", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f_measure")]
     )
@@ -301,8 +305,7 @@ def boundary_sql(mask: str) -> str:
       GROUP BY ALL HAVING count(*) < 9"""
 
 
-SQUARES = ("square_true", "square_pred")
-EDGES = {"edge_true": boundary_sql("square_true"), "edge_pred": boundary_sql("square_pred")}
+EDGES = {"edge_true": boundary_sql("true_mask"), "edge_pred": boundary_sql("pred_mask")}
 
 
 @query(
@@ -320,23 +323,34 @@ def synthetic_squares(spark, sf):
 
 @query(
     "mask_boundaries",
-    v.with_views("square_true", extra={"edge_true": EDGES["edge_true"]})
+    v.with_views("true_mask", extra={"edge_true": EDGES["edge_true"]})
     + "SELECT video, frame, y, x, class FROM edge_true",
 )
 def mask_boundaries(spark, sf):
-    return masks.mask_boundaries(v.square_true(spark, sf), ["video", "frame", "class"], v.SIDE, v.SIDE)
+    """Boundaries of packed masks, unpacked to their pixels."""
+    edges = label_frames.mask_boundaries(v.label_frames(spark, sf), FRAME, "true", v.GRID_H, v.GRID_W)
+    return label_frames.pixels(edges, FRAME, "true", v.GRID_W)
+
+
+@query(
+    "square_boundaries",
+    v.with_views("square_true", extra={"edge_true": boundary_sql("square_true")})
+    + "SELECT video, frame, y, x, class FROM edge_true",
+)
+def square_boundaries(spark, sf):
+    """Boundaries of pixel rows, of one generated image per supplier."""
+    squares = v.square_masks(spark, sf).select("video", "frame", "y", "x", F.col("label").alias("class"))
+    return masks.mask_boundaries(squares, ["video", "frame", "class"], v.SIDE, v.SIDE)
 
 
 @query(
     "boundary_f_measure",
-    v.with_views(*SQUARES, extra={**EDGES, **conf_sql("video, frame", "edge_true", "edge_pred")})
+    v.with_views(*MASKS, extra={**EDGES, **conf_sql("video, frame", "edge_true", "edge_pred")})
     + f"""SELECT video, frame, true_class, pred_class, {s6('prec')} AS precision, {s6('rec')} AS recall,
     {s6('2 * prec * rec / (prec + rec)')} AS f_measure FROM conf""",
 )
 def boundary_f_measure(spark, sf):
-    scored = ops.boundary_f_measure(
-        v.square_true(spark, sf), v.square_pred(spark, sf), FRAME, v.SIDE, v.SIDE
-    )
+    scored = ops.boundary_f_measure_of(v.label_frames(spark, sf), FRAME, v.GRID_H, v.GRID_W)
     return scored.select(
         *FRAME, "true_class", "pred_class", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f_measure")]
     )
@@ -355,39 +369,36 @@ def renamed(views: dict[str, str], prefix: str) -> dict[str, str]:
 
 
 J_AND_F = {
-    "fg_true": "SELECT * FROM square_true WHERE class <> 0",
+    "fg_true": "SELECT * FROM true_mask WHERE class <> 0",
     "fg_edge": "SELECT * FROM edge_true WHERE class <> 0",
     **EDGES,
-    **renamed(conf_sql("video, frame", "fg_true", "square_pred"), "j_"),
+    **renamed(conf_sql("video, frame", "fg_true", "pred_mask"), "j_"),
     **renamed(conf_sql("video, frame", "fg_edge", "edge_pred"), "f_"),
-    "nf": "SELECT video, count(DISTINCT frame) AS n_frames FROM square_pred GROUP BY video",
+    "nf": "SELECT video, count(DISTINCT frame) AS n_frames FROM pred_mask GROUP BY video",
     "j": "SELECT video, true_class, pred_class, sum(iou) AS j FROM j_conf GROUP BY ALL",
     "f": "SELECT video, true_class, pred_class, sum(2 * prec * rec / (prec + rec)) AS f FROM f_conf GROUP BY ALL",
-    "jf": """SELECT video, true_class, pred_class, (coalesce(j, 0) + coalesce(f, 0)) / (2 * n_frames) AS score
+    "jf": """SELECT video, true_class, pred_class, coalesce(j, 0) / n_frames AS j, coalesce(f, 0) / n_frames AS f,
+      (coalesce(j, 0) + coalesce(f, 0)) / (2 * n_frames) AS score
       FROM j FULL JOIN f USING (video, true_class, pred_class) JOIN nf USING (video)""",
-    **assignment_sql("jf", "score", "video", 4, 4),
+    **assignment_sql("jf", "score", "video", 10, 8, also=("j", "f")),
 }
 J_AND_F = {k: J_AND_F[k] for k in ["edge_true", "edge_pred", *[k for k in J_AND_F if not k.startswith("edge_")]]}
 
 
 @query(
     "j_and_f",
-    v.with_views(*SQUARES, extra=J_AND_F)
-    + f"""SELECT video, count(DISTINCT class) AS n_classes, {s6('max(coalesce(total, 0)) / count(DISTINCT class)')} AS j_and_f
+    v.with_views(*MASKS, extra=J_AND_F)
+    + f"""SELECT video, count(DISTINCT class) AS n_classes, {s6('max(coalesce(j, 0)) / count(DISTINCT class)')} AS jaccard,
+    {s6('max(coalesce(f, 0)) / count(DISTINCT class)')} AS boundary_f_measure,
+    {s6('max(coalesce(total, 0)) / count(DISTINCT class)')} AS j_and_f
     FROM fg_true LEFT JOIN best USING (video) GROUP BY video""",
 )
 def j_and_f(spark, sf):
-    """Foreground J&F of shifted, relabelled squares; classes are matched per nation."""
-    scores = ops.j_and_f(
-        v.square_true(spark, sf),
-        v.square_pred(spark, sf),
-        VIDEO,
-        "frame",
-        v.SIDE,
-        v.SIDE,
-        ignore_background=True,
+    """Foreground J&F; classes are matched per video, all three scores are those of that matching."""
+    scores = ops.j_and_f_of(v.label_frames(spark, sf), VIDEO, "frame", v.GRID_H, v.GRID_W, ignore_background=True)
+    return scores.select(
+        "video", "n_classes", *[r6(F.col(c)).alias(c) for c in ("jaccard", "boundary_f_measure", "j_and_f")]
     )
-    return scores.select("video", "n_classes", r6(F.col("j_and_f")).alias("j_and_f"))
 
 
 @query(
@@ -397,7 +408,7 @@ def j_and_f(spark, sf):
 )
 def metric_mean_report(spark, sf):
     """States of the videos merged into one."""
-    partial = ops.metric_state(ops.adjusted_rand_index(*both(spark, sf), FRAME, POINT), "ari", VIDEO)
+    partial = ops.metric_state(ops.adjusted_rand_index_of(cells(spark, sf, FRAME), FRAME), "ari", VIDEO)
     merged = ops.merge_states(partial)
     return merged.select("value_count", r6(F.col("value_sum")).alias("value_sum"), r6(F.col("value")).alias("value"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.integers import div
 from ..functions.vectors import as_doubles
 from ..operators.episodes import episode_offsets
+from ..operators.label_frames import pack_labels
 from ..operators.masks import soft_array_to_hard
 from ..operators.mixing import mixed_union
 from ..operators.numbering import dense_index
@@ -217,6 +218,21 @@ def pred_mask(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def label_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a frame: packed labels of the true, the overlapping and the predicted mask, in one scan."""
+    soft = F.pmod(soft_array_to_hard(soft_values()), F.lit(CLASSES))
+    second = F.when(F.get("feature", F.lit(0)).cast("double") > 0.1, F.pmod(F.col("label") + 1, F.lit(10)))
+    one = patches(spark, sf).select("video", "frame", *grid_yx(), "label", soft.alias("soft"), second.alias("second"))
+    nothing = F.lit(None).cast("long")
+    # a point's second class is an entry of its own, which the other two masks don't have
+    first = F.struct(F.col("label").alias("true"), F.col("label").alias("overlapping"), F.col("soft").alias("pred"))
+    more = F.struct(nothing.alias("true"), F.col("second").alias("overlapping"), nothing.alias("pred"))
+    entries = F.when(F.col("second").isNull(), F.array(first)).otherwise(F.array(first, more))
+    rows = one.select("video", "frame", "y", "x", F.explode(entries).alias("e"))
+    sides = {name: F.col(f"e.{name}") for name in ("true", "overlapping", "pred")}
+    return pack_labels(rows, ["video", "frame"], GRID_H, GRID_W, sides)
+
+
 SIDE, OBJECTS = 24, 3
 
 
@@ -228,17 +244,6 @@ def square_masks(spark: SparkSession, sf: str, shift_x: int = 0) -> DataFrame:
     return square_images(images, "frame", SIDE, SIDE, OBJECTS, SEED, shift_x)
 
 
-def square_true(spark: SparkSession, sf: str) -> DataFrame:
-    return square_masks(spark, sf).select("video", "frame", "y", "x", F.col("label").alias("class"))
-
-
-def square_pred(spark: SparkSession, sf: str) -> DataFrame:
-    """The squares one pixel further right, under other class numbers."""
-    return square_masks(spark, sf, 1).select(
-        "video", "frame", "y", "x", F.pmod(F.col("label") + 1, F.lit(OBJECTS + 1)).alias("class")
-    )
-
-
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("event_id").alias("id"),
@@ -373,7 +378,6 @@ def _square_sql(shift_x: int, cls: str) -> str:
 
 
 SQL["square_true"] = ((), _square_sql(0, "label"))
-SQL["square_pred"] = ((), _square_sql(1, f"(label + 1) % {OBJECTS + 1}"))
 
 
 def with_views(*names: str, extra: dict[str, str] | None = None) -> str:

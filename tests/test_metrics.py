@@ -42,10 +42,12 @@ def test_adjusted_rand_index(spark, pred, expected):
 
 
 def test_background_only_sample_scores_one_and_empty_sample_is_skipped(spark):
-    true = points(spark, [0, 0, 0, 0], [None] * 4)
-    pred = points(spark, [0, 0, 1, 1], [0, 1, 0, 1])
+    true, pred = points(spark, [0, 0, 0, 0]), points(spark, [0, 0, 1, 1])
     out = metrics.adjusted_rand_index(true, pred, SAMPLE, POINT, ignore_background=True)
     assert [tuple(r) for r in out.collect()] == [(0, 1.0)]
+    true, pred = points(spark, [0, 0, 1, 1], [None] * 4), points(spark, [0, 0, 1, 1], [0, 1, 0, 1])
+    out = metrics.adjusted_rand_index(true, pred, SAMPLE, POINT)
+    assert [tuple(r) for r in out.collect()] == [(0, 1.0)]
 
 
 def test_ari_ignores_overlaps_only_in_the_truth(spark):
