@@ -43,6 +43,8 @@ TOP = 200
 #: Groups and terms of a block.
 GROUPS = 64
 TERMS = 8192
+#: Keys that a language's terms are joined by.
+SALTS = 128
 #: Counters that a task holds before it passes them on.
 HELD = 200_000
 
@@ -170,9 +172,11 @@ class Audit:
         term_blocks = F.greatest(F.ceil(F.col("v") / self.term_block), F.lit(1)).cast("int")
         group_blocks = F.ceil(F.col("groups") / self.group_block).cast("int")
         of_term = F.pmod(F.xxhash64("number"), F.col("term_blocks")).cast("int").alias("block")
-        shape = self.langs.select("lang", term_blocks.alias("term_blocks"))
-        widths = self.kept.join(shape, "lang").groupBy("lang", of_term).agg(F.count(F.lit(1)).alias("width"))
-        entries = self.counts.join(shape, "lang").withColumn("entry", F.struct("number", "n"))
+        # a language is spread over several keys of these joins
+        salt = F.pmod("number", F.lit(SALTS)).cast("int").alias("salt")
+        shape = self.langs.select("lang", term_blocks.alias("term_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        widths = self.kept.select("lang", "number", salt).join(shape, ["lang", "salt"]).groupBy("lang", of_term).agg(F.count(F.lit(1)).alias("width"))
+        entries = self.counts.select("lang", "source", "number", "n", salt).join(shape, ["lang", "salt"]).withColumn("entry", F.struct("number", "n"))
         slices = entries.groupBy("lang", "source", of_term).agg(F.sort_array(F.collect_list("entry")).alias("entries"))
         every = self.groups.select(
             "lang", "source", "total", group_blocks.alias("group_blocks"), F.explode(F.sequence(F.lit(0), term_blocks - 1)).alias("block")
