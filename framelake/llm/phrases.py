@@ -38,14 +38,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import dense_index
-from .quotient import MOST, Filter, pack, permute, unpack
+from .quotient import MOST, Filter, halves, pack, permute, unpack
 from .scratch import stored
 
 LEAST = 100
 TOP = 2000
 LONGEST = 5
 #: Positions of a task's open blocks, and items of a range that one task merges.
-TOKENS = 1 << 19
+TOKENS = 1 << 22
 ENTRIES = 1 << 21
 
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -129,13 +129,13 @@ def _rows(lang: pa.Scalar, block: pa.Scalar, found: Filter, bits: int) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, ["lang", "range", "block", "filter"])
 
 
-def pair_filter(places: np.ndarray) -> Filter:
-    a, b = places[:-1].astype(np.uint64), places[1:].astype(np.uint64)
-    both = (a > 0) & (b > 0)
-    return Filter.of(*permute(a[both], b[both], 32), 32)
+def pair_filter(places: np.ndarray, width: int) -> Filter:
+    both = (places[:-1] > 0) & (places[1:] > 0)
+    a, b = (x[both].astype(np.uint64) for x in (places[:-1], places[1:]))
+    return Filter.of(*permute(a, b, width), width)
 
 
-def phrase_filter(places: np.ndarray, pairs: list[Filter]) -> Filter:
+def phrase_filter(places: np.ndarray, pairs: list[Filter], width: int) -> Filter:
     """Phrases of three and more words, all of whose pairs are in one of the filters."""
     wide = places.astype(np.uint64)
     own = wide[:-1] << np.uint64(32) | wide[1:]
@@ -145,36 +145,36 @@ def phrase_filter(places: np.ndarray, pairs: list[Filter]) -> Filter:
     for n in range(3, LONGEST + 1):
         chain = chain[:-1] & frequent[n - 2 :]
         at = np.flatnonzero(chain)
-        found.append(pack(places[at[:, None] + np.arange(n)]))
+        found.append(pack(places[at[:, None] + np.arange(n)], width))
     high, low = (np.concatenate(x) for x in zip(*found))
-    return Filter.of(*permute(high, low, 64), 64)
+    return Filter.of(*permute(high, low, halves(width)), halves(width))
 
 
-def _pairs(bits: int):
+def _pairs(bits: int, width: int):
     """Rows (block, lang, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, places in zip(*batch.columns):
-                yield _rows(lang, block, pair_filter(np.frombuffer(places.as_py(), np.uint32)), bits)
+                yield _rows(lang, block, pair_filter(np.frombuffer(places.as_py(), np.uint32), width), bits)
 
     return run
 
 
-def _phrases(bits: int):
+def _phrases(bits: int, width: int):
     """Rows (block, lang, places, filters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, places, filters in zip(*batch.columns):
                 pairs = [Filter.from_bytes(f) for f in filters.as_py()]
-                yield _rows(lang, block, phrase_filter(np.frombuffer(places.as_py(), np.uint32), pairs), bits)
+                yield _rows(lang, block, phrase_filter(np.frombuffer(places.as_py(), np.uint32), pairs, width), bits)
 
     return run
 
 
-def _merged(least: int, bits: int, back: bool):
-    """Rows (lang, range, block, filter) lie sorted by (lang, range). back: also tells each block which of its items are frequent."""
+def _merged(least: int, bits: int, width: int, back: bool):
+    """Rows (lang, range, block, filter) lie sorted by (lang, range). back: items are pairs, and each block is told which of its pairs are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
@@ -185,7 +185,7 @@ def _merged(least: int, bits: int, back: bool):
             if not len(frequent):
                 continue
             high, low = frequent.items()
-            words = unpack(high, low) if frequent.half == 64 else np.stack((high, low), axis=1).astype(np.int64)
+            words = np.stack((high, low), axis=1).astype(np.int64) if back else unpack(high, low, width)
             items = [w[w > 0].astype(np.int32) for w in words]
             n = len(items)
             columns = [pa.array([lang] * n), pa.array(items, pa.list_(pa.int32())), pa.array(frequent.count), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
@@ -216,21 +216,24 @@ class Counts:
         frequent = dense_index(frequent, ["order", "word"], F.shiftright("order", 48), "number", ["lang"])
         number = F.when(F.col("number") < MOST, F.col("number") + 1).otherwise(F.raise_error(F.lit("too many frequent words in a language")))
         self.vocabulary = stored(frequent.select("lang", "word", "a", number.cast("int").alias("number")), "vocabulary")
+        most = self.vocabulary.agg(F.max("number")).first()[0] or 1
+        width = int(most).bit_length()
+        bits = min(bits, width)
         known = used.join(self.vocabulary.select("lang", "word", "number"), ["lang", "word"])
         known = known.groupBy("block").agg(F.collect_list(F.struct("local", "number")).alias("known"))
         places = blocks.select("block", "lang", "size", "places", F.size("words").alias("length")).join(known, "block")
         places = places.select("block", "lang", "size", "places", "length", "known.local", "known.number")
         numbered = stored(places.mapInArrow(_numbered, "block long, lang string, places binary"), "numbered")
-        pairs = self._merge(numbered.mapInArrow(_pairs(bits), _FILTERS), least, bits, True)
+        pairs = self._merge(numbered.mapInArrow(_pairs(bits, width), _FILTERS), least, bits, width, True)
         back = pairs.filter("filter is not null").groupBy("block").agg(F.collect_list("filter").alias("filters"))
         longer = numbered.join(back, "block").select("block", "lang", "places", "filters")
-        longer = self._merge(longer.mapInArrow(_phrases(bits), _FILTERS), least, bits, False)
+        longer = self._merge(longer.mapInArrow(_phrases(bits, width), _FILTERS), least, bits, width, False)
         self.phrases = pairs.filter("filter is null").unionByName(longer).select("lang", "ids", "a")
 
     @staticmethod
-    def _merge(filters: DataFrame, least: int, bits: int, back: bool) -> DataFrame:
+    def _merge(filters: DataFrame, least: int, bits: int, width: int, back: bool) -> DataFrame:
         sorted_ = filters.repartition("lang", "range").sortWithinPartitions("lang", "range")
-        return stored(sorted_.mapInArrow(_merged(least, bits, back), "lang string, ids array<int>, a long, block long, filter binary"), "merged")
+        return stored(sorted_.mapInArrow(_merged(least, bits, width, back), "lang string, ids array<int>, a long, block long, filter binary"), "merged")
 
 
 _FILTERS = "lang string, range long, block long, filter binary"

@@ -1,8 +1,8 @@
 """Counting quotient filters without loss: compact counters of packed word numbers.
 
-An item packs up to `WORDS` word numbers of `WIDTH` bits (no number is zero, so the length shows). A
-two-word item is 64 bits of two 32-bit halves, a longer one 128 bits of two 64-bit halves; a Feistel
-network permutes it invertibly. The first bits of the permuted item are its range, the next its
+An item packs up to `WORDS` word numbers of `width` bits, which is as wide as the vocabulary needs (no
+number is zero, so the length shows). It is cut into two halves, of a word each for pairs and of half the packed bits for
+longer items, and a Feistel network permutes it invertibly. The first bits of the permuted item are its range, the next its
 quotient, and the rest is kept in full as the remainder, so items come back exactly. A filter
 holds the items of one range in ascending order: how many each quotient has, in unary (the runs of a
 quotient filter), the remainders, and the counters (a byte each, larger ones aside).
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bits of a word number at most.
 WIDTH = 25
 WORDS = 5
 MOST = (1 << WIDTH) - 1
@@ -37,20 +38,34 @@ def permute(high: np.ndarray, low: np.ndarray, half: int, back: bool = False) ->
     return high, low
 
 
-def pack(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, 3 to WORDS) numbers, zero behind the last one, as halves of 64 bits."""
-    w = np.zeros((len(words), WORDS), np.uint64)
-    w[:, : words.shape[1]] = words
-    s = [np.uint64(x) for x in (WIDTH, 2 * WIDTH, 64 - 2 * WIDTH, 3 * WIDTH - 64, 4 * WIDTH - 64)]
-    low = w[:, 0] | w[:, 1] << s[0] | w[:, 2] << s[1]
-    return w[:, 2] >> s[2] | w[:, 3] << s[3] | w[:, 4] << s[4], low
+def halves(width: int) -> int:
+    """Bits of a half of an item of `WORDS` words."""
+    return -(-WORDS * width // 2)
 
 
-def unpack(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+def pack(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, up to WORDS) numbers, zero behind the last one, as high and low halves."""
+    half = halves(width)
+    high, low = (np.zeros(len(words), np.uint64) for _ in range(2))
+    for j in range(words.shape[1]):
+        word, at = words[:, j].astype(np.uint64), width * j
+        if at < half:
+            low |= word << np.uint64(at)
+        if at + width > half:
+            high |= word >> np.uint64(half - at) if at < half else word << np.uint64(at - half)
+    return high, low & np.uint64((1 << half) - 1)
+
+
+def unpack(high: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
     """(rows, WORDS) numbers."""
-    s = [np.uint64(x) for x in (WIDTH, 2 * WIDTH, 64 - 2 * WIDTH, 3 * WIDTH - 64, 4 * WIDTH - 64)]
-    parts = [low, low >> s[0], low >> s[1] | high << s[2], high >> s[3], high >> s[4]]
-    return np.stack([p & np.uint64(MOST) for p in parts], axis=1).astype(np.int64)
+    half, mask = halves(width), np.uint64((1 << width) - 1)
+    out = []
+    for at in range(0, WORDS * width, width):
+        word = low >> np.uint64(at) if at < half else high >> np.uint64(at - half)
+        if at < half < at + width:
+            word = word | high << np.uint64(half - at)
+        out.append((word & mask).astype(np.int64))
+    return np.stack(out, axis=1)
 
 
 class Filter:
@@ -92,8 +107,8 @@ class Filter:
 
     def within(self, other: Filter) -> Filter:
         """The items that the other filter also has."""
-        if self.half == 32:
-            own, also = self.high << np.uint64(32) | self.low, other.high << np.uint64(32) | other.low
+        if self.half <= 32:
+            own, also = (f.high << np.uint64(32) | f.low for f in (self, other))
             keep = np.isin(own, also, assume_unique=True)
         else:
             kind = np.dtype([("high", np.uint64), ("low", np.uint64)])
@@ -119,10 +134,10 @@ class Filter:
         runs = np.zeros(n + (1 << quotient_bits), np.uint8)
         runs[np.arange(n) + quotient] = 1  # one for each item, a zero behind each quotient
         first = self.high.astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - size :]
-        second = self.low.astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - self.half // 8 :]
+        second = self.low.astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - -(-self.half // 8) :]
         small = np.minimum(self.count, 255).astype(np.uint8)
         over = self.count[small == 255]
-        range_ = int(self.high[0]) >> left if n and left < 64 else 0
+        range_ = int(self.high[0]) >> left if n and left < self.half else 0
         head = np.array([n, quotient_bits, size, bits, range_, self.half, len(over)], "<u8")
         parts = [head, np.packbits(runs), np.ascontiguousarray(first), np.ascontiguousarray(second), small, over.astype("<i8")]
         return b"".join(part.tobytes() for part in parts)
@@ -144,7 +159,8 @@ class Filter:
         quotient = (where - np.arange(n)).astype(np.uint64)
         first, second = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
         first[:, 8 - size :] = take(n * size).reshape(n, size)
-        second[:, 8 - half // 8 :] = take(n * half // 8).reshape(n, half // 8)
+        wide = -(-half // 8)
+        second[:, 8 - wide :] = take(n * wide).reshape(n, wide)
         high, low = (x.reshape(-1).view(">u8").astype(np.uint64) for x in (first, second))
         high = high | quotient << np.uint64(8 * size) if 8 * size < 64 else high
         if half - bits < 64:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framelake.llm import phrases
-from framelake.llm.quotient import MOST, Filter, pack, permute, unpack
+from framelake.llm.quotient import Filter, halves, pack, permute, unpack
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -66,17 +66,20 @@ def test_empty_tables(documents):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(1, MOST), min_size=3, max_size=5), max_size=40), st.integers(0, 6))
-def test_filters_return_what_they_count(items, bits):
+@given(st.data(), st.integers(1, 25), st.integers(0, 6))
+def test_filters_return_what_they_count(data, width, bits):
+    half = halves(width)
+    bits = min(bits, half)
+    items = data.draw(st.lists(st.lists(st.integers(1, 2**width - 1), min_size=3, max_size=5), max_size=40))
     padded = np.array([i + [0] * (5 - len(i)) for i in items], np.int64).reshape(-1, 5)
-    assert (unpack(*pack(padded)) == padded).all()
-    found = Filter.of(*permute(*pack(padded), 64), 64, np.arange(1, len(items) + 1) * 200)
+    assert (unpack(*pack(padded, width), width) == padded).all()
+    found = Filter.of(*permute(*pack(padded, width), half), half, np.arange(1, len(items) + 1) * 200)
     counts = Counter()
     for own, part in found.ranges(bits):
         again = Filter.from_bytes(part.to_bytes(bits))
         assert (again.high == part.high).all() and (again.low == part.low).all() and (again.count == part.count).all()
-        assert bits == 0 or (again.high >> np.uint64(64 - bits) == own).all()
-        counts.update({tuple(w): int(n) for w, n in zip(unpack(*again.items()).tolist(), again.count)})
+        assert bits == 0 or (again.high >> np.uint64(half - bits) == own).all()
+        counts.update({tuple(w): int(n) for w, n in zip(unpack(*again.items(), width).tolist(), again.count)})
     expected = Counter()
     for i, item in enumerate(padded.tolist()):
         expected[tuple(item)] += 200 * (i + 1)
@@ -84,12 +87,14 @@ def test_filters_return_what_they_count(items, bits):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.tuples(st.integers(1, MOST), st.integers(1, 9)), max_size=50), min_size=1, max_size=5), st.integers(0, 4))
-def test_merged_filters_add_up(shards, bits):
+@given(st.data(), st.integers(4, 25), st.integers(0, 4))
+def test_merged_filters_add_up(data, width, bits):
+    pair = st.tuples(st.integers(1, 2**width - 1), st.integers(1, 9))
+    shards = data.draw(st.lists(st.lists(pair, max_size=50), min_size=1, max_size=5))
     filters, expected = [], Counter()
     for shard in shards:
         a, b = (np.array([pair[i] for pair in shard], np.uint64) for i in (0, 1))
-        filters.append(Filter.of(*permute(a, b, 32), 32))
+        filters.append(Filter.of(*permute(a, b, width), width))
         expected.update(shard)
         parts = [Filter.from_bytes(f.to_bytes(bits)) for _, f in filters[-1].ranges(bits)]
         assert sum(len(p) for p in parts) == len(set(shard))
@@ -102,7 +107,7 @@ def test_merged_filters_add_up(shards, bits):
 
 def test_random_items_spread_over_ranges_and_stay_compact():
     numbers = np.arange(1, 40_001, dtype=np.uint64)
-    found = Filter.of(*permute(numbers // 200 + 1, numbers % 200 + 1, 32), 32)
+    found = Filter.of(*permute(numbers // 200 + 1, numbers % 200 + 1, 18), 18)
     sizes = [len(f) for _, f in found.ranges(5)]
     assert len(sizes) == 32 and max(sizes) < 1.2 * len(found) / 32
-    assert sum(len(f.to_bytes(5)) for _, f in found.ranges(5)) < 9 * len(found)
+    assert sum(len(f.to_bytes(5)) for _, f in found.ranges(5)) < 7 * len(found)
