@@ -151,22 +151,49 @@ def decay_step(state, value, t):
     return {"state": state, "state_next": updated}
 
 
-@query(
-    "scan_over_time_decay",
-    f"""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events),
+DECAY_SQL = f"""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events),
     s AS (SELECT user_id, event_id, t, 0::DOUBLE AS state, value AS state_next FROM o WHERE t = 1
       UNION ALL SELECT o.user_id, o.event_id, o.t, s.state_next, {DECAY}::DOUBLE * s.state_next + (1.0::DOUBLE - {DECAY}::DOUBLE) * o.value
       FROM s JOIN o ON o.user_id = s.user_id AND o.t = s.t + 1)
-    SELECT user_id, event_id, {s6('state')} AS state, {s6('state_next')} AS state_next FROM s""",
-)
-def scan_over_time_decay(spark, sf):
-    """A user step function carried along every sequence."""
-    out = scans.scan_steps(sequence(spark, sf), ["user_id"], "event_id", "value", decay_step, 0.0, STATE)
+    SELECT user_id, event_id, {s6('state')} AS state, {s6('state_next')} AS state_next FROM s"""
+
+
+def rounded_states(out):
     return out.select(
         "user_id", "event_id", r6(F.col("state")).alias("state"), r6(F.col("state_next")).alias("state_next")
     )
 
 
+def rounded_states(out, shift=0.0):
+    states = [r6(F.col(c) + F.lit(shift) if shift else F.col(c)).alias(c) for c in ("state", "state_next")]
+    return out.select("user_id", "event_id", *states)
+
+
+@query("scan_over_time_decay", DECAY_SQL)
+def scan_over_time_decay(spark, sf):
+    """A user step function carried along every sequence."""
+    out = scans.scan_steps(sequence(spark, sf), ["user_id"], "event_id", "value", decay_step, 0.0, STATE)
+    return rounded_states(out)
+
+
+#: Composed steps round in another order than a loop does, so states are moved off the decimal halves before rounding.
+OFF_HALVES = 1.2345678e-9
+
+
+@query(
+    "scan_over_time_affine",
+    DECAY_SQL.replace(s6("state"), s6(f"state + {OFF_HALVES!r}::DOUBLE")).replace(
+        s6("state_next"), s6(f"state_next + {OFF_HALVES!r}::DOUBLE")
+    ),
+)
+def scan_over_time_affine(spark, sf):
+    """The same memory as composed affine steps, without Python; the first step starts from its input."""
+    value = F.col("value")
+    decay, share, first = F.lit(DECAY), F.lit(1.0 - DECAY) * value, (F.lit(0.0), value)
+    out = scans.scan_affine(sequence(spark, sf), ["user_id"], "event_id", decay, share, first=first)
+    return rounded_states(out, OFF_HALVES)
+
+
 @query(
     "stack_steps",
     v.with_views(
