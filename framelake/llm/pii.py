@@ -259,7 +259,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null; other columns and their order stay as they are.
     """
     rest = [c for c in docs.columns if c != "text"]
-    texts = docs.select(F.struct(*rest).alias("rest"), F.col("text").isNull().alias("none"), "text")
+    texts = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").isNull().alias("none"), "text")
     kept = texts.mapInArrow(
         _mapped("text", _masked, pa.schema([("text", pa.string())])),
         texts.select("rest", "none", F.coalesce("text", F.lit("")).alias("text")).schema,
@@ -268,4 +268,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = kept.select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), text.alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -107,7 +107,7 @@ class RollupStore:
             latest = f"{self.path}/snapshots/{snapshots[-1]}"
             held = {row["batch"] for row in self.spark.read.schema("batch string").json(f"{latest}/batches").collect()}
             paths.append(f"{latest}/totals")
-        paths += [f"{self.path}/deltas/{name}" for name in batches or self._names("deltas") if name not in held]
+        paths += [f"{self.path}/deltas/{name}" for name in (self._names("deltas") if batches is None else batches) if name not in held]
         rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
         sums = rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")

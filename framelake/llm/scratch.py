@@ -13,14 +13,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folder of a local master where none is set, by application.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """URI of the shared folder; a temporary one only on a local master where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="framelake-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        if name not in _local:
+            _local[name] = "file://" + tempfile.mkdtemp(prefix="framelake-shared-")
+        folder = _local[name]
     return folder.rstrip("/")
 
 

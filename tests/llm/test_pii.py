@@ -90,3 +90,11 @@ def test_every_document_of_the_table(spark, sf):
         listed = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in spans[k])
         assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == tuple(len(spans[k]) for k in PATTERNS)
+
+
+def test_other_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "to a@b.example.org", "x", 2.0, "r")], "doc_id long, text string, `a.b` string, none double, rest string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    row = out.first()
+    assert (row[0], row[2], row[3], row[4]) == (1, "x", 2.0, "r") and "@" not in row[1]
