@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import hash_uniform
+from ..functions.integers import div
 from ..operators import frames as ops
 from ..operators import sampling, scans
+from ..session import ensure_checkpoint_dir
+from ..streaming.late_scan import run_available, scan_late
 from . import views as v
 from .registry import micros, query, r6, s6, smicros
 
@@ -158,12 +164,6 @@ DECAY_SQL = f"""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number
     SELECT user_id, event_id, {s6('state')} AS state, {s6('state_next')} AS state_next FROM s"""
 
 
-def rounded_states(out):
-    return out.select(
-        "user_id", "event_id", r6(F.col("state")).alias("state"), r6(F.col("state_next")).alias("state_next")
-    )
-
-
 def rounded_states(out, shift=0.0):
     states = [r6(F.col(c) + F.lit(shift) if shift else F.col(c)).alias(c) for c in ("state", "state_next")]
     return out.select("user_id", "event_id", *states)
@@ -194,6 +194,35 @@ def scan_over_time_affine(spark, sf):
     return rounded_states(out, OFF_HALVES)
 
 
+#: Parts in which the events come to the stream; a fifth of them come one part late.
+PARTS = 3
+
+
+@query("scan_stream_late", DECAY_SQL)
+def scan_stream_late(spark, sf):
+    """The same memory on a stream: events come as files in parts, some late, and the query is restarted for each part."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = f"{folder}/in"
+    events = v.table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if low is None:
+        return rounded_states(scans.scan_steps(events, ["user_id"], "event_id", "value", decay_step, 0.0, STATE))
+    span = (high - low) // PARTS + 1
+    late = (hash_uniform(23, "event_id") < 0.2).cast("long")
+    parts = events.withColumn("part", div(F.unix_micros("ts") - low, span) + late)
+    # A part holds nothing older than the start of the one before it, so a delay of three parts drops no step.
+    delay = 3 * (span // 1_000_000 + 1)
+    # the last one only moves the watermark past all others: nothing comes after it that could release it
+    end = F.timestamp_micros(F.lit(high + (delay + 1) * 1_000_000))
+    closing = events.agg(F.max("user_id").alias("user_id"), F.max("event_id").alias("event_id"), end.alias("ts"), F.lit(0.0).alias("value"))
+    for part in [parts.filter(F.col("part") == i).drop("part") for i in range(PARTS + 1)] + [closing]:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        out = scan_late(stream, ["user_id"], "ts", "event_id", "value", decay_step, 0.0, STATE, f"{delay} seconds")
+        run_available(out, f"{folder}/out", f"{folder}/checkpoint")
+    return rounded_states(spark.read.parquet(f"{folder}/out"))
+
+
 @query(
     "stack_steps",
     v.with_views(
