@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
+from .intervals import interval_join
 
 
 def mixed_union(children: Sequence[DataFrame], tag: str = "dataset_index") -> DataFrame:
@@ -64,26 +65,63 @@ def weighted_sample(
     join on (dataset_index, local_index). `sizes` (dataset_index, size) saves counting
     the rows. An empty dataset is an error.
     """
+    if sizes is None:
+        sizes = rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("size"))
+    located = _located_draws(spark, sizes, n_draws, weights, n_datasets, seed, draws)
+    return located.join(rows, ["dataset_index", "local_index"])
+
+
+def weighted_frames(
+    spark: SparkSession,
+    episodes: DataFrame,
+    n_draws: int | Column = 0,
+    weights: Sequence[float] | None = None,
+    n_datasets: int | None = None,
+    seed: int = 0,
+    draws: DataFrame | None = None,
+) -> DataFrame:
+    """(draw columns, dataset_index, episode_index, frame_index): the draws of `weighted_sample`, frames unseen.
+
+    `episodes` gives the range of each episode's frames in its dataset (`dataset_from_index`, `dataset_to_index`) and
+    covers it without gaps. A drawn position is looked up among the ranges by an interval join, so no
+    frame table is read, numbered or shuffled; the work grows with draws and episodes.
+    """
+    sizes = episodes.groupBy("dataset_index").agg(F.max("dataset_to_index").alias("size")).filter("size > 0")
+    located = _located_draws(spark, sizes, n_draws, weights, n_datasets, seed, draws)
+    ranges = episodes.select("dataset_index", "episode_index", "dataset_from_index", "dataset_to_index")
+    met = interval_join(located, ranges, ["dataset_index"], "local_index", "dataset_from_index", "dataset_to_index")
+    frame = F.col("local_index") - F.col("dataset_from_index")
+    return met.withColumn("frame_index", frame).drop("local_index", "dataset_from_index", "dataset_to_index")
+
+
+def _located_draws(
+    spark: SparkSession,
+    sizes: DataFrame,
+    n_draws: int | Column,
+    weights: Sequence[float] | None,
+    n_datasets: int | None,
+    seed: int,
+    draws: DataFrame | None,
+) -> DataFrame:
+    """Draws with their dataset and the position in it."""
     if weights is None:
         if n_datasets is None:
             raise ValueError("give weights or the number of datasets")
         weights = [1.0] * n_datasets
     if draws is None:
         draws = spark.range(n_draws).withColumnRenamed("id", "draw")
-    if sizes is None:
-        sizes = rows.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("size"))
     # One entry per configured dataset, so the sizes travel as a map and draws are not shuffled for them.
     entries = F.map_from_entries(F.collect_list(F.struct("dataset_index", "size")))
-    known = sizes.agg(entries).scalar()
+    draws = draws.withColumn("__sizes", sizes.agg(entries).scalar())
+    known = F.col("__sizes")
     size = F.try_element_at(known, F.col("dataset_index"))
     # every configured dataset needs rows, whether or not a draw meets it
     configured = F.array(*[F.lit(i).cast("long") for i in range(len(weights))])
     filled = F.size(F.array_except(configured, F.map_keys(known))) == 0
     picked = draws.withColumn("dataset_index", weighted_dataset(hash_uniform(seed, "draw"), weights))
-    located = picked.withColumn(
+    return picked.withColumn(
         "local_index",
         F.when(
             filled & size.isNotNull(), F.floor(hash_uniform(seed, "draw", offset=1) * size).cast("long")
         ).otherwise(F.raise_error(F.lit("cannot sample from an empty dataset"))),
-    )
-    return located.join(rows, ["dataset_index", "local_index"])
+    ).drop("__sizes")

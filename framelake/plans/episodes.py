@@ -9,6 +9,7 @@ from ..functions.paths import episode_path
 from ..operators import episodes as ops
 from ..operators import mixing, splits
 from ..operators.numbering import int_bucket
+from ..session import materialize
 from . import views as v
 from .registry import joined, micros, query, r6, s6, smicros
 
@@ -397,15 +398,10 @@ WEIGHTS = (0.75, 0.25)
     JOIN local l ON l.dataset_index = d.dataset_index AND l.local_index = CAST(floor(d.u2 * s.size) AS BIGINT)""",
 )
 def weighted_sample(spark, sf):
-    """One draw per event; frames are dense inside a dataset, so the absolute index locates a row."""
-    lengths = v.stored_episodes(spark, sf)
-    bounds = ops.episode_offsets(lengths, ["dataset_index"])
-    rows = v.bounded(v.mixed_turns(spark, sf), bounds, ["dataset_index", "episode_index"]).select(
-        "dataset_index", "episode_index", "frame_index", F.col("absolute_index").alias("local_index")
-    )
+    """One draw per event, located among the episodes' frame ranges."""
+    bounds = ops.episode_offsets(v.stored_episodes(spark, sf), ["dataset_index"])
     draws = v.table(spark, sf, "events").select(F.col("event_id").alias("draw"))
-    sizes = lengths.groupBy("dataset_index").agg(F.sum("length").alias("size"))
-    out = mixing.weighted_sample(spark, rows, 0, WEIGHTS, seed=11, draws=draws, sizes=sizes)
+    out = mixing.weighted_frames(spark, materialize(bounds), weights=WEIGHTS, seed=11, draws=draws)
     return out.select("draw", "dataset_index", "episode_index", "frame_index")
 
 
