@@ -8,8 +8,8 @@ externally: ranges of the order, with bounds sampled from the runs, are dealt to
 gets each run's slice of its range and merges the slices through a tree of losers, one comparison a
 level for each capture. Ranges follow the whole order (key, timestamp, page), so a key with very many
 captures is cut over several. The merged index holds the captures' histories in global order:
-(`index_part`, `index_place`). The archives are read through the merged index: their names,
-and each record by its file and offset.
+(`index_part`, `index_place`). The archives are read through the merged index: its entries are dealt to
+tasks by file, and each finds its record by the offset.
 
 Writing tasks name their files by a fresh id and only files named in a finished index count, so a task
 that runs again after a loss leaves no half archive behind in the results. Files live in the shared
@@ -28,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -325,42 +326,60 @@ def _page_id(page: int) -> int | None:
 
 _RECORD = pa.schema(
     [
-        ("file", pa.string()),
-        ("offset", pa.int64()),
         ("page_id", pa.int64()),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
         ("record_type", pa.string()),
         ("refers_to", pa.int64()),
+        ("index_part", pa.int32()),
+        ("index_place", pa.int64()),
+        ("url_key", pa.string()),
+        ("timestamp", pa.int64()),
     ]
 )
+_RECORD_COLUMNS = (
+    "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+    "index_part int, index_place long, url_key string, timestamp long"
+)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
 
 
 def _read(folder: str):
+    """Entries sorted by file and offset in step with the records of each file, which is read once from its start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = _opened(folder)
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows: list[dict] = []
-                for offset, content in members(files, f"{at}/{name}"):
-                    rows.append({"file": name, "offset": offset, **parse(content)})
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_pylist(rows, _RECORD)
-                        rows = []
-                if rows:
+        rows: list[dict] = []
+        for name, entries in groupby(_entries(batches), key=lambda entry: entry["file"]):
+            records = members(files, f"{at}/{name}")
+            for entry in entries:
+                content = next((content for offset, content in records if offset == entry["offset"]), None)
+                if content is None:
+                    raise ValueError(f"{name} has no record at {entry['offset']}")
+                rows.append({**entry, **parse(content)})
+                if len(rows) == 1000:
                     yield pa.RecordBatch.from_pylist(rows, _RECORD)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
     return run
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """Records of the archives that a merged index names, each with its place in the index."""
-    names = index.select("file").distinct()
-    records = names.repartition("file").mapInArrow(
-        _read(folder),
-        "file string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long",
-    )
-    return records.join(index, ["file", "offset"]).drop("file", "offset")
+    """Records of the archives that a merged index names, each with its place in the index.
+
+    The index entries go to the task that reads their file, so records meet their entries there and nothing
+    is joined or broadcast. There are as many reading tasks as files, a number given outright: small entries would
+    otherwise be put together in one task, which would read all archives.
+    """
+    n_files = index.select("file").distinct().count()
+    dealt = index.repartition(max(1, n_files), "file").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(_read(folder), _RECORD_COLUMNS)
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:

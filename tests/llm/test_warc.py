@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import warc
 from framelake.llm.scratch import new_path, stored
@@ -76,6 +77,29 @@ def test_merged_index_is_the_sorted_index(spark, monkeypatch):
     assert rows_of(warc.read(warc.merge(runs), folder)) == brute([r[:3] for r in rows])
 
 
+def test_readers_are_spread_and_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rows = [(i, f"http://example.org/{i}", f"p{i}" * 50, "f") for i in range(120)]
+    folder = new_path(spark, "warc")
+    runs = stored(warc.write(spark.createDataFrame(rows, SCHEMA).repartition(3), folder), "runs")
+    index = stored(warc.merge(runs), "index")
+    found = warc.read(index, folder)
+    assert rows_of(found) == brute([r[:3] for r in rows])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    tasks = found.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert index.select("file").distinct().count() > 10 and tasks > 5
+    places = [(r.url_key, r.timestamp) for r in found.orderBy("index_part", "index_place").collect()]
+    assert places == sorted(places)
+
+
+def test_an_entry_without_its_record_is_an_error(spark):
+    folder = new_path(spark, "warc")
+    index = stored(warc.merge(stored(warc.write(spark.createDataFrame([(1, "u", "p", "f")], SCHEMA), folder), "runs")), "index")
+    with pytest.raises(Exception, match="no record"):
+        warc.read(index.withColumn("offset", F.col("offset") + 1), folder).collect()
+
+
 def test_loser_tree():
     draw = random.Random(1)
     for _ in range(300):
