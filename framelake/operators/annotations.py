@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.integers import div
 from .numbering import dense_index, int_bucket
@@ -157,21 +161,98 @@ def rle_total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n)
 
 
-def rle_runs(df: DataFrame, keys: Sequence[str], counts: str = "counts") -> DataFrame:
-    """(keys, run_start, run_length) of the set runs, in column-major pixel order.
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def rle_starts(counts: pa.Array) -> pa.Array:
+    """First pixel of each run: the sum of all runs before it, for whole batches of masks at once.
 
-    Run starts come from a fold over the array inside the row.
+    A fold over an array in SQL copies what it has built at every step, which is quadratic; this is linear and moves no
+    run to another task. After a null length positions are unknown, so later starts are null.
     """
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate(
-        F.col(counts).cast("array<bigint>"),
-        state,
-        lambda acc, n: F.struct(
-            (acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")
-        ),
-        lambda acc: acc["starts"],
+    sizes = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first = np.repeat(ends - sizes, sizes)
+    lengths = counts.flatten().cast(pa.int64())
+    missing = lengths.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = lengths.fill_null(0).to_numpy(zero_copy_only=False)
+
+    def before(values: np.ndarray) -> np.ndarray:
+        total = np.cumsum(values) - values
+        return total - total[first]
+
+    starts = pa.array(before(filled), pa.int64(), mask=before(missing) > 0)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, starts, mask=counts.is_null())
+
+
+@F.arrow_udf(T.StructType().add("intersection", T.LongType()).add("union", T.LongType()))
+def rle_overlap(one: pa.Array, other: pa.Array) -> pa.Array:
+    """Pixels in both and in either of two run-length masks of one frame, from their runs, not their pixels.
+
+    The borders of both masks cut the frame into stretches that are wholly in or out of each. Beyond its last run a mask is
+    empty. A null mask, or one with a null length, gives null.
+    """
+    found = []
+    for pair in zip(one.to_numpy(zero_copy_only=False), other.to_numpy(zero_copy_only=False)):
+        if any(counts is None or not np.isfinite(np.asarray(counts, dtype=float)).all() for counts in pair):
+            found.append(None)
+            continue
+        borders = [np.cumsum(np.asarray(counts, dtype=np.int64)) for counts in pair]
+        cuts = np.unique(np.concatenate([[0], *borders]).astype(np.int64))
+        left, width = cuts[:-1], np.diff(cuts)
+        # set between an odd and an even border; a mask that ends in a set run has no border after it
+        inside = [(np.searchsorted(b, left, side="right") % 2 == 1) & (left < (b[-1] if len(b) else 0)) for b in borders]
+        found.append({"intersection": int(width[inside[0] & inside[1]].sum()), "union": int(width[inside[0] | inside[1]].sum())})
+    return pa.array(found, pa.struct([("intersection", pa.int64()), ("union", pa.int64())]))
+
+
+def rle_boxes(df: DataFrame, keys: Sequence[str], height: Column, counts: str = "counts") -> DataFrame:
+    """(keys, x, y, width, height, area) of each mask's smallest box, from its runs in column-major order.
+
+    A run that goes on into the next column touches both the first and the last row. A mask without a set pixel has the
+    box 0, 0, 0, 0; a null mask has nulls.
+    """
+    lengths = F.col(counts).cast("array<bigint>")
+    runs = F.arrays_zip(rle_starts(lengths).alias("start"), lengths.alias("length"))
+    kept = F.filter(runs, lambda run, i: (i % 2 == 1) & (run["length"] > 0))
+    rows = df.select(*keys, height.cast("long").alias("__h"), kept.alias("__runs"))
+    h = F.col("__h")
+    last = lambda run: run["start"] + run["length"] - 1
+
+    def least(value) -> Column:
+        return F.array_min(F.transform("__runs", value))
+
+    def most(value) -> Column:
+        return F.array_max(F.transform("__runs", value))
+
+    crosses = lambda run: div(run["start"], h) != div(last(run), h)
+    edges = rows.select(
+        *keys,
+        "__runs",
+        least(lambda r: div(r["start"], h)).alias("__left"),
+        most(lambda r: div(last(r), h)).alias("__right"),
+        least(lambda r: F.when(crosses(r), F.lit(0)).otherwise(F.pmod(r["start"], h))).alias("__top"),
+        most(lambda r: F.when(crosses(r), h - 1).otherwise(F.pmod(last(r), h))).alias("__bottom"),
+    )
+    known = F.col("__runs").isNotNull()
+
+    def or_zero(value: Column) -> Column:
+        return F.when(known, F.coalesce(value, F.lit(0)).cast("long"))
+
+    area = F.aggregate("__runs", F.lit(0).cast("long"), lambda total, run: total + run["length"])
+    return edges.select(
+        *keys,
+        or_zero(F.col("__left")).alias("x"),
+        or_zero(F.col("__top")).alias("y"),
+        or_zero(F.col("__right") - F.col("__left") + 1).alias("width"),
+        or_zero(F.col("__bottom") - F.col("__top") + 1).alias("height"),
+        area.alias("area"),
     )
-    runs = F.arrays_zip(starts.alias("start"), F.col(counts).cast("array<bigint>").alias("length"))
+
+
+def rle_runs(df: DataFrame, keys: Sequence[str], counts: str = "counts") -> DataFrame:
+    """(keys, run_start, run_length) of the set runs, in column-major pixel order."""
+    lengths = F.col(counts).cast("array<bigint>")
+    runs = F.arrays_zip(rle_starts(lengths).alias("start"), lengths.alias("length"))
     return df.select(*keys, F.posexplode(runs).alias("pos", "run")).filter("pos % 2 = 1").select(
         *keys, F.col("run.start").alias("run_start"), F.col("run.length").alias("run_length")
     )

@@ -165,3 +165,34 @@ def rle_decode(spark, sf):
     return ops.rle_decode(run_length_masks(spark, sf), ["id"], F.lit(6))
 
 
+RLE_PIXELS = """e AS (SELECT id, unnest({counts}) AS c, generate_subscripts({counts}, 1) AS i FROM {masks}),
+    b AS (SELECT id, c, i, sum(c) OVER (PARTITION BY id ORDER BY i) - c AS start FROM e),
+    p AS (SELECT id, CAST(start + k AS BIGINT) AS pixel FROM b JOIN range(10) r(k) ON r.k < c WHERE i % 2 = 0)"""
+
+
+@query(
+    "rle_boxes",
+    f"""WITH {RLE_SQL}, {RLE_PIXELS.format(counts="counts", masks="runs")}
+    SELECT runs.id, CAST(coalesce(min(pixel // 6), 0) AS BIGINT) AS x, CAST(coalesce(min(pixel % 6), 0) AS BIGINT) AS y,
+    CAST(coalesce(max(pixel // 6) - min(pixel // 6) + 1, 0) AS BIGINT) AS width,
+    CAST(coalesce(max(pixel % 6) - min(pixel % 6) + 1, 0) AS BIGINT) AS height, count(pixel) AS area
+    FROM runs LEFT JOIN p ON p.id = runs.id GROUP BY runs.id""",
+)
+def rle_boxes(spark, sf):
+    return ops.rle_boxes(run_length_masks(spark, sf), ["id"], F.lit(6))
+
+
+@query(
+    "rle_overlap",
+    f"""WITH {RLE_SQL}, one AS (WITH {RLE_PIXELS.format(counts="counts", masks="runs")} SELECT * FROM p),
+    other AS (WITH {RLE_PIXELS.format(counts="list_reverse(counts)", masks="runs")} SELECT * FROM p)
+    SELECT runs.id, count(one.pixel) FILTER (one.pixel IS NOT NULL AND other.pixel IS NOT NULL) AS intersection,
+    count(coalesce(one.pixel, other.pixel)) AS "union"
+    FROM runs LEFT JOIN (one FULL JOIN other ON one.id = other.id AND one.pixel = other.pixel) ON coalesce(one.id, other.id) = runs.id
+    GROUP BY runs.id""",
+)
+def rle_overlap(spark, sf):
+    """Each mask against the one with its runs in reverse, without pixels."""
+    masks = run_length_masks(spark, sf)
+    shared = masks.select("id", ops.rle_overlap("counts", F.reverse("counts")).alias("o"))
+    return shared.select("id", F.col("o.intersection").alias("intersection"), F.col("o.union").alias("union"))
