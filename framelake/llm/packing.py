@@ -6,11 +6,17 @@ the input), and the cluster gives each piece its place: the n-th piece of a leng
 place that the plan has for that length.
 
 The plan fills one sequence shape at a time around the largest length left. Branch and bound
-enumerates the fillings of the gap, largest lengths first; the best-fit filling is the first
-incumbent, a branch is left when even its best case wastes no less than the incumbent, and
-fillings where one length could be swapped for a larger one that still fits are dominated and
-never the least wasteful. A shape is used as often as the counts allow, so the number of shapes
-follows the number of lengths.
+enumerates the fillings of the gap, largest lengths first, with the best-fit filling as the first
+incumbent. The waste bound of a branch is exact: which sums the lengths still to come can reach is
+kept as a set of bits, so a branch is entered only if it ends with the least waste there is, and no
+limit on the number of branches is needed. The first such filling is not dominated: one in which a
+length stands for several of them would have come before it. A shape is used as often as the counts
+allow, so the number of shapes follows the number of lengths. Least waste in each sequence need not
+mean fewest sequences, so best-fit decreasing plans the same histogram too, and the plan with fewer
+sequences is taken.
+
+Ids are those of the rank file. The strings of `added` tokens (see `added_tokens`) are found first and
+become their own ids; the text between them is encoded piece by piece, as the tokenizer library does.
 
 A document's ids are followed by the separator id. A document above the capacity is cut into pieces
 of `capacity` tokens, of which the first may be shorter. Null texts count as empty and give one
@@ -19,7 +25,10 @@ piece that holds the separator. Repeated rows each give their pieces; an empty t
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,19 +40,38 @@ from .scratch import stored
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Branches tried for one shape before its incumbent is taken.
-BRANCHES = 2000
 #: Rows that one numbering task sorts, about.
 ROWS_PER_TASK = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(rank_file: str, capacity: int, separator: int):
+#: Shapes of sequences: ([(length, copies)], number of sequences).
+Shapes = list[tuple[list[tuple[int, int]], int]]
+
+
+def added_tokens(vocabulary_file: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON file, which the library finds in texts before it splits them."""
+    with open(vocabulary_file, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for token in tokens:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} depends on the text around it")
+    return {token["content"]: token["id"] for token in tokens}
+
+
+def _cut(rank_file: str, capacity: int, separator: int, added: dict[str, int]):
     end = separator.to_bytes(4, "little")
+    own = {token: number.to_bytes(4, "little") for token, number in added.items()}
+    strings = "|".join(map(re.escape, sorted(own, key=len, reverse=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(rank_file).encode
+        ordinary, split = encoder(rank_file).encode, re.compile(f"({strings})").split
+
+        def encode(text: str) -> bytes:
+            parts = split(text) if own else [text]
+            return b"".join(own.get(part) or ordinary(part) for part in parts)
+
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for doc_id, text in zip(*batch.columns):
@@ -63,60 +91,62 @@ def _cut(rank_file: str, capacity: int, separator: int):
     return run
 
 
-def token_pieces(docs: DataFrame, rank_file: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_cut(rank_file, capacity, separator), PIECES)
+def token_pieces(
+    docs: DataFrame,
+    rank_file: str,
+    capacity: int = CAPACITY,
+    separator: int = SEPARATOR,
+    added: dict[str, int] | None = None,
+) -> DataFrame:
+    return docs.select("doc_id", "text").mapInArrow(_cut(rank_file, capacity, separator, added or {}), PIECES)
+
+
+def _reachable(lengths: list[int], counts: dict[int, int], gap: int) -> list[int]:
+    """For each index the sums, up to the gap, of the lengths from it on, as bits."""
+    inside = (1 << (gap + 1)) - 1
+    sums = [1]
+    for length in reversed(lengths):
+        bits, left, some = sums[-1], min(counts[length], gap // length), 1
+        while left:  # powers of two and a rest give every number of copies
+            some = min(some, left)
+            bits |= (bits << some * length) & inside
+            left, some = left - some, 2 * some
+        sums.append(bits)
+    return sums[::-1]
 
 
-def completion(lengths: list[int], counts: dict[int, int], gap: int, branches: int = BRANCHES) -> list[int]:
-    """Lengths that fill `gap` with the least waste; `lengths` is sorted downwards."""
-    best: list[int] = []
+def completion(lengths: list[int], counts: dict[int, int], gap: int) -> list[int]:
+    """The lengths that fill `gap` with the least waste, larger ones first; `lengths` is sorted downwards."""
+    incumbent: list[int] = []
     room = gap
-    for length in lengths:  # best fit: the incumbent
+    for length in lengths:  # best fit
         take = min(room // length, counts[length])
-        best += [length] * take
+        incumbent += [length] * take
         room -= take * length
         if not room:
-            return best
-    waste, tried = room, 0
-    smallest = lengths[-1] if lengths else gap + 1
-    stack: list[tuple[int, int, int, tuple[int, ...]]] = [(0, gap, 0, ())]
-    while stack and tried < branches:
-        index, room, used, chosen = stack.pop()  # used: of lengths[index]
-        tried += 1
-        if room < waste:
-            waste, best = room, list(chosen)
-            if not waste:
-                break
-        if room < smallest:
-            continue
-        index, used = _next_fit(lengths, counts, index, used, room)
-        if index < 0:
-            continue
-        length = lengths[index]
-        if index + 1 < len(lengths):  # the branch without this length
-            follower, _ = _next_fit(lengths, counts, index + 1, 0, room)
-            if follower >= 0:
-                stack.append((follower, room, 0, chosen))
-        stack.append((index, room - length, used + 1, (*chosen, length)))
-    return best
+            return incumbent
+    sums = _reachable(lengths, counts, gap)
 
+    def bound(index: int, room: int) -> int:
+        """The least waste that a branch can end with."""
+        return room - (sums[index] & ((1 << (room + 1)) - 1)).bit_length() + 1
 
-def _next_fit(lengths: list[int], counts: dict[int, int], index: int, used: int, room: int) -> tuple[int, int]:
-    """First length from `index` on that fits and isn't used up, with its use; -1 if there is none."""
-    if lengths[index] > room or used >= counts[lengths[index]]:
-        low, high = index + 1, len(lengths)
-        while low < high:  # lengths go down
-            middle = (low + high) // 2
-            if lengths[middle] > room:
-                low = middle + 1
-            else:
-                high = middle
-        return (low, 0) if low < len(lengths) else (-1, 0)
-    return index, used
+    least = bound(0, gap)
+    if least == room:
+        return incumbent
+    best, room = [], gap
+    for index, length in enumerate(lengths):
+        if room == least:
+            break
+        most = min(room // length, counts[length])
+        take = next(n for n in range(most, -1, -1) if bound(index + 1, room - n * length) == least)
+        best += [length] * take
+        room -= take * length
+    return best
 
 
-def plan_shapes(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Shapes as ([(length, copies)], number of sequences)."""
+def completion_shapes(histogram: dict[int, int], capacity: int) -> Shapes:
+    """Bin completion: each shape is the least wasteful one around the largest length left."""
     counts = {length: count for length, count in histogram.items() if count > 0}
     lengths = sorted(counts, reverse=True)
     shapes = []
@@ -140,6 +170,35 @@ def plan_shapes(histogram: dict[int, int], capacity: int) -> list[tuple[list[tup
     return shapes
 
 
+def best_fit_shapes(histogram: dict[int, int], capacity: int) -> Shapes:
+    """Best-fit decreasing, for sequences of the same filling at once."""
+    filled: dict[int, Shapes] = {0: []}  # by the gap that is left
+    gaps: list[int] = []  # those that still take something, upwards
+    for length in sorted((n for n, count in histogram.items() if count > 0), reverse=True):
+        count = histogram[length]
+        while count:
+            at = bisect_left(gaps, length)
+            gap = gaps[at] if at < len(gaps) else capacity
+            filling, times = filled[gap].pop() if at < len(gaps) else ([], count)
+            if at < len(gaps) and not filled[gap]:
+                gaps.pop(at)
+            copies = min(gap // length, count)
+            used = min(times, count // copies)
+            count -= copies * used
+            rest = [(gap, filling, times - used)] if filling and times > used else []
+            for left, shape, n in [*rest, (gap - copies * length, [*filling, (length, copies)], used)]:
+                if left and not filled.get(left):
+                    insort(gaps, left)
+                filled.setdefault(left, []).append((shape, n))
+    return [shape for shapes in filled.values() for shape in shapes]
+
+
+def plan_shapes(histogram: dict[int, int], capacity: int) -> Shapes:
+    """The plan with fewer sequences; bin completion's if both have as many."""
+    plans = (completion_shapes(histogram, capacity), best_fit_shapes(histogram, capacity))
+    return min(plans, key=lambda shapes: sum(times for _, times in shapes))
+
+
 def plan_places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first, past, sequence, copies, offset): pieces first .. past - 1 of the length go to
     the sequences from `sequence` on, `copies` into each, from `offset` on."""
@@ -174,9 +233,15 @@ def _place_column(places: Column, nth: Column) -> Column:
     return F.filter(places, lambda p: (p["first"] <= nth) & (nth < p["past"]))[0]
 
 
-def pack(docs: DataFrame, rank_file: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    rank_file: str,
+    capacity: int = CAPACITY,
+    separator: int = SEPARATOR,
+    added: dict[str, int] | None = None,
+) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(token_pieces(docs, rank_file, capacity, separator), "pieces")
+    pieces = stored(token_pieces(docs, rank_file, capacity, separator, added), "pieces")
     spark = docs.sparkSession
     histogram = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}  # <= capacity rows
     by_length: dict[int, list] = {}

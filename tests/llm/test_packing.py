@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from framelake.llm import packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def check_places(rows, capacity):
@@ -62,6 +63,46 @@ def test_shapes_use_each_piece_once_and_few_sequences():
     assert extra <= 2
 
 
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fitting = [gap for gap in gaps if gap >= length]
+        if fitting:
+            gaps.remove(min(fitting))
+        gaps.append((min(fitting) if fitting else capacity) - length)
+    return len(gaps)
+
+
+def test_no_plan_is_worse_than_best_fit_decreasing():
+    draw = random.Random(11)
+    cases = [([draw.randint(520, 1020) for _ in range(1500)], 2048) for _ in range(2)]
+    cases += [([draw.randint(1, top) for _ in range(draw.randint(1, 200))], 100) for top in (10, 35, 60, 100) for _ in range(15)]
+    for lengths, capacity in cases:
+        histogram = Counter(lengths)
+        greedy = packing.best_fit_shapes(histogram, capacity)
+        assert sum(times for _, times in greedy) == best_fit_decreasing(lengths, capacity)
+        shapes = packing.plan_shapes(histogram, capacity)
+        used = Counter()
+        for copies, times in shapes:
+            assert sum(n * length for length, n in copies) <= capacity
+            used.update({length: n * times for length, n in copies})
+        assert used == histogram
+        assert sum(times for _, times in shapes) <= best_fit_decreasing(lengths, capacity)
+
+
+def test_completion_wastes_least():
+    draw = random.Random(3)
+    for _ in range(300):
+        counts = Counter(draw.randint(3, 30) for _ in range(draw.randint(1, 9)))
+        gap = draw.randint(0, 60)
+        filling = packing.completion(sorted(counts, reverse=True), counts, gap)
+        assert not Counter(filling) - counts
+        sums = {0}
+        for length in counts.elements():
+            sums |= {s + length for s in sums}
+        assert sum(filling) == max(s for s in sums if s <= gap)
+
+
 def test_completion_finds_the_exact_filling_that_best_fit_misses():
     assert sorted(packing.completion([6, 5, 4], {6: 1, 5: 1, 4: 1}, 9)) == [4, 5]
 
@@ -70,10 +111,10 @@ ROWS = [(i, "word " * (i * 7 % 50)) for i in range(300)] + [(7, "again"), (7, "a
 
 
 def test_pieces_hold_the_ids_of_the_library(documents):
-    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    rows = [*ROWS, (1000, "A long text, isn't it?  Ünï \n\n " * 300)]
-    found = packing.pack(documents(rows), RANKS, capacity=64).collect()
+    library = Tokenizer.from_file(VOCABULARY)
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y\n\n", "<|endoftext| >", "<<|endoftext|>>"]
+    rows = [*ROWS, (1000, "A long text, isn't it?  Ünï \n\n " * 300), *enumerate(special, 2000)]
+    found = packing.pack(documents(rows), RANKS, capacity=64, added=packing.added_tokens(VOCABULARY)).collect()
     expected = []
     for doc_id, text in rows:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
