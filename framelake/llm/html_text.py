@@ -3,12 +3,16 @@
 Markup is stripped first: each block element of a page becomes one line of text, in page order.
 Lines in menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, role,
 class or id), scripts and styles keep their place but count as empty; so do, outside a marked article,
-lines that are links for the most part. If the page marks its article (`article`, or else `main`), lines outside count
-as empty too, and each surge inside counts. The length of a line is its text's. The sum of `window` lines from each line on is the
-block distribution: it surges where the article starts and dives to nothing where it ends. The
-text between a surge and the next dive is a candidate, and candidates that hold at least a share of
-the longest one's text are kept: an article cut by a long advert stays whole. So are all lines in the
-container of the longest candidate's longest line, however short their run.
+lines that are links for the most part. Names count on containers, and inside a marked article only
+if nothing in a name says otherwise (`ad-slot` is an advert, `social-history` is a section); on
+paragraphs only a class counts, on headings nothing. The weight of a line is its text's length, and `MARKED`
+times that in an element that the page marks as its article (`article`, or else `main`). The sum of
+`window` lines from each line on is the block distribution: it surges where the article starts and dives to
+nothing where it ends. The text between a surge and the next dive is a candidate. If most of the weightiest
+candidate is marked, the mark gives its exact ends, and all lines in the mark are kept, however short; a mark around
+a teaser only is passed over. Otherwise candidates that hold at least a share of the weightiest one
+are kept: an article cut by a long advert stays whole. So are all lines in the container of its longest line,
+however short their run.
 
 Null and empty pages, and pages without text, give an empty text. Repeated rows each give a row.
 """
@@ -27,6 +31,8 @@ WINDOW = 3
 SURGE = 80
 #: Candidates with less than this share of the longest one's text are left out.
 SHARE = 0.2
+#: A line in a marked article weighs as much as so many outside.
+MARKED = 4
 #: Above this share of linked text, a line is a menu.
 LINKED = 0.7
 
@@ -42,22 +48,31 @@ _INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 _APART = frozenset("nav header footer aside form button dialog menu head fieldset".split())
+#: An article in one of these is never the page's.
+_BESIDE = frozenset("nav footer aside dialog menu".split())
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"']++))?+")
 #: Elements that hold one paragraph; a container holds several.
 _PARAGRAPH = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption summary address".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|"
+_NAME = (
+    r"nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|"
     r"banner|cookies?|consent|notice|alert|popup|modal|overlay|comments?|disqus|respond|replies|reply|share|sharing|social|related|"
-    r"recommend\w*|breadcrumbs?|newsletter|subscribe|signup|login|search|widget|complementary|contentinfo|form)(?:$|[\s_-])",
-    re.I,
+    r"recommend\w*|breadcrumbs?|newsletter|subscribe|signup|login|search|widget|complementary|contentinfo|form"
 )
+_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_NAME})(?:$|[\s_-])", re.I)
+#: Words that go with a name without changing what it means.
+_LAYOUT = (
+    r"area|articles?|bar|block|bottom|box|btns?|buttons?|container|content|icons?|inner|inline|items?|left|links?|list|main|"
+    r"page|panel|posts?|right|section|site|slot|small|stories|thread|title|toolbar|top|unit|wrap(?:per)?|\d+"
+)
+_WHOLE_NAME = re.compile(rf"(?:(?:{_LAYOUT})[_-]+)*(?:{_NAME})(?:[_-]+(?:{_NAME}|{_LAYOUT}))*", re.I)
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|promo|advert\w*)(?:$|[\s_-])", re.I)
 _UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 #: These start a new element of their kind where one is open: their end tags may be left out.
 _CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str, marked: bool) -> bool:
     if name in _APART:
         return True
     if not attributes or name in ("html", "body", "main"):
@@ -69,6 +84,11 @@ def _boilerplate(name: str, attributes: str) -> bool:
         return True
     if "hidden" in own.get("class", "").lower().split():
         return True
+    if name in _HEADING:
+        return False
+    if name in _PARAGRAPH or marked and name != "article":
+        keys = ("class",) if name in _PARAGRAPH else ("class", "id", "role")
+        return any(_WHOLE_NAME.fullmatch(word) for key in keys for word in own.get(key, "").split())
     names = _ASIDE_ARTICLE if name == "article" else _NAMES
     return any(names.search(own[key]) for key in ("class", "id", "role") if key in own)
 
@@ -102,10 +122,11 @@ class _Page:
             self.parts, self.linked = [], []
 
     def start(self, name: str, attributes: str) -> None:
-        apart = _boilerplate(name, attributes)
+        apart = _boilerplate(name, attributes, self.count["article"] + self.count["main"] > 0)
         if name not in _INLINE or apart:
             self.line()
-        if name in ("article", "main") and not apart and not self.marked:
+        beside = any(above in _BESIDE for above, _, _ in self.open) if name in ("article", "main") else True
+        if not beside and not apart and not self.marked:
             # what holds the page's article isn't boilerplate, whatever its name
             self.marked = True
             self.open = [(above, False, low) for above, _, low in self.open]
@@ -169,40 +190,42 @@ def read_page(page: str) -> _Page:
         if tag[1]:
             out.end(name)
         elif name in _RAW:
-            if name not in _INLINE:
-                out.line()
             close = _RAW_END[name].search(page, at) if not tag[3].endswith("/") else None
             at = close.end() if close else (at if tag[3].endswith("/") else len(page))
         else:
             out.start(name, tag[3])
 
 
-def kept_lines(lengths: list[int], window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> list[bool]:
-    """Lines between the surges and the dives of the block distribution."""
-    n = len(lengths)
-    sums, total = [0] * n, 0
-    for i in range(n - 1, -1, -1):
-        total += lengths[i] - (lengths[i + window] if i + window < n else 0)
-        sums[i] = total
-    if not any(lengths):
-        return [False] * n
-    needed = min(surge, max(sums))
+def candidates(weights: list[float], window: int = WINDOW, surge: float = SURGE) -> list[tuple[float, int, int]]:
+    """(weight, first line, end) between each surge and dive of the block distribution."""
+    n = len(weights)
+    sums, filled = [0.0] * n, [False] * n
+    for i in range(n):
+        block = weights[i : i + window]
+        sums[i], filled[i] = sum(block), any(block)
+    needed = min(surge, max(sums, default=0))
     runs, i = [], 0
     while i < n:
-        if not sums[i]:
+        if not filled[i]:
             i += 1
             continue
         end = i
-        while end < n and sums[end]:  # the dive: a whole window is empty
+        while end < n and filled[end]:  # the dive: a whole window is empty
             end += 1
         if max(sums[i:end]) >= needed:
-            runs.append((sum(lengths[i:end]), i, end))
+            runs.append((sum(weights[i:end]), i, end))
         i = end
-    most = max(size for size, _, _ in runs)
-    keep = [False] * n
-    for size, low, high in runs:
-        if size >= share * most:
-            keep[low:high] = [lengths[j] > 0 for j in range(low, high)]
+    return runs
+
+
+def kept_lines(weights: list[float], window: int = WINDOW, surge: float = SURGE, share: float = SHARE) -> list[bool]:
+    """Lines between the surges and the dives of the block distribution."""
+    runs = candidates(weights, window, surge)
+    most = max((weight for weight, _, _ in runs), default=0)
+    keep = [False] * len(weights)
+    for weight, low, high in runs:
+        if weight >= share * most:
+            keep[low:high] = [w > 0 for w in weights[low:high]]
     return keep
 
 
@@ -223,12 +246,19 @@ def container_lines(page: _Page, lengths: list[int], keep: list[bool]) -> list[b
 def main_text(page: str | None) -> str:
     read = read_page(page or "")
     lines = read.lines
-    marks = next((i for i in (2, 3) if any(line[i] and line[0] and not line[4] for line in lines)), None)
-    lengths = [
-        0 if line[4] or (not line[marks] if marks else line[1] > LINKED * len(line[0])) else len(line[0]) for line in lines
-    ]
-    # in a marked article each surge counts, however small
-    keep = kept_lines(lengths, surge=1, share=0) if marks else container_lines(read, lengths, kept_lines(lengths))
+    for mark in (2, 3):  # article, or else main
+        lengths = [
+            0 if line[4] or not line[mark] and line[1] > LINKED * len(line[0]) else len(line[0]) for line in lines
+        ]
+        weights = [MARKED * n if line[mark] else n for line, n in zip(lines, lengths)]
+        weight, low, high = max(candidates(weights), key=lambda run: run[0], default=(0, 0, 0))
+        marked = sum(w for line, w in zip(lines[low:high], weights[low:high]) if line[mark])
+        if weight and 2 * marked >= weight:
+            keep = [n > 0 and line[mark] for line, n in zip(lines, lengths)]
+            break
+    else:
+        lengths = [0 if line[4] or line[1] > LINKED * len(line[0]) else len(line[0]) for line in lines]
+        keep = container_lines(read, lengths, kept_lines(lengths))
     return " ".join(line[0] for line, kept in zip(lines, keep) if kept)
 
 

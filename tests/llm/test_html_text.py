@@ -1,5 +1,7 @@
 """Main texts of pages with known articles."""
 
+from html.parser import HTMLParser
+
 from framelake.llm import html_text
 
 WORDS = "the quick brown fox jumps over the lazy dog and then it sleeps for a while in the warm sun "
@@ -51,6 +53,77 @@ def test_only_attributes_of_their_own_name_mark_boilerplate():
     assert html_text.main_text(page) == "a b c d e f g"
 
 
+def test_names_in_an_article_drop_no_text_of_its_own():
+    page = """<article><h2 id="related-work">a</h2><p id="search">b</p><section id="social-history">c</section>
+    <div class="share-price">d</div><h3 class="notice">e</h3><p class="form-factor">f</p><div class="ad-slot-2">no</div>
+    <div class="related-posts">no</div><div id="comments">no</div><p class="advert">no</p><div class="top share-buttons">no</div></article>"""
+    assert html_text.main_text(page) == "a b c d e f"
+
+
+def test_a_script_does_not_end_a_line():
+    assert html_text.main_text("<article><p>a<script>x</script>b<style>y</style>c</p><script>z</script><p>d</article>") == "abc d"
+
+
+def test_an_article_that_is_a_teaser_only_is_passed_over():
+    body = "".join(f"<p>{WORDS * 2}{i}</p>" for i in range(8))
+    whole = " ".join(f"{WORDS * 2}{i}" for i in range(8))
+    beside = f"<body><aside><article><p>Read this as well.</p></article></aside><div>{body}</div></body>"
+    assert html_text.main_text(beside) == whole
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(6))
+    apart = f"<body><div><article><p>Read this as well.</p></article></div><ul>{links}</ul><div>{body}</div></body>"
+    assert html_text.main_text(apart) == whole
+    assert html_text.main_text(f"<body><div>Some line.</div><article><p>Short.</p></article></body>") == "Short."
+
+
+class _Article(HTMLParser):
+    """Blocks of the article of a plain page, read independently of the operator."""
+
+    INLINE = {"b", "i", "a", "em", "strong", "span", "code"}
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.inside, self.beside, self.raw = [[]], 0, 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.beside += tag in ("aside", "form") or tag == "div"
+        self.raw += tag in ("script", "style")
+        if tag not in self.INLINE:
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.beside -= tag in ("aside", "form") or tag == "div"
+        self.raw -= tag in ("script", "style")
+        if tag not in self.INLINE:
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside and not self.beside and not self.raw:
+            self.blocks[-1].append(data)
+
+
+def article(page):
+    parser = _Article()
+    parser.feed(page or "")
+    parser.close()
+    return " ".join(filter(None, (" ".join("".join(block).split()) for block in parser.blocks)))
+
+
+def test_the_table_against_another_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    expected = {r.page_id: article(r.html) for r in pages.collect()}
+    found = html_text.extract(pages).collect()
+    assert {r.page_id: r.text for r in found} == expected and len(found) == len(expected)
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
+def test_a_very_long_page():
+    words = [f"<p>word {i} {WORDS}</p>" for i in range(20_000)]
+    page = f"<nav>menu</nav><article>{''.join(words)}</article><footer>end</footer>"
+    assert html_text.main_text(page) == " ".join(f"word {i} {WORDS.strip()}" for i in range(20_000))
+
+
 def test_short_end_in_the_container_of_the_main_run():
     adverts = '<div class="ad">Buy</div>' * 3
     for low, high in (("<div>", "</div>"), ("", "")):
