@@ -13,8 +13,9 @@ its own k best for each query; the best k of these are the result.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id.
 Missing components of shorter vectors count as zero. Ties go to the smaller id. Repeated ids are rows
-of their own: a query isn't its own candidate, but a repeat of it is. Products of components have to
-fit 64 bits with a margin of 2^10.
+of their own: a query isn't its own candidate, but a repeat of it is. Where sums might pass 64 bits a
+query is searched with integers of any size. A component that doesn't fit `LARGEST`, or a result's score
+that doesn't fit 64 bits, has no place in the output's types: it fails the job.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SCALE = 64
 EVERY = 20
 BLOCK = 32_768
 CHUNK = 512
+LARGEST = 1 << 62
 #: The first threshold is the largest impact divided by this.
 FIRST = 16
 #: Possible members are scored once there are at most this many for each wanted one.
@@ -58,26 +60,31 @@ class ImpactIndex:
         """Positions of all vectors that may be among the k best, `own` aside."""
         size, dims = self.vectors.shape
         weights = np.abs(query)
-        used = np.flatnonzero(weights * self.largest)
-        reach = int((weights * self.largest).sum()) << self.shift
-        kind = np.int32 if reach + dims < 1 << 31 else np.int64
+        products = weights.astype(object) * self.largest.astype(object)  # of any size
+        used = np.flatnonzero(products)
+        reach = (int(products.sum()) << self.shift) + dims
+        kind, wide = (object, object) if reach >= LARGEST else (np.int32 if reach < 1 << 31 else np.int64, np.int64)
         scores = np.full(size, dims - len(used), kind)  # unused dimensions add nothing: seen
         done = dict.fromkeys(used.tolist(), 0)
-        tau = int((weights * self.largest).max(initial=0)) // FIRST
-        query = (query << self.shift).astype(kind)
+        tau = max(products.tolist(), default=0) // FIRST
+        query = query.astype(wide) << self.shift
+        query, one = query.astype(kind), 1 if kind is object else kind(1)
         seen = (1 << self.shift) - 1
         while True:
             for d, low in done.items():
                 # postings with an impact above tau
-                high = int(np.searchsorted(self.impacts[d], -(tau // int(weights[d])), "left")) if tau else size
+                least = min(tau // int(weights[d]), LARGEST)
+                high = int(np.searchsorted(self.impacts[d], -least, "left")) if tau else size
                 if high > low:
-                    np.add.at(scores, self.ids[d, low:high], self.values[d, low:high] * query[d] + kind(1))
+                    values = self.values[d, low:high]
+                    values = values.astype(object) if kind is object else values
+                    np.add.at(scores, self.ids[d, low:high], values * query[d] + one)
                     done[d] = high
-            slack = (dims - (scores & seen)).astype(np.int64) * tau
-            middle = (scores >> self.shift).astype(np.int64)
+            slack = (dims - (scores & seen)).astype(wide) * tau
+            middle = (scores >> self.shift).astype(wide)
             lower, upper = middle - slack, middle + slack
             if own >= 0:
-                lower[own] = upper[own] = np.iinfo(np.int64).min
+                lower[own] = upper[own] = -4 * reach if wide is object else np.iinfo(np.int64).min
             others = size - (own >= 0)
             if others <= k:
                 return np.flatnonzero(np.arange(size) != own)
@@ -89,13 +96,29 @@ class ImpactIndex:
     def best(self, query: np.ndarray, k: int, ids: np.ndarray, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best, ties by id, then by position."""
         members = self.search(query, k, own)
-        scores = self.vectors[members] @ query
-        order = np.lexsort((members, ids[members], -scores))[:k]
-        return members[order], scores[order]
+        scores = self._exact(members, query)
+        if scores.dtype != object:
+            order = np.lexsort((members, ids[members], -scores))[:k]
+            return members[order], scores[order]
+        order = np.array(sorted(range(len(members)), key=lambda i: (-scores[i], ids[members[i]], members[i])), int)[:k]
+        if any(abs(score) >= 1 << 63 for score in scores[order]):
+            raise OverflowError("a score passes 64 bits; use a smaller scale")
+        return members[order], scores[order].astype(np.int64)
+
+    def _exact(self, members: np.ndarray, query: np.ndarray) -> np.ndarray:
+        bound = sum(map(int.__mul__, np.abs(query).tolist(), self.largest.tolist()))
+        if bound < LARGEST:
+            return self.vectors[members] @ query
+        return self.vectors[members].astype(object) @ query.astype(object)
 
 
 def integers(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    def integer(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        too_large = F.raise_error(F.lit("a component is too large for 64-bit integers; use a smaller scale")).cast("long")
+        return F.when(F.abs(scaled) < float(LARGEST), F.floor(scaled)).otherwise(too_large)
+
+    return F.transform(vector, integer)
 
 
 def usable(vector: Column) -> Column:

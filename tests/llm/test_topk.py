@@ -75,6 +75,29 @@ def test_bounds_hold_for_odd_weights():
         assert [(-int(s), int(i)) for i, s in zip(at, scores)] == expected
 
 
+def test_sums_beyond_64_bits_are_exact():
+    draw = random.Random(4)
+    for _ in range(60):
+        n, dims, k = draw.randint(2, 300), draw.randint(1, 5), draw.randint(1, 3)
+        large = 1 << draw.choice([20, 31, 44, 58])
+        data = np.array([[draw.randint(-3, 3) for _ in range(dims)] for _ in range(n)])
+        data[0] *= large  # the query, whose own score would pass 64 bits
+        at, scores = topk.ImpactIndex(data).best(data[0] // 2, k, np.arange(n), 0)
+        query = [int(x) // 2 for x in data[0]]
+        expected = sorted((-sum(a * int(b) for a, b in zip(query, v)), i) for i, v in enumerate(data) if i)[:k]
+        assert [(-int(s), int(i)) for i, s in zip(at, scores)] == expected
+
+
+def test_what_has_no_64_bit_integer_fails(spark):
+    schema = "vec_id long, embedding array<double>"
+    for rows, message in (
+        ([(20, [1e300]), (1, [1.0])], "a component is too large"),
+        ([(20, [1e15, 0.0]), (1, [1e15, 1.0])], "a score passes 64 bits"),
+    ):
+        with pytest.raises(Exception, match=message):
+            found(spark.createDataFrame(rows, schema))
+
+
 def test_the_table(spark, sf):
     frame = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert found(frame) == brute([(r.vec_id, r.embedding) for r in frame.collect()])
