@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.integers import div
@@ -68,64 +68,93 @@ CHECKS = (
 )
 
 
+#: Ids of one bucket of the integrity pass, and buckets that are merged at a time.
+BUCKET, MERGED = 32_768, 1024
+
+
 def integrity_report(
     spark: SparkSession, index: DataFrame, expected: int, shards: DataFrame, top: int = 10
 ) -> DataFrame:
     """(check, n_bad, examples): one row per violated or passed check of an index.
 
     `shards` holds the real content: shard_path, actual_rows, feature_shape.
-    Violations come from three passes (per id, absent ids, per shard). Counts are summed
-    in the tasks; examples are the `top` smallest ids, of which each task keeps its own
-    `top` before any row moves, so a check that every row violates is no hot group.
+    One pass: rows are counted per id (map-side first, so a hot id is one row), ids per bucket of
+    `BUCKET` dense ids. A bucket of the expected range that lacks ids gives its absent ones from
+    its own ids, so no range of all ids is joined. Buckets keep the `top` smallest ids of each check, and are
+    merged `MERGED` at a time before the last step: no group is larger than that, however
+    many rows violate a check.
     """
-    row = F.col("row_id")
-
-    def named(conditions: dict[str, Column]) -> Column:
-        return F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in conditions.items()]))).alias("check")
-
-    per_id = index.groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
-    by_id = per_id.select(
-        "row_id", named({"row_out_of_bounds": (row < 0) | (row >= expected), "duplicate_row": F.col("copies") > 1})
-    )
-    absent = (
-        spark.range(expected)
-        .withColumnRenamed("id", "row_id")
-        .join(per_id.select("row_id"), "row_id", "left_anti")
-        .withColumn("check", F.lit("missing_row"))
-    )
+    row, bucket = F.col("row_id"), F.col("bucket")
     offset, actual = F.col("shard_offset"), F.col("actual_rows")
-    by_shard = index.join(shards.select("shard_path", "actual_rows"), "shard_path", "left").select(
-        "row_id",
-        named(
-            {
-                "missing_shard": actual.isNull(),
-                "shard_row_count": F.col("shard_num_rows") != actual,
-                "shard_offset": (offset < 0) | (offset >= actual),
-            }
-        ),
-    )
-    shapes = F.count_distinct("feature_shape") - 1
-    violations = by_id.unionByName(absent).unionByName(by_shard)
-    order = Window.partitionBy("check").orderBy("row_id")
-    examples = (
-        violations.withColumn("k", F.row_number().over(order))
-        .filter(F.col("k") <= top)
-        .groupBy("check")
-        .agg(joined_ids(F.array_sort(F.collect_list("row_id"))).alias("examples"))
+    of_rows = {
+        "missing_shard": actual.isNull(),
+        "shard_row_count": F.col("shard_num_rows") != actual,
+        "shard_offset": (offset < 0) | (offset >= actual),
+    }
+    joined = index.join(shards.select("shard_path", "actual_rows"), "shard_path", "left")
+    per_id = (
+        joined.groupBy(div("row_id", BUCKET).cast("long").alias("bucket"), "row_id")
+        .agg(F.count(F.lit(1)).alias("copies"), *(F.count_if(c).alias(name) for name, c in of_rows.items()))
+        .select(
+            "bucket",
+            "row_id",
+            *of_rows,
+            ((row < 0) | (row >= expected)).cast("long").alias("row_out_of_bounds"),
+            (row.isNotNull() & (F.col("copies") > 1)).cast("long").alias("duplicate_row"),
+        )
     )
-    counted = (
-        violations.groupBy("check")
-        .agg(F.count(F.lit(1)).alias("n_bad"))
-        .join(examples, "check")
-        .unionByName(
-            shards.agg(F.greatest(shapes, F.lit(0)).alias("n_bad")).select(
-                F.lit("feature_shape").alias("check"), "n_bad", F.lit("").alias("examples")
-            )
+    counted = [name for name in CHECKS if name in per_id.columns]
+    every = spark.range(-(-expected // BUCKET)).select(F.col("id").alias("bucket"))
+    low = bucket * BUCKET
+    high = F.least(low + BUCKET, F.lit(expected))
+    within = F.filter("ids", lambda i: (i >= 0) & (i < expected))
+    absent = F.when((low >= 0) & (low < expected), high - low - F.size(within)).otherwise(0)
+
+    def first(ids: Column) -> Column:
+        return F.slice(F.array_sort(ids), 1, top)
+
+    def repeated(name: str) -> Column:  # an id stands once for each row that violates the check
+        return F.when(F.col(name) > 0, F.array_repeat("row_id", F.least(F.col(name), F.lit(top)).cast("int")))
+
+    per_bucket = (
+        per_id.unionByName(every, allowMissingColumns=True)
+        .groupBy("bucket")
+        .agg(
+            F.collect_list("row_id").alias("ids"),
+            *(F.sum(name).alias(name) for name in counted),
+            *(first(F.flatten(F.collect_list(repeated(name)))).alias(f"{name}_ids") for name in counted),
+        )
+        .withColumn("missing_row", absent)
+        .withColumn(
+            "missing_row_ids",
+            F.when(absent > 0, first(F.array_except(F.sequence(low, high - 1), within))).otherwise(
+                F.array().cast("array<long>")
+            ),
         )
     )
-    checks = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CHECKS])).alias("check"))
-    return checks.join(counted, "check", "left").select(
-        "check", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), F.coalesce("examples", F.lit("")).alias("examples")
+    names = [*counted, "missing_row"]
+
+    def merged(rows: DataFrame, *keys: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            *(F.sum(name).alias(name) for name in names),
+            *(first(F.flatten(F.collect_list(f"{name}_ids"))).alias(f"{name}_ids") for name in names),
+        )
+
+    whole = merged(merged(per_bucket, div("bucket", MERGED).alias("part")))
+    shapes = shards.agg(F.greatest(F.count_distinct("feature_shape") - 1, F.lit(0)).alias("n"))
+    lines = [
+        F.struct(
+            F.lit(name).alias("check"),
+            F.coalesce(F.col(name), F.lit(0)).cast("long").alias("n_bad"),
+            joined_ids(F.array_compact(F.coalesce(f"{name}_ids", F.array().cast("array<long>")))).alias("examples"),
+        )
+        for name in CHECKS
+        if name in names
+    ]
+    return (
+        whole.select(F.explode(F.array(*lines)).alias("line"))
+        .select("line.*")
+        .unionByName(shapes.select(F.lit("feature_shape").alias("check"), F.col("n").alias("n_bad"), F.lit("").alias("examples")))
     )
 
 

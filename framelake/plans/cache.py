@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..operators import cache_index as ops
 from ..operators import lookup
 from ..operators.episodes import attach_dataset_info, cache_row_ids, clamped_context, frame_offsets
 from ..operators.udfs import map_columns, predict_features as predict
+from ..session import ensure_checkpoint_dir
+from ..sources.cache_store import FeatureCache, stored_shards, write_cache
 from . import views as v
 from .registry import joined, micros, query, r6, s6, smicros
 
@@ -140,6 +144,69 @@ def cache_index_integrity(spark, sf):
     return ops.integrity_report(spark, index, expected, shards)
 
 
+# Half floats: 4 x 16 items take 128 bytes a row, 64 KB hold 512 rows.
+HALF_PER_SHARD = ops.rows_per_shard(SHAPE, "float16", 0.0625)
+
+
+@query(
+    "cache_roundtrip",
+    f"""WITH n AS (SELECT count(*) AS total FROM embeddings),
+    r AS (SELECT vec_id AS row_id, vec_id // {HALF_PER_SHARD} AS shard, list_transform(embedding, lambda x: floor(x::DOUBLE * 64) / 64) AS e FROM embeddings)
+    SELECT row_id, 'features/shard_id=' || shard AS shard_path, {smicros('e')} AS features,
+    least({HALF_PER_SHARD}, total - shard * {HALF_PER_SHARD}) * 128 AS stored_bytes,
+    true AS complete, total AS num_rows, 'refused' AS second_write FROM r, n""",
+)
+def cache_roundtrip(spark, sf):
+    """Vectors on a grid that half floats hold, written as a cache, checked, and read back by key.
+
+    The second write without `overwrite` has to be refused.
+    """
+    path = f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
+    grid = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64) / 64)
+    slots, dim = SHAPE
+    matrix = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.slice(grid, i * dim + 1, F.lit(dim)))
+    episode = (F.col("vec_id") / 100).cast("long")
+    frame = F.col("vec_id") % 100
+    rows = v.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        F.lit("train").alias("split"),
+        F.lit(0).cast("long").alias("dataset_index"),
+        F.lit("vectors").alias("repo_id"),
+        F.lit("/").alias("root"),
+        F.lit("embedding").alias("camera_key"),
+        episode.alias("episode_index"),
+        frame.alias("frame_index"),
+        F.col("vec_id").alias("absolute_index"),
+        (frame / 10).alias("timestamp"),
+        F.col("label").cast("long").alias("task_index"),
+        F.array("vec_id").alias("context_absolute_indices"),
+        F.array(frame).alias("context_frame_indices"),
+        F.array(F.lit(False)).alias("context_is_pad"),
+        matrix.alias("features"),
+    )
+    total = rows.count()
+    write_cache(rows, path, SHAPE, total, target_mb=0.0625)
+    try:
+        write_cache(rows, path, SHAPE, total, target_mb=0.0625)
+        second = "accepted"
+    except FileExistsError:
+        second = "refused"
+    cache = FeatureCache(spark, path)
+    asked = rows.select(F.col("row_id").alias("position"), "dataset_index", "episode_index", "frame_index")
+    found = cache.get_many(cache.lookup(asked).select("position", "row_id"))
+    shards = stored_shards(spark, path).select("shard_path", "stored_bytes")
+    described = found.join(cache.index.select("row_id", "shard_path"), "row_id").join(shards, "shard_path")
+    return described.select(
+        "row_id",
+        "shard_path",
+        micros(F.flatten("features").cast("array<double>")).alias("features"),
+        "stored_bytes",
+        F.lit(cache.metadata["complete"]).alias("complete"),
+        F.lit(cache.metadata["num_rows"]).cast("long").alias("num_rows"),
+        F.lit(second).alias("second_write"),
+    )
+
+
 @query(
     "feature_stats",
     f"""SELECT vec_id AS row_id, {s6('list_min(e)')} AS min_value, {s6('list_max(e)')} AS max_value, {s6('list_avg(e)')} AS mean_value,

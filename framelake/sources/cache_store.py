@@ -1,7 +1,8 @@
 """Feature cache on disk: feature shards, sorted index, completion marker.
 
-A cache folder holds `features/` (Parquet, one folder per shard), `index/` (Parquet
-sorted by row id) and `metadata/` (one JSON row). The marker is written first as
+A cache folder holds `features/` (Parquet, one folder per shard, each row's features packed as
+the bytes of its half or single floats), `index/` (Parquet sorted by row id) and `metadata/`
+(one JSON row). A full shard holds just the bytes that its row count was worked out for. The marker is written first as
 incomplete and last as complete, so an interrupted run is never read.
 """
 
@@ -11,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packed import pack_matrix, unpack_matrix
 from ..operators.cache_index import (
     feature_shape_ok,
     integrity_report,
@@ -77,7 +79,7 @@ def write_cache(
         F.when(feature_shape_ok(F.col("features"), *shape), F.col("features").cast("array<array<float>>")).otherwise(
             F.raise_error(F.lit(f"feature shape differs from {shape}"))
         ),
-    )
+    ).withColumn("features", pack_matrix(F.col("features"), dtype))
     laid = shard_layout(checked, per_shard, F.lit(expected_rows))
     # One pass over the predictor: the index is derived from the written features.
     (
@@ -96,14 +98,18 @@ def write_cache(
 
 
 def stored_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard_path, actual_rows, feature_shape) of the feature files."""
-    shape = F.concat_ws(",", F.size("features"), F.size(F.get("features", F.lit(0))))
+    """(shard_path, actual_rows, feature_shape, stored_bytes) of the feature files; the shape is the bytes of a row."""
+    size = F.octet_length("features")
     return (
         spark.read.parquet(f"{path}/features")
-        .groupBy("shard_path", shape.alias("feature_shape"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .groupBy("shard_path", size.cast("string").alias("feature_shape"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.sum(size.cast("long")).alias("__bytes"))
         .groupBy("shard_path")
-        .agg(F.sum("__n").alias("actual_rows"), F.max("feature_shape").alias("feature_shape"))
+        .agg(
+            F.sum("__n").alias("actual_rows"),
+            F.max("feature_shape").alias("feature_shape"),
+            F.sum("__bytes").alias("stored_bytes"),
+        )
     )
 
 
@@ -124,7 +130,16 @@ class FeatureCache:
         if not self.metadata["complete"]:
             raise ValueError(f"cache {path} is incomplete")
         self.index = spark.read.parquet(f"{path}/index")
-        self.features = spark.read.parquet(f"{path}/features").select("row_id", "features")
+        self.packed = spark.read.parquet(f"{path}/features").select("row_id", "features")
+
+    @property
+    def features(self) -> DataFrame:
+        """(row_id, features) as arrays of floats."""
+        return self._unpacked(self.packed)
+
+    def _unpacked(self, rows: DataFrame) -> DataFrame:
+        shape = (self.metadata[name] for name in ("slots", "dim", "dtype"))
+        return rows.withColumn("features", unpack_matrix(F.col("features"), *shape))
 
     def lookup(self, requests: DataFrame, strict: bool = True) -> DataFrame:
         """Row ids by (dataset_index or repo_id, episode_index, frame_index)."""
@@ -135,4 +150,4 @@ class FeatureCache:
 
     def get_many(self, requests: DataFrame) -> DataFrame:
         """(position, row_id, features) in request order; an unknown id fails the job."""
-        return multi_get(requests, self.features, "row_id")
+        return self._unpacked(multi_get(requests, self.packed, "row_id"))  # packed bytes move
