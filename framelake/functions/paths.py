@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .integers import div
 
 _FIELD = re.compile(r"\{(\w+)(?::0?(\d+)d)?\}")
+_SCHEME = re.compile(r"[A-Za-z][\w+.-]+:/")
 _RANGE = re.compile(r"\{(\d+)\.\.(\d+)\}")
 
 
@@ -46,7 +47,7 @@ def expand_shards(shards: str | Iterable | None, data_dir: str | None = None) ->
         return []
     if not isinstance(shards, str):
         return [url for item in shards for url in expand_shards(item, data_dir)]
-    if not shards.startswith("/") and "://" not in shards:
+    if not shards.startswith("/") and not _SCHEME.match(shards):
         if data_dir is None:
             raise ValueError(f"relative shard path {shards} needs a data folder")
         shards = f"{data_dir.rstrip('/')}/{shards}"

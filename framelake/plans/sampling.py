@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.integers import div
 from ..operators import sampling as ops
 from ..operators.numbering import dense_index, int_bucket
+from ..session import ensure_checkpoint_dir
+from ..sources import tar_shards
 from . import views as v
 from .registry import query
 
@@ -210,3 +214,31 @@ def topk_per_row(spark, sf):
     return ops.topk_per_row(
         v.table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id", 3
     )
+
+
+@query(
+    "tar_roundtrip",
+    """SELECT d.doc_id, 'docs-' || lpad(CAST((row_number() OVER (ORDER BY d.doc_id) - 1) // 64 AS VARCHAR), 6, '0') || '.tar' AS shard,
+    coalesce(d.lang, '') AS lang, octet_length(encode(coalesce(d.text, '')))::BIGINT AS n_bytes, md5(coalesce(d.text, '')) AS text_md5 FROM documents d""",
+)
+def tar_roundtrip(spark, sf):
+    """Documents as members of tar shards of 64 samples, written by tasks, committed by a manifest, read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    docs = v.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    samples = dense_index(docs, ["doc_id"], int_bucket("doc_id")).select(
+        "row_id",
+        F.format_string("%012d", "doc_id").alias("key"),
+        F.create_map(
+            F.lit("txt"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit("lang"), F.encode(F.coalesce("lang", F.lit("")), "UTF-8")
+        ).alias("members"),
+    )
+    tar_shards.write_shards(ops.assign_shards(samples, 64, "docs-%06d.tar"), folder)
+    back = tar_shards.read_shards(spark, tar_shards.committed_shards(folder))
+    text = F.element_at("members", "txt")
+    return back.select(
+        F.col("key").cast("long").alias("doc_id"),
+        F.element_at(F.split("shard", "/"), -1).alias("shard"),
+        F.decode(F.element_at("members", "lang"), "UTF-8").alias("lang"),
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        F.md5(text).alias("text_md5"),
+    )

@@ -6,14 +6,20 @@ sample at a time. Options: `prefixes` (comma list) keeps only matching members
 before their bytes are read; `data_dir` resolves relative shard names.
 
 Write: rows (shard_file, key, members), clustered by shard_file. Every task writes
-attempt files, and the commit renames those of successful tasks only, so a lost
-executor leaves no half shard. Paths are files that all executors see.
+attempt files under hidden names, and the commit lists those of successful tasks in a
+manifest, written last and in one piece. Readers follow a folder's manifest, so a lost
+executor or driver leaves nothing that can be read. Where renaming is cheap and atomic
+the commit gives the files their final names first; on an object store the manifest
+alone maps names to files.
+
+Paths are those of any file system that `pyarrow.fs` opens by URI; a folder without a
+manifest, such as one written elsewhere, is read by its file names.
 """
 
 from __future__ import annotations
 
 import io
-import os
+import json
 import tarfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +43,9 @@ from ..functions.paths import expand_shards
 from ..schemas import SAMPLES
 
 FORMAT = "tarshards"
+MANIFEST = "_shards.json"
+#: File systems on which a file is renamed at once.
+RENAMING = ("local", "hdfs")
 
 
 def split_member(name: str) -> tuple[str, str]:
@@ -45,9 +55,19 @@ def split_member(name: str) -> tuple[str, str]:
     return (f"{folder}/{stem}" if folder else stem), extension
 
 
+def read_manifest(folder: str) -> dict[str, str] | None:
+    """Shard name to file name of a committed folder; None if the folder has no manifest."""
+    system, path = fs.FileSystem.from_uri(folder)
+    try:
+        with system.open_input_stream(f"{path}/{MANIFEST}", compression=None) as stream:
+            return json.loads(stream.read())["shards"]
+    except FileNotFoundError:
+        return None
+
+
 class ShardPartition(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, shard: str, file: str) -> None:
+        self.shard, self.file = shard, file
 
 
 class ShardReader(DataSourceReader):
@@ -57,23 +77,34 @@ class ShardReader(DataSourceReader):
         self.prefixes = ("_", *prefixes.split(",")) if prefixes else None
 
     def partitions(self) -> list[InputPartition]:
-        return [ShardPartition(path) for path in self.shards]
+        manifests: dict[str, dict[str, str] | None] = {}
+        found = []
+        for shard in self.shards:
+            folder, _, name = shard.rpartition("/")
+            if folder not in manifests:
+                manifests[folder] = read_manifest(folder)
+            listed = manifests[folder]
+            if listed is not None and name not in listed:
+                raise FileNotFoundError(f"{shard} is not among the committed shards of its folder")
+            found.append(ShardPartition(shard, shard if listed is None else f"{folder}/{listed[name]}"))
+        return found
 
     def read(self, partition: ShardPartition) -> Iterator[tuple]:
         key, members = None, {}
-        with tarfile.open(partition.path, "r|*") as archive:
+        system, path = fs.FileSystem.from_uri(partition.file)
+        with system.open_input_stream(path, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as archive:
             for info in archive:
                 if not info.isfile():
                     continue
                 found, extension = split_member(info.name)
                 if found != key:
                     if key is not None:
-                        yield key, partition.path, members
+                        yield key, partition.shard, members
                     key, members = found, {}
                 if self.prefixes is None or extension.startswith(self.prefixes):
                     members[extension] = archive.extractfile(info).read()
         if key is not None:
-            yield key, partition.path, members
+            yield key, partition.shard, members
 
 
 @dataclass
@@ -86,42 +117,60 @@ class ShardWriter(DataSourceWriter):
         self.folder, self.overwrite = folder, overwrite
 
     def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
+        system, folder = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(folder, recursive=True)
         attempt, files = uuid.uuid4().hex, []
-        archive, current = None, None
+        archive = stream = current = None
         for row in rows:
             if row.shard_file != current:
                 if archive is not None:
                     archive.close()
-                if any(final == row.shard_file for _, final in files):
+                    stream.close()
+                if any(shard == row.shard_file for _, shard in files):
                     raise ValueError(f"rows of {row.shard_file} are not clustered")
                 current = row.shard_file
-                temporary = os.path.join(self.folder, f".{current}.{attempt}")
-                files.append((temporary, current))
-                archive = tarfile.open(temporary, "w")
+                files.append((f".{attempt}.{current}", current))
+                stream = system.open_output_stream(f"{folder}/{files[-1][0]}", compression=None)
+                archive = tarfile.open(fileobj=stream, mode="w|")
             for extension, content in sorted(row.members.items()):
                 info = tarfile.TarInfo(f"{row.key}.{extension}")
                 info.size = len(content)
                 archive.addfile(info, io.BytesIO(content))
         if archive is not None:
             archive.close()
+            stream.close()
         return Written(files)
 
     def commit(self, messages: list) -> None:
-        for message in messages:
-            for temporary, final in message.files if message else []:
-                os.replace(temporary, os.path.join(self.folder, final))
-        if self.overwrite and os.path.isdir(self.folder):
-            written = {final for message in messages if message for _, final in message.files}
-            for name in os.listdir(self.folder):
-                if name.endswith(".tar") and not name.startswith(".") and name not in written:
-                    os.remove(os.path.join(self.folder, name))
+        system, folder = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(folder, recursive=True)
+        shards = {shard: file for message in messages if message for file, shard in message.files}
+        if system.type_name in RENAMING:
+            for shard, file in shards.items():
+                system.move(f"{folder}/{file}", f"{folder}/{shard}")
+            shards = {shard: shard for shard in shards}
+        self._publish(system, folder, shards)
+        if self.overwrite:
+            held = {MANIFEST, *shards.values()}
+            for entry in system.get_file_info(fs.FileSelector(folder)):
+                if entry.base_name.endswith(".tar") and entry.base_name not in held:
+                    system.delete_file(entry.path)
+
+    def _publish(self, system: fs.FileSystem, folder: str, shards: dict[str, str]) -> None:
+        target = f"{folder}/{MANIFEST}"
+        # an object appears when it is closed; elsewhere a rename makes it appear
+        path = f"{folder}/.{uuid.uuid4().hex}.json" if system.type_name in RENAMING else target
+        with system.open_output_stream(path, compression=None) as stream:
+            stream.write(json.dumps({"shards": shards}).encode())
+        if path != target:
+            system.move(path, target)
 
     def abort(self, messages: list) -> None:
+        system, folder = fs.FileSystem.from_uri(self.folder)
         for message in messages:
-            for temporary, _ in message.files if message else []:
-                if os.path.exists(temporary):
-                    os.remove(temporary)
+            for file, _ in message.files if message else []:
+                if system.get_file_info(f"{folder}/{file}").type != fs.FileType.NotFound:
+                    system.delete_file(f"{folder}/{file}")
 
 
 class TarShards(DataSource):
@@ -137,7 +186,11 @@ class TarShards(DataSource):
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         folder = self.options["path"]
-        if not overwrite and os.path.isdir(folder) and any(f.endswith(".tar") for f in os.listdir(folder)):
+        system, path = fs.FileSystem.from_uri(folder)
+        entries = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        # hidden files are what a lost job left
+        shards = [e for e in entries if e.base_name.endswith(".tar") and not e.base_name.startswith(".")]
+        if not overwrite and (shards or read_manifest(folder)):
             raise FileExistsError(f"{folder} already holds shards")
         return ShardWriter(folder, overwrite)
 
@@ -152,6 +205,14 @@ def read_shards(spark: SparkSession, shards: str | list[str], prefixes: tuple =
     return reader.load()
 
 
+def committed_shards(folder: str) -> list[str]:
+    """Paths of the shards that a finished write left in a folder."""
+    listed = read_manifest(folder)
+    if listed is None:
+        raise FileNotFoundError(f"no finished shards in {folder}")
+    return [f"{folder}/{name}" for name in sorted(listed)]
+
+
 def write_shards(samples: DataFrame, folder: str, overwrite: bool = False) -> None:
     """Writes rows (shard_file, shard_pos, key, members); see `sampling.assign_shards`."""
     samples.sparkSession.dataSource.register(TarShards)

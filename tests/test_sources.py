@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from framelake.operators import projections, sampling
@@ -265,3 +266,34 @@ def test_tar_overwrite_leaves_no_old_shard(spark, tmp_path):
         numbered = dense_index(rows, ["id"], int_bucket("id"))
         tar_shards.write_shards(sampling.assign_shards(numbered, 3, "s-%06d.tar"), folder, overwrite=True)
         assert len(list((tmp_path / "shards").glob("*.tar"))) == shards
+
+
+def test_shards_of_an_unfinished_write_are_not_read(spark, tmp_path):
+    folder = tmp_path / "shards"
+    writer = tar_shards.ShardWriter(str(folder))
+    rows = [Row(shard_file=f"s-{i}.tar", key=str(i), members={"txt": b"x"}) for i in range(3)]
+    first, lost = writer.write(iter(rows[:2])), writer.write(iter(rows[2:]))
+    assert all(f.name.startswith(".") for f in folder.iterdir())
+    with pytest.raises(FileNotFoundError, match="no finished shards"):
+        tar_shards.committed_shards(str(folder))
+    writer.abort([lost, None])
+    writer.commit([first, None])
+    assert tar_shards.committed_shards(str(folder)) == [f"{folder}/s-0.tar", f"{folder}/s-1.tar"]
+    (folder / "s-2.tar").write_bytes(b"half a shard")
+    with pytest.raises(Exception, match="not among the committed shards"):
+        tar_shards.read_shards(spark, "s-{0..2}.tar", data_dir=str(folder)).collect()
+    back = tar_shards.read_shards(spark, "s-{0..1}.tar", data_dir=f"file://{folder}").collect()
+    assert sorted((r.key, bytes(r.members["txt"])) for r in back) == [("0", b"x"), ("1", b"x")]
+
+
+def test_a_manifest_alone_names_shards_where_nothing_is_renamed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tar_shards, "RENAMING", ())
+    folder = str(tmp_path / "shards")
+    for rows in (4, 2):
+        writer = tar_shards.ShardWriter(folder, overwrite=True)
+        writer.commit([writer.write(iter([Row(shard_file=f"s-{i}.tar", key=str(i), members={"n": str(rows).encode()}) for i in range(rows)]))])
+        shards = tar_shards.committed_shards(folder)
+        assert shards == [f"{folder}/s-{i}.tar" for i in range(rows)]
+        back = tar_shards.read_shards(spark, shards).collect()
+        assert sorted((r.key, bytes(r.members["n"])) for r in back) == [(str(i), str(rows).encode()) for i in range(rows)]
+    assert len(list((tmp_path / "shards").glob(".*.tar"))) == 2
