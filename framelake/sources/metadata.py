@@ -84,6 +84,22 @@ def layout_of(version: Column, has_episode_file: Column) -> Column:
     return F.when(old | has_episode_file, "v2").otherwise("v3")
 
 
+def episode_files(spark: SparkSession, root: str, episodes: Sequence[int]) -> list[str] | None:
+    """Files of the episodes by the dataset's path template; None if its files don't hold one episode each."""
+    if not _exists(spark, f"{root}/meta/info.json"):
+        return None
+    info = read_info(spark, root).select("data_path", "chunks_size").first()
+    template = info["data_path"] or ""
+    if "{episode_index" not in template:
+        return None
+    size = info["chunks_size"] or 1000
+    names = (
+        template.format(episode_chunk=e // size, chunk_index=e // size, episode_index=e, file_index=e, video_key="")
+        for e in dict.fromkeys(map(int, episodes))
+    )
+    return [f"{root}/{name}" for name in names]
+
+
 def read_frames(
     spark: SparkSession,
     root: str,
@@ -92,12 +108,20 @@ def read_frames(
 ) -> DataFrame:
     """Frame table of a dataset, only the selected episodes when given.
 
-    A list becomes a pushed-down filter, so row groups of other episodes are skipped;
-    a table becomes a semi join.
+    A list names its files by the path template, so no other file is listed or opened; a
+    file that isn't there is an error. Where a file holds many episodes the list is a
+    pushed-down filter instead. A table becomes a semi join.
     """
-    frames = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root.rstrip('/')}/data")
+    root = root.rstrip("/")
+    listed = None if episodes is None or isinstance(episodes, DataFrame) else list(episodes)
+    if listed is not None and not listed:
+        return spark.createDataFrame([], schema)
+    files = episode_files(spark, root, listed) if listed else None
+    if files:
+        return spark.read.schema(schema).parquet(*files)
+    frames = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/data")
     if episodes is None:
         return frames
-    if isinstance(episodes, DataFrame):
+    if listed is None:
         return frames.join(episodes.select("episode_index"), "episode_index", "left_semi")
-    return frames.filter(F.col("episode_index").isin([int(e) for e in episodes]))
+    return frames.filter(F.col("episode_index").isin([int(e) for e in listed]))

@@ -70,7 +70,21 @@ def test_frame_scan_prunes_episodes(spark, dataset):
     assert metadata.read_frames(spark, root).count() == 5
     some = metadata.read_frames(spark, root, [1])
     assert some.count() == 2
-    assert "PushedFilters: [In(episode_index" in some._jdf.queryExecution().toString() or "EqualTo(episode_index" in some._jdf.queryExecution().toString()
+    assert [f.rpartition("/")[2] for f in some.inputFiles()] == ["episode_000001.parquet"]
+    assert "In(episode_index" not in some._jdf.queryExecution().toString()
+    (dataset / "data" / "chunk-000" / "episode_000000.parquet").write_bytes(b"not opened")
+    assert {r["episode_index"] for r in metadata.read_frames(spark, root, [1, 1]).collect()} == {1} and some.count() == 2
+    assert metadata.read_frames(spark, root, []).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        metadata.read_frames(spark, root, [1, 7])
+
+
+def test_frame_scan_filters_files_of_many_episodes(spark, dataset):
+    root = str(dataset)
+    info = json.loads((dataset / "meta" / "info.json").read_text())
+    (dataset / "meta" / "info.json").write_text(json.dumps(info | {"data_path": "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet"}))
+    some = metadata.read_frames(spark, root, [1])
+    assert some.count() == 2 and "episode_index" in some._jdf.queryExecution().toString().partition("PushedFilters")[2]
     chosen = spark.createDataFrame([(0,)], "episode_index long")
     assert metadata.read_frames(spark, root, chosen).count() == 3
 
