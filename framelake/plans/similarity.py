@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colors import color_ramp, hex_color, palette_color
 from ..functions.geometry import patch_grid, short_side_size
-from ..functions.vectors import softmax
+from ..functions.vectors import as_doubles, softmax
 from ..operators import agreement, heatmaps, losses
 from ..operators import similarity as ops
 from . import views as v
@@ -98,11 +98,16 @@ def time_similarity_target(spark, sf):
 
 @query(
     "row_softmax",
-    v.with_views("patches", extra={k: PREDICTED[k] for k in ("raised", "weighed", "preds")})
+    v.with_views(
+        "patches",
+        extra={"raised": "SELECT video, frame, patch, feature AS l FROM patches", "weighed": PREDICTED["weighed"], "preds": PREDICTED["preds"]},
+    )
     + f"SELECT video, frame, patch, {smicros('prediction')} AS prediction FROM preds",
 )
 def row_softmax(spark, sf):
-    return v.logits(spark, sf).select("video", "frame", "patch", micros(softmax("logits")).alias("prediction"))
+    """Over all components of each vector."""
+    rows = v.patches(spark, sf).withColumn("logits", as_doubles("feature"))
+    return rows.select("video", "frame", "patch", micros(softmax("logits")).alias("prediction"))
 
 
 def maps(spark, sf):
