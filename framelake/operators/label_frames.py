@@ -1,7 +1,8 @@
 """Masks as one packed label array a frame: class pairs and boundaries counted inside Arrow batches.
 
 A label frame is one row with its keys and, for each side, a binary column of 32-bit labels in
-row-major order: a class number, `NONE` where no class holds the point, `OVERLAP` where several do.
+row-major order: a class number, `NONE` where no class holds the point, `OVERLAP` where several do,
+`ABSENT` where the frame has no such point (no pixel row): it counts nowhere and breaks no rule.
 Scores need only how many points each pair of classes shares, so a frame leaves its task as a few
 counts; no pixel is a row and none is shuffled. `pack_labels` makes label frames from pixel rows:
 one list a frame and map task is shuffled. The counts have the columns of `metrics.class_cells`,
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import boundary_dilation
 
-NONE, OVERLAP = -1, -2
+NONE, OVERLAP, ABSENT = -1, -2, -3
 BACKGROUND = 0
 
 
@@ -71,7 +72,8 @@ def _map(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], made: Sequen
 def pack_labels(points: DataFrame, frame: Sequence[str], height: int, width: int, sides: dict[str, Column]) -> DataFrame:
     """(frame, one binary column for each side) from pixel rows with y and x; a null class holds nothing.
 
-    A frame without rows has no row here, and a repeated (point, class) fails the job.
+    A frame without rows has no row here, a point without rows is absent on all sides, and a repeated (point, class)
+    fails the job.
     """
     entries = F.collect_list(
         F.struct((F.col("y") * width + F.col("x")).cast("long").alias("at"), *[c.cast("int").alias(name) for name, c in sides.items()])
@@ -82,11 +84,16 @@ def pack_labels(points: DataFrame, frame: Sequence[str], height: int, width: int
     def pack(entries: pa.Scalar) -> list[list[bytes]]:
         rows = entries.values
         at = rows.field(0).to_numpy()
+        if at.min() < 0 or at.max() >= size:
+            raise ValueError("a point lies outside the frame")
+        absent = np.bincount(at, minlength=size) == 0
         out = []
         for side in range(1, n_sides + 1):
             cls = rows.field(side)
             held = np.asarray(cls.is_valid())
-            out.append([scatter(at[held], cls.drop_null().to_numpy(), size).tobytes()])
+            labels = scatter(at[held], cls.drop_null().to_numpy(), size)
+            labels[absent] = ABSENT
+            out.append([labels.tobytes()])
         return out
 
     return _map(grouped, frame, ["__entries"], [T.StructField(name, T.BinaryType()) for name in sides], pack)
@@ -96,17 +103,23 @@ def checked(true: np.ndarray, pred: np.ndarray, ignore_overlaps: bool, ignore_ba
     """Fails where the input rules of the scores are broken."""
     if (pred == OVERLAP).any():
         raise ValueError("predicted classes overlap")
-    if one_pred and (pred == NONE).any():
+    if one_pred and ((pred == NONE) | (pred == ABSENT) & (true != ABSENT)).any():
         raise ValueError("a point has no predicted class")
     if not ignore_overlaps and (true == OVERLAP).any():
         raise ValueError("true classes overlap")
-    if ignore_background and (true == NONE).any():
+    if ignore_background and ((true == NONE) | (true == ABSENT) & (pred != ABSENT)).any():
         raise ValueError("a point has no true class")
 
 
+def present(true: np.ndarray, pred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels of the points that either side has."""
+    has = (true != ABSENT) | (pred != ABSENT)
+    return tuple(np.where(x == ABSENT, NONE, x)[has] for x in (true, pred))
+
+
 def pair_counts(true: np.ndarray, pred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(true label, predicted label, points) of every pair that occurs."""
-    low, wide = OVERLAP, int(pred.max(initial=NONE)) - OVERLAP + 1
+    low, wide = ABSENT, int(pred.max(initial=NONE)) - ABSENT + 1
     keys, n = np.unique((true.astype(np.int64) - low) * wide + (pred - low), return_counts=True)
     return keys // wide + low, keys % wide + low, n
 
@@ -138,7 +151,7 @@ def class_cells(
     def count(t: pa.Scalar, p: pa.Scalar) -> list[list]:
         t, p = _labels(t), _labels(p)
         checked(t, p, ignore_overlaps, ignore_background)
-        own, other, n = pair_counts(t, p)
+        own, other, n = pair_counts(*present(t, p))
         if overlaps_leave_pred:
             other = np.where(own == OVERLAP, NONE, other)
         return [_nullable(own), _nullable(other), n.tolist(), (own != NONE).tolist()]
