@@ -21,8 +21,13 @@ def reconstruction_mse(rows: DataFrame, a: str, b: str, keys: Sequence[str] = ()
 
 
 def soft_cross_entropy(rows: DataFrame, logits: str, target: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Cross-entropy against a target distribution, averaged over the positions."""
-    per_row = -array_sum(F.zip_with(log_softmax(logits), as_doubles(target), lambda lp, t: lp * t))
+    """Cross-entropy against a target distribution, averaged over the positions.
+
+    Where one array is shorter, the other's further entries add nothing.
+    """
+    n = F.least(F.size(F.col(logits)), F.size(F.col(target)))
+    own, other = F.slice(log_softmax(logits), 1, n), F.slice(as_doubles(target), 1, n)
+    per_row = -array_sum(F.zip_with(own, other, lambda lp, t: lp * t))
     return rows.groupBy(*keys).agg(F.avg(per_row).alias("cross_entropy"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.colors import color_ramp, hex_color, palette_color
@@ -303,6 +305,9 @@ LONG = {
     "ranked": """SELECT r.*, (SELECT count(*) FROM long l WHERE l.video = r.video AND l.frame = r.frame AND l.patch = r.patch AND l.p > r.p_at_t) AS tr FROM rows r""",
 }
 
+# Of equal values the first position counts.
+TIES = {**LONG, "rows": re.sub(r"arg_max\((\w), (\w)\)", r"arg_max(\1, (\2, -j)) FILTER (\1 IS NOT NULL AND \2 IS NOT NULL)", LONG["rows"])}
+
 
 def stats(spark, sf):
     return agreement.row_statistics(maps(spark, sf))
@@ -372,7 +377,7 @@ def agreement_topk(spark, sf):
     v.with_views(
         "patches",
         extra={
-            **LONG,
+            **TIES,
             "hp": "SELECT video, pi, count(*) AS c FROM rows GROUP BY ALL",
             "ht": "SELECT video, ti, count(*) AS c FROM rows GROUP BY ALL",
             "sp": "SELECT video, count(*) AS u, max(c) / sum(c) AS s FROM hp GROUP BY video",
@@ -403,7 +408,7 @@ def agreement_rollup(spark, sf):
     v.with_views(
         "patches",
         extra={
-            **LONG,
+            **TIES,
             "el": """SELECT video, avg(abs(t - a)) AS at_mae, avg(abs(p - a)) AS ap_mae, avg(abs(p - t)) AS tp_mae,
               sqrt(avg((p - t) * (p - t))) AS tp_rmse, max(abs(p - t)) AS tp_max FROM long GROUP BY video""",
             "hp": "SELECT video, pi, count(*) AS c FROM rows GROUP BY ALL",
