@@ -291,10 +291,11 @@ def predict_features(spark, sf):
     windows = v.patches(spark, sf).groupBy(
         F.col("video").alias("episode_index"), F.col("frame").alias("frame_index")
     ).agg(F.sort_array(F.collect_list(F.struct("patch", as_doubles("feature").alias("f")))).alias("rows"))
-    windows = windows.select("episode_index", "frame_index", F.flatten("rows.f").alias("pixels"))
+    windows = windows.select("episode_index", "frame_index", F.col("rows.f").alias("patches"))
 
     def patch_means(batch: pd.DataFrame):
-        return [np.asarray(p).reshape(v.PATCHES, -1).mean(axis=1) for p in batch["pixels"]]
+        # a frame may have fewer patches than the grid
+        return [[np.mean(p) for p in patches] for patches in batch["patches"]]
 
     out = predict(windows, patch_means, T.ArrayType(T.DoubleType()), ("episode_index", "frame_index"))
     return out.select("episode_index", "frame_index", micros("features").alias("features"))
