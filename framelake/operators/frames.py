@@ -78,6 +78,8 @@ def resize_bilinear(
 ) -> DataFrame:
     """Bilinear resize, pixel centres aligned, edges clamped.
 
+    An output pixel reads the two nearest rows and columns, also with weight 0; where a frame lacks one of these
+    pixels, it has no output there, and a null value among them gives null.
     Every source pixel sends its weighted value to the output pixels that read it
     and one aggregation adds them; there is no neighbour join.
     """
@@ -85,26 +87,38 @@ def resize_bilinear(
 
     def reads(coordinate: str, n_in: int, n_out: int) -> Column:
         source = F.col(coordinate)
-        low = F.floor((source - 0.5) * n_out / F.lit(n_in)) - 1
+        # outputs that are clamped to the first pixel read the second one too
+        low = F.when(source <= 1, F.lit(0)).otherwise(F.floor((source - 0.5) * n_out / F.lit(n_in)) - 1)
         high = F.ceil((source + 1.5) * n_out / F.lit(n_in)) + 1
         span = F.sequence(
             F.greatest(low, F.lit(0)).cast("long"), F.least(high, F.lit(n_out - 1)).cast("long")
         )
 
-        def weight(o: Column) -> Column:
+        def tap(o: Column) -> Column:
             at = (o + 0.5) * n_in / F.lit(float(n_out)) - 0.5
             at = F.least(F.greatest(at, F.lit(0.0)), F.lit(float(n_in - 1)))
-            return F.greatest(F.lit(1.0) - F.abs(at - source), F.lit(0.0))
-
-        return F.filter(
-            F.transform(span, lambda o: F.struct(o.alias("to"), weight(o).alias("w"))), lambda e: e["w"] > 0
-        )
-
+            first = F.floor(at)
+            last = F.least(first + 1, F.lit(n_in - 1))
+            return F.struct(
+                o.alias("to"),
+                F.greatest(F.lit(1.0) - F.abs(at - source), F.lit(0.0)).alias("w"),
+                (last - first + 1).alias("taps"),
+                source.between(first, last).alias("read"),
+            )
+
+        return F.filter(F.transform(span, tap), lambda e: e["read"])
+
+    taps = F.max(F.col("__y.taps") * F.col("__x.taps"))
     return (
         pixels.withColumn("__y", F.explode(reads("y", h, out_h)))
         .withColumn("__x", F.explode(reads("x", w, out_w)))
         .groupBy(*keys, F.col("__y.to").alias("y"), F.col("__x.to").alias("x"))
-        .agg(F.sum(F.col(value) * F.col("__y.w") * F.col("__x.w")).alias(value))
+        .agg(
+            F.when(F.count(value) == taps, F.sum(F.col(value) * F.col("__y.w") * F.col("__x.w"))).alias(value),
+            (F.count(F.lit(1)) == taps).alias("__whole"),
+        )
+        .filter("__whole")
+        .drop("__whole")
     )
 
 
