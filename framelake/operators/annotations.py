@@ -189,20 +189,37 @@ def rle_overlap(one: pa.Array, other: pa.Array) -> pa.Array:
     """Pixels in both and in either of two run-length masks of one frame, from their runs, not their pixels.
 
     The borders of both masks cut the frame into stretches that are wholly in or out of each. Beyond its last run a mask is
-    empty. A null mask, or one with a null length, gives null.
+    empty. A null mask, or one with a null length, gives null. All rows of a batch are cut at once.
     """
-    found = []
-    for pair in zip(one.to_numpy(zero_copy_only=False), other.to_numpy(zero_copy_only=False)):
-        if any(counts is None or not np.isfinite(np.asarray(counts, dtype=float)).all() for counts in pair):
-            found.append(None)
-            continue
-        borders = [np.cumsum(np.asarray(counts, dtype=np.int64)) for counts in pair]
-        cuts = np.unique(np.concatenate([[0], *borders]).astype(np.int64))
-        left, width = cuts[:-1], np.diff(cuts)
+    n, sides = len(one), (one, other)
+    rows, places, marks, known, totals = [np.arange(n)], [np.zeros(n, np.int64)], [np.zeros(n, np.int64)], np.ones(n, bool), []
+    for side, counts in enumerate(sides):
+        lengths = counts.value_lengths().fill_null(0).to_numpy()
+        values = counts.flatten()
+        row = np.repeat(np.arange(n), lengths)
+        bad = ~np.isfinite(values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
+        known &= counts.is_valid().to_numpy(zero_copy_only=False) & (np.bincount(row[bad], minlength=n) == 0)
+        runs = values.to_numpy(zero_copy_only=False)
+        borders = np.cumsum(np.where(bad, 0, runs).astype(np.int64))
+        first = np.cumsum(lengths) - lengths
+        borders -= np.repeat(np.concatenate([[0], borders])[first], lengths)
+        rows, places, marks = [*rows, row], [*places, borders], [*marks, np.full(len(row), side + 1)]
+        totals.append(lengths)
+    row, place, mark = (np.concatenate(x) for x in (rows, places, marks))
+    order = np.lexsort((place, row))
+    row, place, mark = row[order], place[order], mark[order]
+    # a stretch goes from a border to the next one of its row; the last border of a row ends the last stretch
+    width = np.append(np.diff(place), 0) * np.append(row[1:] == row[:-1], False)
+    starts = np.searchsorted(row, np.arange(n))
+    inside = []
+    for side, lengths in enumerate(totals):
+        passed = np.cumsum(mark == side + 1)
+        passed -= np.repeat(np.cumsum(lengths) - lengths, np.diff(np.append(starts, len(row))))
         # set between an odd and an even border; a mask that ends in a set run has no border after it
-        inside = [(np.searchsorted(b, left, side="right") % 2 == 1) & (left < (b[-1] if len(b) else 0)) for b in borders]
-        found.append({"intersection": int(width[inside[0] & inside[1]].sum()), "union": int(width[inside[0] | inside[1]].sum())})
-    return pa.array(found, pa.struct([("intersection", pa.int64()), ("union", pa.int64())]))
+        inside.append((passed % 2 == 1) & (passed < lengths[row]))
+    sums = [np.add.reduceat(np.where(held, width, 0), starts) if n else np.zeros(0, np.int64) for held in (inside[0] & inside[1], inside[0] | inside[1])]
+    found = [pa.array(x, pa.int64()) for x in sums]
+    return pa.StructArray.from_arrays(found, ["intersection", "union"], mask=pa.array(~known))
 
 
 def rle_boxes(df: DataFrame, keys: Sequence[str], height: Column, counts: str = "counts") -> DataFrame:

@@ -67,3 +67,29 @@ def test_long_rows_take_linear_time(spark):
     seconds(1_000)
     # a fold that copies its array would take minutes here
     assert seconds(400_000) < 20
+
+
+def test_overlaps_of_a_batch_are_those_of_its_rows_and_take_no_loop():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    one, other = ([draw.integers(0, 5, draw.integers(0, 9)).tolist() if draw.random() < 0.9 else None for _ in range(500)] for _ in range(2))
+
+    def plain(pair):
+        if None in pair:
+            return None
+        sets = [{at for i, c in enumerate(counts) if i % 2 for at in range(sum(counts[:i]), sum(counts[:i]) + c)} for counts in pair]
+        return {"intersection": len(sets[0] & sets[1]), "union": len(sets[0] | sets[1])}
+
+    kind = pa.list_(pa.int64())
+    found = ops.rle_overlap.func(pa.array(one, kind), pa.array(other, kind))
+    assert found.to_pylist() == [plain(pair) for pair in zip(one, other)]
+    part = ops.rle_overlap.func(pa.array(one, kind).slice(100, 50), pa.array(other, kind).slice(100, 50))
+    assert part.to_pylist() == found.to_pylist()[100:150]
+    many = pa.array([[1, 2, 3, 4]] * 100_000, kind)
+    start = time.process_time()
+    ops.rle_overlap.func(many, many)
+    assert time.process_time() - start < 2.0
