@@ -1,6 +1,6 @@
 """Tar shards of samples as a Spark data source.
 
-Read: one partition per shard; members named `key.ext` are grouped into one row
+Read: one partition per shard, or per run of shards where there are more than `READERS`; members named `key.ext` are grouped into one row
 (key, shard, members MAP<ext, bytes>). Shards are streamed, so memory holds one
 sample at a time. Options: `prefixes` (comma list) keeps only matching members
 before their bytes are read; `data_dir` resolves relative shard names.
@@ -44,6 +44,8 @@ from ..schemas import SAMPLES
 
 FORMAT = "tarshards"
 MANIFEST = "_shards.json"
+#: Most partitions of a read: a task costs about as much as a small shard.
+READERS = 1024
 #: File systems on which a file is renamed at once.
 RENAMING = ("local", "hdfs")
 
@@ -66,8 +68,8 @@ def read_manifest(folder: str) -> dict[str, str] | None:
 
 
 class ShardPartition(InputPartition):
-    def __init__(self, shard: str, file: str) -> None:
-        self.shard, self.file = shard, file
+    def __init__(self, shards: list[tuple[str, str]]) -> None:
+        self.shards = shards
 
 
 class ShardReader(DataSourceReader):
@@ -86,12 +88,17 @@ class ShardReader(DataSourceReader):
             listed = manifests[folder]
             if listed is not None and name not in listed:
                 raise FileNotFoundError(f"{shard} is not among the committed shards of its folder")
-            found.append(ShardPartition(shard, shard if listed is None else f"{folder}/{listed[name]}"))
-        return found
+            found.append((shard, shard if listed is None else f"{folder}/{listed[name]}"))
+        size = max(1, -(-len(found) // READERS))
+        return [ShardPartition(found[i : i + size]) for i in range(0, len(found), size)]
 
     def read(self, partition: ShardPartition) -> Iterator[tuple]:
+        for shard, file in partition.shards:
+            yield from self._samples(shard, file)
+
+    def _samples(self, shard: str, file: str) -> Iterator[tuple]:
         key, members = None, {}
-        system, path = fs.FileSystem.from_uri(partition.file)
+        system, path = fs.FileSystem.from_uri(file)
         with system.open_input_stream(path, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as archive:
             for info in archive:
                 if not info.isfile():
@@ -99,12 +106,12 @@ class ShardReader(DataSourceReader):
                 found, extension = split_member(info.name)
                 if found != key:
                     if key is not None:
-                        yield key, partition.shard, members
+                        yield key, shard, members
                     key, members = found, {}
                 if self.prefixes is None or extension.startswith(self.prefixes):
                     members[extension] = archive.extractfile(info).read()
         if key is not None:
-            yield key, partition.shard, members
+            yield key, shard, members
 
 
 @dataclass

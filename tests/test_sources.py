@@ -311,3 +311,17 @@ def test_a_manifest_alone_names_shards_where_nothing_is_renamed(spark, tmp_path,
         back = tar_shards.read_shards(spark, shards).collect()
         assert sorted((r.key, bytes(r.members["n"])) for r in back) == [(str(i), str(rows).encode()) for i in range(rows)]
     assert len(list((tmp_path / "shards").glob(".*.tar"))) == 2
+
+
+def test_many_shards_are_read_in_runs_without_losing_any(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tar_shards, "READERS", 4)
+    rows = [(f"s-{i:03d}.tar", 0, f"{i:03d}", {"txt": bytearray(str(i).encode())}) for i in range(10)]
+    samples = spark.createDataFrame(rows, "shard_file string, shard_pos long, key string, members map<string,binary>")
+    tar_shards.write_shards(samples, str(tmp_path / "many"))
+    paths = tar_shards.committed_shards(str(tmp_path / "many"))
+    reader = tar_shards.ShardReader({"path": ";".join(paths)})
+    parts = reader.partitions()
+    assert [len(p.shards) for p in parts] == [3, 3, 3, 1]
+    found = [(key, shard, bytes(members["txt"])) for p in parts for key, shard, members in reader.read(p)]
+    assert found == [(f"{i:03d}", paths[i], str(i).encode()) for i in range(10)]
+    assert sorted(tuple(r)[:2] for r in tar_shards.read_shards(spark, paths).collect()) == [f[:2] for f in found]
