@@ -8,8 +8,8 @@ inside a longer candidate that is as frequent go; each language's first `top` st
 
 Counting. A task reads texts into blocks: the words of about `TOKENS` positions of one language and their
 places as block-local numbers, zero between pieces. Block vocabularies are added up; words with at
-least `least` occurrences get dense numbers, which go back to the blocks that use them by a join, so
-no task holds the whole vocabulary. As a phrase is no more frequent than any part of it, blocks then
+least `least` occurrences get dense numbers, which go back to the blocks that use them: a word's blocks are listed
+where it is counted, and the lists of such words are exploded. No task holds the whole vocabulary. As a phrase is no more frequent than any part of it, blocks then
 count only pairs of such words, and after that only longer phrases all of whose pairs are frequent.
 
 A block's counts are a counting quotient filter (`quotient.py`): word numbers are packed, permuted
@@ -105,16 +105,15 @@ def _blocks(tokens: int):
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block-local numbers to those of the language; rows (block, lang, size, places, length, local, number)."""
+    """Block-local numbers to those of the language, a block at a time; rows (block, lang, size, places, length, local, number)."""
     for batch in batches:
-        *columns, local, number = batch.columns
-        block, lang, size, places, length = (c.to_pylist() for c in columns)
-        out = []
         for i in range(batch.num_rows):
-            table = np.zeros(length[i] + 1, np.uint32)
-            table[local[i].values.to_numpy()] = number[i].values.to_numpy()
-            out.append(table[np.frombuffer(places[i], np.uint16 if size[i] == 2 else np.uint32)].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["block", "lang", "places"])
+            _, _, size, places, length, local, number = (c[i] for c in batch.columns)
+            table = np.zeros(length.as_py() + 1, np.uint32)
+            table[local.values.to_numpy()] = number.values.to_numpy()
+            out = table[np.frombuffer(places.as_buffer(), np.uint16 if size.as_py() == 2 else np.uint32)]
+            made = pa.BinaryArray.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, out.nbytes], np.int32)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:2]), made], ["block", "lang", "places"])
 
 
 def _rows(lang: pa.Scalar, block: pa.Scalar, found: Filter, bits: int) -> pa.RecordBatch:
@@ -208,18 +207,22 @@ class Counts:
         blocks = stored(rows.mapInArrow(_blocks(tokens), kinds), "blocks")
         used = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry"))
         used = used.select("block", "lang", (F.col("at") + 1).alias("local"), F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
-        words = used.groupBy("lang", "word").agg(F.sum("n").alias("a"))
+        # a word's blocks are listed where it is counted, so the numbers go back without a join of the blocks' words
+        entry = F.struct("block", "local")
+        words = used.repartition("lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("a"), F.collect_list(entry).alias("entries"))
+        words = stored(words.filter(F.col("a") >= least), "words")
         self.langs = stored(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "langs")
         total = self.langs.agg(F.sum("n")).first()[0] or 0
         bits = max(0, (total // entries).bit_length())
-        frequent = words.filter(F.col("a") >= least).withColumn("order", F.xxhash64("word"))
+        frequent = words.drop("entries").withColumn("order", F.xxhash64("word"))
         frequent = dense_index(frequent, ["order", "word"], F.shiftright("order", 48), "number", ["lang"])
         number = F.when(F.col("number") < MOST, F.col("number") + 1).otherwise(F.raise_error(F.lit("too many frequent words in a language")))
         self.vocabulary = stored(frequent.select("lang", "word", "a", number.cast("int").alias("number")), "vocabulary")
         most = self.vocabulary.agg(F.max("number")).first()[0] or 1
         width = int(most).bit_length()
         bits = min(bits, width)
-        known = used.join(self.vocabulary.select("lang", "word", "number"), ["lang", "word"])
+        known = words.join(self.vocabulary.select("lang", "word", "number"), ["lang", "word"])
+        known = known.select("number", F.explode("entries").alias("entry")).select("entry.block", "entry.local", "number")
         known = known.groupBy("block").agg(F.collect_list(F.struct("local", "number")).alias("known"))
         places = blocks.select("block", "lang", "size", "places", F.size("words").alias("length")).join(known, "block")
         places = places.select("block", "lang", "size", "places", "length", "known.local", "known.number")

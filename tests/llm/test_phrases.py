@@ -111,3 +111,27 @@ def test_random_items_spread_over_ranges_and_stay_compact():
     sizes = [len(f) for _, f in found.ranges(5)]
     assert len(sizes) == 32 and max(sizes) < 1.2 * len(found) / 32
     assert sum(len(f.to_bytes(5)) for _, f in found.ranges(5)) < 7 * len(found)
+
+
+def test_words_of_blocks_are_shuffled_once(spark):
+    """The blocks' words go through one exchange; what is joined has a row for each frequent word, however many blocks hold it."""
+    from framelake.llm import phrases
+
+    rows = [(i, f"common pair of words and {i} rare{i % 7}", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(20)
+    counts = phrases.Counts(docs, 100, tokens=64)
+    held = {(r.word, r.a) for r in counts.vocabulary.collect()}
+    assert held == {(w, 400) for w in ("common", "pair", "of", "words", "and")}
+    blocks = spark.read.parquet(*[f for f in _stored_folders(spark, "words")][-1:])
+    assert blocks.count() == len(held)
+    assert blocks.selectExpr("min(size(entries))").first()[0] > 20
+
+
+def _stored_folders(spark, name):
+    import glob
+    import os
+
+    from framelake.llm.scratch import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    return sorted(glob.glob(f"{folder}/{spark.sparkContext.applicationId}/*{name}*"), key=os.path.getmtime)
