@@ -74,13 +74,19 @@ def frames_full_context(frames: DataFrame, offsets: Sequence[int]) -> DataFrame:
     )
 
 
+#: Frames that one task gathers.
+GATHERED = 1 << 18
+
+
 def gather_context(
-    frames: DataFrame, value: str, offsets: Sequence[int], keys: Sequence[str] = ("episode_index",)
+    frames: DataFrame, value: str, offsets: Sequence[int], keys: Sequence[str] = ("episode_index",), rows: int | None = None
 ) -> DataFrame:
     """(keys, frame_index, values): `value` at every clamped context position, in offset order.
 
     Each row sends its value to the frames that look at it, so one shuffle on
     (keys, frame) does the gather; a group never holds more than len(offsets) values.
+    Such rows compress to a few bytes, so tasks that are sized by bytes hold very many groups. With `rows`, about the
+    number of frames, a task gathers about `GATHERED` frames at any size of the table.
     """
     frame, length = F.col("frame_index"), F.col("length")
 
@@ -98,6 +104,9 @@ def gather_context(
 
     sends = F.flatten(F.array(*[readers(j, int(o)) for j, o in enumerate(offsets)]))
     sent = frames.select(*keys, F.col(value).alias("__value"), F.explode(sends).alias("__to"))
+    if rows is not None:
+        sent = sent.withColumn("__frame", F.col("__to.frame")).repartition(max(1, -(-rows // GATHERED)), *keys, "__frame")
+        sent = sent.withColumn("__to", F.struct(F.col("__frame").alias("frame"), F.col("__to.slot").alias("slot")))
     # One fixed slot per offset keeps the aggregate hashed and combines on the map side.
     slots = [
         F.max(F.when(F.col("__to.slot") == j, F.col("__value"))).alias(f"__v{j}") for j in range(len(offsets))

@@ -136,8 +136,9 @@ def frames_full_context(spark, sf):
     GROUP BY ALL""",
 )
 def gather_context_values(spark, sf):
+    rows = sum(v.table(spark, sf, name).count() for name in ("conversations", "lineitem"))
     gathered = ops.gather_context(
-        v.mixed_frames(spark, sf), "task_index", OFFSETS, ["dataset_index", "episode_index"]
+        v.mixed_frames(spark, sf), "task_index", OFFSETS, ["dataset_index", "episode_index"], rows
     )
     return gathered.select("dataset_index", "episode_index", "frame_index", joined("values").alias("task_values"))
 

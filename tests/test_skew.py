@@ -107,3 +107,16 @@ def test_expansion_of_a_video_with_most_annotations(spark):
     assert Counter(r["video_id"] for r in rows) == {0: 400, 1: 100, 2: 3}
     assert {r["instance"] for r in rows if r["video_id"] == 0} == set(range(200))
     assert all(r["is_empty"] == (r["frame_index"] > 0 or r["video_id"] == 2) for r in rows)
+
+
+def test_gathering_tasks_hold_a_bounded_number_of_frames(spark, monkeypatch):
+    """Narrow rows would be put into one task by their bytes; the number of frames sets the tasks."""
+    monkeypatch.setattr(episodes, "GATHERED", 1000)
+    frames = spark.range(20_000).select(
+        (F.col("id") % 2).alias("episode_index"), F.expr("id div 2").alias("frame_index"), F.lit(10_000).cast("long").alias("length"), F.col("id").alias("v")
+    )
+    plain = episodes.gather_context(frames, "v", [-2, 0, 3])
+    bounded = episodes.gather_context(frames, "v", [-2, 0, 3], rows=20_000)
+    assert sorted(map(tuple, bounded.collect())) == sorted(map(tuple, plain.collect()))
+    sizes = [r["count"] for r in bounded.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000
