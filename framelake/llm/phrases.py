@@ -47,6 +47,9 @@ LONGEST = 5
 #: Positions of a task's open blocks, and items of a range that one task merges.
 TOKENS = 1 << 22
 ENTRIES = 1 << 21
+#: Places of a block whose items are counted at once, and bytes of filters that a task sends at once.
+SLICE = 1 << 18
+SENT = 1 << 22
 
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PIECES = bytes(0x2E if b in _SEPARATORS else b for b in range(256))
@@ -116,37 +119,60 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:2]), made], ["block", "lang", "places"])
 
 
-def _rows(lang: pa.Scalar, block: pa.Scalar, found: Filter, bits: int) -> pa.RecordBatch:
-    ranges = found.ranges(bits)
-    n = len(ranges)
-    columns = [
-        pa.array([lang.as_py()] * n, pa.string()),
-        pa.array([r for r, _ in ranges], pa.int64()),
-        pa.array([block.as_py()] * n, pa.int64()),
-        pa.array([f.to_bytes(bits) for _, f in ranges], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "range", "block", "filter"])
-
-
-def pair_filter(places: np.ndarray, width: int) -> Filter:
-    both = (places[:-1] > 0) & (places[1:] > 0)
-    a, b = (x[both].astype(np.uint64) for x in (places[:-1], places[1:]))
-    return Filter.of(*permute(a, b, width), width)
-
-
-def phrase_filter(places: np.ndarray, pairs: list[Filter], width: int) -> Filter:
-    """Phrases of three and more words, all of whose pairs are in one of the filters."""
-    wide = places.astype(np.uint64)
-    own = wide[:-1] << np.uint64(32) | wide[1:]
+def _rows(lang: pa.Scalar, block: pa.Scalar, slices: Iterator[Filter], bits: int) -> Iterator[pa.RecordBatch]:
+    """A row for each range of a block's items, whose slices are merged a range at a time."""
+    parts = defaultdict(list)
+    for found in slices:
+        for r, part in found.ranges(bits):
+            parts[r].append(part)
+    ready: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        n = len(ready)
+        columns = [
+            pa.array([lang.as_py()] * n, pa.string()),
+            pa.array([r for r, _ in ready], pa.int64()),
+            pa.array([block.as_py()] * n, pa.int64()),
+            pa.array([data for _, data in ready], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "range", "block", "filter"])
+
+    for r in sorted(parts):
+        ready.append((r, Filter.merged(parts.pop(r)).to_bytes(bits)))
+        size += len(ready[-1][1])
+        if size >= SENT:
+            yield flush()
+            ready, size = [], 0
+    if ready:
+        yield flush()
+
+
+def pair_filters(places: np.ndarray, width: int, size: int = SLICE) -> Iterator[Filter]:
+    """Pairs, by the slice of `size` places in which they begin."""
+    for at in range(0, len(places), size):
+        own = places[at : at + size + 1]
+        both = (own[:-1] > 0) & (own[1:] > 0)
+        a, b = (x[both].astype(np.uint64) for x in (own[:-1], own[1:]))
+        yield Filter.of(*permute(a, b, width), width)
+
+
+def phrase_filters(places: np.ndarray, pairs: list[Filter], width: int, size: int = SLICE) -> Iterator[Filter]:
+    """Phrases of three and more words, all of whose pairs are in one of the filters, by the slice of `size` places in which they begin."""
     known = np.concatenate([high << np.uint64(32) | low for high, low in (f.items() for f in pairs)])
-    frequent = np.isin(own, known)
-    chain, found = frequent, []
-    for n in range(3, LONGEST + 1):
-        chain = chain[:-1] & frequent[n - 2 :]
-        at = np.flatnonzero(chain)
-        found.append(pack(places[at[:, None] + np.arange(n)], width))
-    high, low = (np.concatenate(x) for x in zip(*found))
-    return Filter.of(*permute(high, low, halves(width)), halves(width))
+    known = np.append(np.sort(known), np.iinfo(np.uint64).max)
+    for start in range(0, len(places), size):
+        own = places[start : start + size + LONGEST - 1]
+        wide = own.astype(np.uint64)
+        wide = wide[:-1] << np.uint64(32) | wide[1:]
+        frequent = known[np.searchsorted(known, wide)] == wide
+        chain, found = frequent, []
+        for n in range(3, LONGEST + 1):
+            chain = chain[:-1] & frequent[n - 2 :]
+            at = np.flatnonzero(chain[:size])
+            found.append(pack(own[at[:, None] + np.arange(n)], width))
+        high, low = (np.concatenate(x) for x in zip(*found))
+        yield Filter.of(*permute(high, low, halves(width)), halves(width))
 
 
 def _pairs(bits: int, width: int):
@@ -155,7 +181,7 @@ def _pairs(bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, places in zip(*batch.columns):
-                yield _rows(lang, block, pair_filter(np.frombuffer(places.as_py(), np.uint32), width), bits)
+                yield from _rows(lang, block, pair_filters(_numbers(places), width), bits)
 
     return run
 
@@ -167,11 +193,15 @@ def _phrases(bits: int, width: int):
         for batch in batches:
             for block, lang, places, filters in zip(*batch.columns):
                 pairs = [Filter.from_bytes(f) for f in filters.as_py()]
-                yield _rows(lang, block, phrase_filter(np.frombuffer(places.as_py(), np.uint32), pairs, width), bits)
+                yield from _rows(lang, block, phrase_filters(_numbers(places), pairs, width), bits)
 
     return run
 
 
+def _numbers(places: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(places.as_buffer(), np.uint32)
+
+
 def _merged(least: int, bits: int, width: int, back: bool):
     """Rows (lang, range, block, filter) lie sorted by (lang, range). back: items are pairs, and each block is told which of its pairs are frequent."""
 

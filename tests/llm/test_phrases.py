@@ -113,6 +113,50 @@ def test_random_items_spread_over_ranges_and_stay_compact():
     assert sum(len(f.to_bytes(5)) for _, f in found.ranges(5)) < 7 * len(found)
 
 
+def block_of(n, words, seed=3):
+    places = np.random.default_rng(seed).integers(1, words + 1, n).astype(np.uint32)
+    places[::17] = 0
+    return places
+
+
+def counted(places, n, known=None):
+    found = Counter(tuple(places[i : i + n].tolist()) for i in range(len(places) - n + 1) if places[i : i + n].all())
+    return Counter({p: a for p, a in found.items() if known is None or all(p[i : i + 2] in known for i in range(n - 1))})
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+@pytest.mark.parametrize("length", [1, 2, 4, 120])
+def test_items_across_slices_count_once(size, length):
+    places, width = block_of(length, 3), 2
+    filters = list(phrases.pair_filters(places, width, size))
+    whole = Filter.merged(filters)
+    pairs = counted(places, 2)
+    assert dict(zip(zip(*(x.tolist() for x in whole.items())), whole.count.tolist())) == pairs
+    frequent = whole.at_least(3)
+    known = set(zip(*(x.tolist() for x in frequent.items())))
+    longer = Filter.merged(list(phrases.phrase_filters(places, [frequent], width, size)))
+    found = {tuple(x for x in w if x): a for w, a in zip(unpack(*longer.items(), width).tolist(), longer.count.tolist())}
+    assert found == sum((counted(places, n, known) for n in (3, 4, 5)), Counter())
+
+
+def test_counting_a_block_takes_little_beside_its_items():
+    """Memory follows the slices and the different items, not the places of a block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    places, width, bits = block_of(1 << 21, 30), 5, 4
+    pairs = Filter.merged(list(phrases.pair_filters(places, width))).to_bytes(0)
+    columns = {"block": [7], "lang": ["en"], "places": [places.tobytes()], "filters": [[pairs]]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    for run, rows, most in ((phrases._pairs(bits, width), batch.select(["block", "lang", "places"]), 60), (phrases._phrases(bits, width), batch, 250)):
+        tracemalloc.start()
+        made = sum(part.num_rows for part in run(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert made >= 1 << bits and peak < most, peak
+
+
 def test_words_of_blocks_are_shuffled_once(spark):
     """The blocks' words go through one exchange; what is joined has a row for each frequent word, however many blocks hold it."""
     from framelake.llm import phrases
