@@ -9,7 +9,7 @@ inside a longer candidate that is as frequent go; each language's first `top` st
 Counting. A task reads texts into blocks: the words of about `TOKENS` positions of one language and their
 places as block-local numbers, zero between pieces. Block vocabularies are added up; words with at
 least `least` occurrences get dense numbers, which go back to the blocks that use them: a word's blocks are listed
-where it is counted, and the lists of such words are exploded. No task holds the whole vocabulary. As a phrase is no more frequent than any part of it, blocks then
+where it is counted, and a task that reads the lists of such words sends each block one list of its numbers. No task holds the whole vocabulary. As a phrase is no more frequent than any part of it, blocks then
 count only pairs of such words, and after that only longer phrases all of whose pairs are frequent.
 
 A block's counts are a counting quotient filter (`quotient.py`): word numbers are packed, permuted
@@ -107,13 +107,27 @@ def _blocks(tokens: int):
     return run
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (number, entries) of words to one row for each block of a batch: (block, local, number)."""
+    for batch in batches:
+        number, entries = batch.columns
+        block, local = (x.to_numpy() for x in entries.flatten().flatten())
+        number = np.repeat(number.to_numpy(), entries.value_lengths().to_numpy())
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))[: len(block)])
+        edges = pa.array(np.append(at, len(block)), pa.int32())
+        columns = [pa.ListArray.from_arrays(edges, pa.array(x[order], pa.int32())) for x in (local, number)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), *columns], ["block", "local", "number"])
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block-local numbers to those of the language, a block at a time; rows (block, lang, size, places, length, local, number)."""
+    """Block-local numbers to those of the language, a block at a time; rows (block, lang, size, places, length, local, number), the last two as lists of lists."""
     for batch in batches:
         for i in range(batch.num_rows):
             _, _, size, places, length, local, number = (c[i] for c in batch.columns)
             table = np.zeros(length.as_py() + 1, np.uint32)
-            table[local.values.to_numpy()] = number.values.to_numpy()
+            table[local.values.flatten().to_numpy()] = number.values.flatten().to_numpy()
             out = table[np.frombuffer(places.as_buffer(), np.uint16 if size.as_py() == 2 else np.uint32)]
             made = pa.BinaryArray.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, out.nbytes], np.int32)), pa.py_buffer(out)])
             yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:2]), made], ["block", "lang", "places"])
@@ -252,7 +266,7 @@ class Counts:
         width = int(most).bit_length()
         bits = min(bits, width)
         known = words.join(self.vocabulary.select("lang", "word", "number"), ["lang", "word"])
-        known = known.select("number", F.explode("entries").alias("entry")).select("entry.block", "entry.local", "number")
+        known = known.select("number", "entries").mapInArrow(_by_block, "block long, local array<int>, number array<int>")
         known = known.groupBy("block").agg(F.collect_list(F.struct("local", "number")).alias("known"))
         places = blocks.select("block", "lang", "size", "places", F.size("words").alias("length")).join(known, "block")
         places = places.select("block", "lang", "size", "places", "length", "known.local", "known.number")

@@ -171,6 +171,21 @@ def test_words_of_blocks_are_shuffled_once(spark):
     assert blocks.selectExpr("min(size(entries))").first()[0] > 20
 
 
+def test_numbers_go_back_as_one_row_for_each_block():
+    """However many words a task reads, a block gets one list from each batch, and no entry is lost."""
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    entries = [[{"block": b << 32, "local": 1000 * w + b} for b in sorted(draw.sample(range(6), draw.randint(0, 6)))] for w in range(300)]
+    kind = pa.list_(pa.struct([("block", pa.int64()), ("local", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1, 301), pa.int32()), pa.array(entries, kind)], ["number", "entries"])
+    for rows in (batch, batch.slice(7, 90), batch.slice(0, 0)):
+        (out,) = phrases._by_block(iter([rows]))
+        assert out.num_rows <= 6
+        found = {(r["block"], at, n) for r in out.to_pylist() for at, n in zip(r["local"], r["number"], strict=True)}
+        assert found == {(e["block"], e["local"], r["number"]) for r in rows.to_pylist() for e in r["entries"]}
+
+
 def _stored_folders(spark, name):
     import glob
     import os
