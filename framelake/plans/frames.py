@@ -196,6 +196,8 @@ def scan_over_time_affine(spark, sf):
 
 #: Parts in which the events come to the stream; a fifth of them come one part late.
 PARTS = 3
+#: Steps that one bucket of users holds, on average.
+STEPS = 1 << 13
 
 
 @query("scan_stream_late", DECAY_SQL)
@@ -204,7 +206,7 @@ def scan_stream_late(spark, sf):
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{folder}/in"
     events = v.table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high, rows = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count("*")).first()
     if low is None:
         return rounded_states(scans.scan_steps(events, ["user_id"], "event_id", "value", decay_step, 0.0, STATE))
     span = (high - low) // PARTS + 1
@@ -212,13 +214,14 @@ def scan_stream_late(spark, sf):
     parts = events.withColumn("part", div(F.unix_micros("ts") - low, span) + late)
     # A part holds nothing older than the start of the one before it, so a delay of three parts drops no step.
     delay = 3 * (span // 1_000_000 + 1)
+    buckets = max(64, rows // STEPS)
     # the last one only moves the watermark past all others: nothing comes after it that could release it
     end = F.timestamp_micros(F.lit(high + (delay + 1) * 1_000_000))
     closing = events.agg(F.max("user_id").alias("user_id"), F.max("event_id").alias("event_id"), end.alias("ts"), F.lit(0.0).alias("value"))
     for part in [parts.filter(F.col("part") == i).drop("part") for i in range(PARTS + 1)] + [closing]:
         part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)
-        out = scan_late(stream, ["user_id"], "ts", "event_id", "value", decay_step, 0.0, STATE, f"{delay} seconds")
+        out = scan_late(stream, ["user_id"], "ts", "event_id", "value", decay_step, 0.0, STATE, f"{delay} seconds", buckets=buckets)
         run_available(out, f"{folder}/out", f"{folder}/checkpoint")
     return rounded_states(spark.read.parquet(f"{folder}/out"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import pickle
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -14,68 +16,90 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_TIME, _ORDER, _ITEM = "__time", "__order", "__item"
+_TIME, _ORDER, _ITEM, _BUCKET = "__time", "__order", "__item", "__bucket"
+
+#: Buckets of sequences that share an entry of the state store.
+BUCKETS = 4096
 
 
 class _LateScan(StatefulProcessor):
-    """One sequence: what it carries, and the steps the watermark hasn't passed."""
+    """The sequences of one bucket: what they carry, and the steps the watermark hasn't passed, as blobs of a micro-batch.
+
+    One timer is set at a time, at the first moment that a step is passed or a sequence expires.
+    """
 
-    def __init__(self, fold: Callable, keys: Sequence[T.StructField], order: T.StructField, item: T.DataType, expiry: int | None):
-        self.fold, self.keys, self.order, self.item, self.expiry = fold, keys, order, item, expiry
+    def __init__(self, fold: Callable, keys: Sequence[T.StructField], order: T.StructField, expiry: int | None):
+        self.fold, self.keys, self.order, self.expiry = fold, keys, order, expiry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        carried = T.StructType().add("state", T.StringType()).add("t", T.LongType()).add("last", T.LongType())
-        waiting = T.StructType().add("time", T.LongType()).add("order", self.order.dataType).add("item", self.item)
-        self.carried = handle.getValueState("carried", carried)
-        self.waiting = handle.getListState("waiting", waiting)
+        self.carried = handle.getValueState("carried", T.StructType().add("sequences", T.BinaryType()))
+        self.waiting = handle.getListState("waiting", T.StructType().add("steps", T.BinaryType()))
+        self.timer = handle.getValueState("timer", T.StructType().add("millis", T.LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        blobs, first = [], None
         for batch in rows:
             # by place: names may clash, and Spark renames what isn't an identifier
             times, orders, items = (batch.iloc[:, place].tolist() for place in (-3, -2, -1))
-            steps = list(zip(times, orders, map(_plain, items)))
-            self.waiting.appendList(steps)
-            earliest = min(step[0] for step in steps)
-            first = earliest if first is None else min(first, earliest)
-        if first is not None:
-            self.handle.registerTimer(_millis(first))
+            sequences = zip(*(batch.iloc[:, place].tolist() for place in range(-4 - len(self.keys), -4)))
+            steps = list(zip(sequences, times, orders, map(_plain, items)))
+            if steps:
+                blobs.append((pickle.dumps(steps),))
+                first = min(times) if first is None else min(first, *times)
+        if blobs:
+            self.waiting.appendList(blobs)
+            self._wake(_millis(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(((s[0], s[1], _plain(s[2])) for s in self.waiting.get()), key=lambda s: s[:2])
-        ready = [step for step in waiting if step[0] <= passed]
-        rest = waiting[len(ready) :]
-        state, t, last = self._state()
-        out = None
+        ready, rest = defaultdict(list), []
+        for (blob,) in self.waiting.get():
+            for step in pickle.loads(blob):
+                if step[1] <= passed:
+                    ready[step[0]].append(step[1:])
+                else:
+                    rest.append(step)
+        carried = pickle.loads(self.carried.get()[0]) if self.carried.exists() else {}
+        sequences, orders, columns = [], [], defaultdict(list)
+        for sequence, steps in ready.items():
+            steps.sort(key=lambda s: s[:2])
+            text, t, last = carried.get(sequence, ("null", 0, None))
+            results, state, t, last = self.fold(steps, json.loads(text), t, last)
+            carried[sequence] = (json.dumps(state), t, last)
+            sequences += [sequence] * len(steps)
+            orders += [step[1] for step in steps]
+            for name, values in results.items():
+                columns[name] += values
+        kept = carried
+        if self.expiry is not None:
+            kept = {sequence: found for sequence, found in carried.items() if found[2] + self.expiry > passed}
+        if ready:
+            self.waiting.put([(pickle.dumps(rest),)]) if rest else self.waiting.clear()
+        if kept and (ready or len(kept) < len(carried)):
+            self.carried.update((pickle.dumps(kept),))
+        elif carried and not kept:
+            self.carried.clear()
+        self.timer.clear()
+        moments = [step[1] for step in rest]
+        if self.expiry is not None:
+            moments += [found[2] + self.expiry for found in kept.values()]
+        if moments:
+            self._wake(_millis(min(moments)))
         if ready:
-            results, state, t, last = self.fold(ready, state, t, last)
-            self.carried.update((json.dumps(state), t, last))
-            out = pd.DataFrame({_ORDER: [step[1] for step in ready]}).rename(columns={_ORDER: self.order.name})
-            out = out.assign(**results)
-            for place, (field, value) in enumerate(zip(self.keys, key)):
-                out.insert(place, field.name, value)
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(_millis(rest[0][0]))
-        elif self.expiry is not None and last is not None:
-            if last + self.expiry <= passed:
-                self.carried.clear()
-            else:
-                self.handle.registerTimer(_millis(last + self.expiry))
-        if out is not None:
-            yield out
-
-    def _state(self):
-        if not self.carried.exists():
-            return None, 0, None
-        text, t, last = self.carried.get()
-        return json.loads(text), t, last
+            out = pd.DataFrame({self.order.name: orders})
+            for place, (field, values) in enumerate(zip(self.keys, zip(*sequences))):
+                out.insert(place, field.name, values)
+            yield out.assign(**columns)
+
+    def _wake(self, millis: int) -> None:
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or millis < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(millis)
+            self.timer.update((millis,))
 
     def close(self) -> None:
         pass
@@ -117,12 +141,15 @@ def scan_late(
     delay: str,
     expiry_seconds: int | None = None,
     next_state: str = "state_next",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """(keys, order, output) of a stream: `step(state, value, t) -> dict` taken by (time, order) in every sequence.
 
     Unlike `scan.scan_stream`, steps may come in any order within `delay` (a watermark on the timestamp column
     `time`): they wait in the state store, and a timer takes them once the watermark has passed them, so micro-batch borders never
-    show in the results. A sequence holds the steps of the last `delay` in a task, never its past. Steps that
+    show in the results. Sequences are dealt into `buckets`, and a bucket is one entry of the state store, as each call to the store costs far
+more than a step: a task holds the steps of the last `delay` of one bucket, and what its sequences carry, but never their past. More
+sequences need more buckets; their number can't change once a checkpoint is there. Steps that
     come after the watermark has passed them are dropped, as by every stateful operator (`numRowsDroppedByWatermark`
     counts them).
 
@@ -138,12 +165,13 @@ def scan_late(
     expiry = None if expiry_seconds is None else expiry_seconds * 1_000_000
     fold = _folded(step, initial, [f.name for f in output.fields], next_state, expiry)
     fields = [frames.schema[c] for c in keys]
-    processor = _LateScan(fold, fields, frames.schema[order], frames.schema[inputs].dataType, expiry)
+    processor = _LateScan(fold, fields, frames.schema[order], expiry)
     rows = frames.dropna(subset=[*keys, time, order]).withWatermark(time, delay)
     # the timestamp stays beside its microseconds, as it carries the watermark
     micros = F.unix_micros(time).alias(_TIME)
-    sent = rows.select(*keys, time, micros, F.col(order).alias(_ORDER), F.col(inputs).alias(_ITEM))
-    return sent.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias(_BUCKET)
+    sent = rows.select(bucket, *keys, time, micros, F.col(order).alias(_ORDER), F.col(inputs).alias(_ITEM))
+    return sent.groupBy(_BUCKET).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def run_available(scanned: DataFrame, path: str, checkpoint: str) -> None:

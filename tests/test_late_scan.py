@@ -23,8 +23,8 @@ def few_partitions(spark):
 class Feed:
     """A folder of files that is read one file a micro-batch."""
 
-    def __init__(self, spark, folder, expiry=None, delay="10 seconds"):
-        self.spark, self.expiry, self.delay = spark, expiry, delay
+    def __init__(self, spark, folder, expiry=None, delay="10 seconds", **more):
+        self.spark, self.expiry, self.delay, self.more = spark, expiry, delay, more
         self.source, self.out, self.checkpoint = (str(folder / name) for name in ("in", "out", "checkpoint"))
 
     def add(self, *rows):
@@ -35,7 +35,7 @@ class Feed:
     def run(self):
         stream = self.spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(self.source)
         scanned = scan_late(
-            stream, ["user_id"], "at", "n", "value", decay_step, 0.0, STATE, self.delay, expiry_seconds=self.expiry
+            stream, ["user_id"], "at", "n", "value", decay_step, 0.0, STATE, self.delay, expiry_seconds=self.expiry, **self.more
         )
         run_available(scanned, self.out, self.checkpoint)
         return sorted((r.user_id, r.n, round(r.state, 9), round(r.state_next, 9)) for r in self.spark.read.parquet(self.out).collect())
@@ -102,6 +102,36 @@ def test_what_an_idle_sequence_carries_is_removed(spark, tmp_path):
     assert stored.count() == 0
 
 
+def test_sequences_share_entries_of_the_state_store(spark, tmp_path):
+    """Calls to the store are per bucket, not per sequence, whatever batches and late steps there are."""
+    feed = Feed(spark, tmp_path, expiry=60, buckets=4)
+    rows = [[(user, (user * 7 + k * 13) % 40 + 30 * part, float(user + k)) for user in range(150) for k in range(2)] for part in range(3)]
+    for i, part in enumerate(rows):
+        feed.add(*(step for step in part if step[0] % 2 or i))
+        feed.run()
+        for name in ("waiting", "carried", "timer"):
+            stored = spark.read.format("statestore").option("stateVarName", name).load(feed.checkpoint)
+            assert stored.select("key").distinct().count() <= 4
+    assert 0 < len(feed.run()) < 850
+    feed.add(END)
+    late = [step for i, part in enumerate(rows) for step in part if step[0] % 2 or i]
+    assert feed.run() == loop(late, 60)
+
+
+def test_a_key_of_several_columns_that_clash_with_names(spark, tmp_path):
+    kind = "n string, `a b` date, at timestamp, order int, value double"
+    days = [dt.date(2024, 1, d) for d in (1, 2)]
+    rows = [(f"x{k % 2}", days[k % 3 % 2], NOON + dt.timedelta(seconds=100 - k), 100 - k, float(k)) for k in range(40)]
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    for part in (rows, [("end", days[0], NOON + dt.timedelta(days=1), 1, 0.0)]):
+        spark.createDataFrame(part, kind).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kind).parquet(source)
+        run_available(scan_late(stream, ["n", "a b"], "at", "order", "value", decay_step, 0.0, STATE, "200 seconds", buckets=2), out, checkpoint)
+    found = sorted((r.n, r["a b"], r.order, round(r.state, 9), round(r.state_next, 9)) for r in spark.read.parquet(out).collect())
+    plain = loop([((r[0], r[1]), r[3], r[4]) for r in rows])
+    assert found == [(*key, *rest) for key, *rest in plain]
+
+
 def test_nulls_repeats_and_an_empty_stream(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     feed.add()
