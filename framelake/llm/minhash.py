@@ -14,15 +14,15 @@ threshold shares no band with a probability of at most `MISS`. The sets that sha
 bucket. Its members are compared by their sketches (one byte of each minimum) in batches: with a
 uniform prior, the similarity after m matches of k has a Beta posterior, and a pair goes as soon as
 the posterior probability of reaching the threshold falls below `MISS` (`Screen`). The rest may link;
-a bucket gives a spanning forest of them, never all pairs. Buckets above `ROWS` members are cut into
+a bucket gives a spanning forest of them, as stars that need no round of contraction for their length, never all pairs. Buckets above `ROWS` members are cut into
 parts, and all their members count as one cluster.
 
 Verification. Clusters are the connected components of what may link. A cluster is brought together
 once, sketches and sets, in one cell, which screens all its pairs and counts the intersection of the
 survivors exactly, but for pairs that are connected already. A cluster above `ROWS` sets or `HASHES`
 hashes is cut into parts that share some sets (`BRIDGES`), so most of it connects at once; then the
-sets outside the cluster's largest component meet all its sets, in cells of parts by parts. Every
-link is confirmed on full sets, and a link can only be missed with the probability `MISS`, once in the
+sets outside the cluster's largest component meet all its sets, in cells of parts by parts, and only the
+components that this connects are contracted once more. Every link is confirmed on full sets, and a link can only be missed with the probability `MISS`, once in the
 bands and once in the screen. The work for a cluster grows with the sets outside its largest component times its
 size: it is quadratic only where very many sets are close to the threshold and don't link.
 
@@ -272,9 +272,15 @@ def _bytes(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), size)
 
 
-def _pairs(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
-    ends = ids[np.array(found, np.int64).reshape(-1, 2)]
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+def _stars(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    """What the pairs of positions connect: (first position, each other one), so that no chain is left to contract."""
+    forest = Forest(np.arange(len(ids)))
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    for _ in forest.join(ends[:, 0], ends[:, 1]):
+        pass
+    roots = forest.roots()
+    moved = np.flatnonzero(roots != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[roots[moved]]), pa.array(ids[moved])], ["a", "b"])
 
 
 def _candidates(screen: Screen):
@@ -284,20 +290,20 @@ def _candidates(screen: Screen):
         key, part = table.column(0).to_numpy(), table.column(1).to_numpy()
         number = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
         found = candidates(number, _bytes(table.column(3), screen.ends[-1]), screen)
-        return _pairs(table.column(2).to_numpy(), found)
+        return _stars(table.column(2).to_numpy(), found)
 
     return _by_key(2, take, BUFFER)
 
 
 def _linked(screen: Screen, similar: tuple[int, int]):
-    """Rows (cluster, low, high, id, root, outside, sketch, found)."""
+    """Rows (cluster, low, high, id, root, outside, sketch, found); gives the roots that links connect."""
 
     def take(table: pa.Table) -> pa.RecordBatch:
-        ids, roots = table.column(3).to_numpy(), table.column(4).to_numpy()
+        roots = table.column(4).to_numpy()
         outside = table.column(5).to_numpy().astype(bool)
         sets = [np.frombuffer(x, np.uint64) for x in table.column(7).to_pylist()]
         found = list(linked(sets, _bytes(table.column(6), screen.ends[-1]), outside, roots, screen, similar))
-        return _pairs(ids, found)
+        return _stars(roots, found)
 
     return _by_key(3, take)
 
@@ -343,7 +349,7 @@ class Copies:
         parts = F.ceil(F.col("members") / self.rows)
         placed = members.join(self.sets.select("id", "sketch"), "id")
         placed = placed.select("key", F.pmod(_number("id"), parts).cast("int").alias("part"), "id", "sketch")
-        placed = placed.repartition("key", "part").sortWithinPartitions("key", "part")
+        placed = placed.repartition("key", "part").sortWithinPartitions("key", "part", "id")
         found = placed.mapInArrow(_candidates(self.screen), "a long, b long")
         return found.unionByName(members.filter(F.col("members") > self.rows).select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
@@ -353,8 +359,8 @@ class Copies:
         texts = self.docs.select(*identity(self.docs), "text").join(wanted, ["c1", "c2"]).select("id", "text")
         return texts.mapInArrow(_sets(self.shingle), "id long, found binary").dropDuplicates(["id"])
 
-    def links(self) -> DataFrame:
-        """(a, b): links that connect what linked sets connect."""
+    def links(self) -> tuple[DataFrame, DataFrame | None]:
+        """(vertex, root) of the sets that links within parts connect, and of those roots that other links connect, if clusters were cut."""
         clusters = components(self.may_link()).select(F.col("vertex").alias("id"), F.col("root").alias("cluster"))
         clusters = stored(clusters.join(self.sets.select("id", "n", "sketch"), "id"), "clusters")
         full = self.found(clusters.select("id"))
@@ -371,17 +377,20 @@ class Copies:
         every = F.sequence(F.lit(0), F.col("parts") - 1)
         first = placed.withColumn("low", F.explode(F.when(bridge, every).otherwise(F.array(own))))
         first = first.select("cluster", "low", F.lit(0).alias("high"), "id", F.col("id").alias("root"), F.lit(True).alias("outside"), "sketch")
-        links = stored(self._cells(first, full), "links")
-        return links.unionByName(self._second(links, clusters, large, full)) if several else links
+        found = components(self._cells(first, full))
+        if not several:
+            return found, None
+        found = stored(found, "found")
+        return found, components(self._second(found, clusters, large, full))
 
     def _cells(self, placed: DataFrame, full: DataFrame) -> DataFrame:
         cells = placed.join(full, "id").select("cluster", "low", "high", "id", "root", "outside", "sketch", "found")
         cells = cells.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
         return cells.mapInArrow(_linked(self.screen, self.similar), "a long, b long")
 
-    def _second(self, links: DataFrame, clusters: DataFrame, large: DataFrame, full: DataFrame) -> DataFrame:
-        """Of cut clusters: links of the sets outside the largest component with all sets."""
-        roots = components(links).select(F.col("vertex").alias("id"), "root")
+    def _second(self, found: DataFrame, clusters: DataFrame, large: DataFrame, full: DataFrame) -> DataFrame:
+        """Of cut clusters: roots that links of the sets outside the largest component connect."""
+        roots = found.select(F.col("vertex").alias("id"), "root")
         rows = clusters.join(large.select("cluster"), "cluster", "left_semi").join(roots, "id", "left")
         rows = stored(rows.withColumn("root", F.coalesce("root", "id")), "rooted")
         sizes = rows.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes"))
@@ -410,9 +419,13 @@ class Copies:
 
     def roots(self) -> DataFrame:
         """(code, low, n, root) of every set; low: smallest doc_id of its rows."""
-        found = components(self.links())
+        found, later = self.links()
         joined = self.sets.join(found, self.sets["id"] == found["vertex"], "left")
-        return joined.select("code", "low", "n", F.coalesce("root", "id").alias("root"))
+        joined = joined.select("code", "low", "n", F.coalesce("root", "id").alias("root"))
+        if later is None:
+            return joined
+        joined = joined.join(later.select(F.col("vertex").alias("root"), F.col("root").alias("to")), "root", "left")
+        return joined.select("code", "low", "n", F.coalesce("to", "root").alias("root"))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, rows: int = ROWS, hashes: int = HASHES) -> DataFrame:

@@ -113,3 +113,11 @@ def test_a_crowd_of_unlinked_texts_gives_no_link(documents):
     for bounds in ({}, {"rows": 16}):
         found = rows_of(minhash.groups(documents(rows), **bounds))
         assert found == sorted(((i, 58, i, True) for i in range(120)), key=repr)
+
+
+def test_a_chain_of_a_bucket_goes_on_as_a_star():
+    """As pairs the 2,000 links of a chain took round after round to contract."""
+    chain = [(i, i + 1) for i in range(1, 2000)]
+    made = minhash._stars(np.arange(5000, 7002), chain)
+    assert set(zip(made["a"].to_pylist(), made["b"].to_pylist())) == {(5001, 5000 + i) for i in range(2, 2001)}
+    assert minhash._stars(np.arange(3), []).num_rows == 0

@@ -8,6 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from framelake.llm import components as contraction
 from framelake.llm import simhash
 from framelake.llm.components import components
 
@@ -115,6 +116,19 @@ def test_components_of_chains_hubs_and_nothing(spark):
     assert components(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hubs, most", [(1, 2), (40, 5)])
+def test_hubs_take_few_rounds(spark, monkeypatch, hubs, most):
+    """New ranks in each round took 11 and 8 rounds for these."""
+    names = []
+    real = contraction.stored
+    monkeypatch.setattr(contraction, "stored", lambda df, name: names.append(name) or real(df, name))
+    draw = random.Random(3)
+    links = [(-1 - h, v) for h in range(hubs) for v in (range(3000) if hubs == 1 else draw.sample(range(3000), 150))]
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len({r.root for r in found}) == 1 and len(found) == len({v for link in links for v in link})
+    assert names.count("moves") <= most
+
+
 WORDS = [f"w{i}" for i in range(400)]
 
 
