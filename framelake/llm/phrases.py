@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.numbering import dense_index
 from .quotient import MOST, Filter, halves, pack, permute, unpack
-from .scratch import stored
+from .scratch import bucketed, stored
 
 LEAST = 100
 TOP = 2000
@@ -50,6 +50,8 @@ ENTRIES = 1 << 21
 #: Places of a block whose items are counted at once, and bytes of filters that a task sends at once.
 SLICE = 1 << 18
 SENT = 1 << 22
+#: Blocks of a bucket, on average.
+BLOCKS = 4
 
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PIECES = bytes(0x2E if b in _SEPARATORS else b for b in range(256))
@@ -253,8 +255,9 @@ class Counts:
         used = used.select("block", "lang", (F.col("at") + 1).alias("local"), F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
         # a word's blocks are listed where it is counted, so the numbers go back without a join of the blocks' words
         entry = F.struct("block", "local")
-        words = used.repartition("lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("a"), F.collect_list(entry).alias("entries"))
-        words = stored(words.filter(F.col("a") >= least), "words")
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        words = used.repartition(parts, "lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("a"), F.collect_list(entry).alias("entries"))
+        words = bucketed(words.filter(F.col("a") >= least), "words", parts, "lang", "word")
         self.langs = stored(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "langs")
         total = self.langs.agg(F.sum("n")).first()[0] or 0
         bits = max(0, (total // entries).bit_length())
@@ -267,12 +270,14 @@ class Counts:
         bits = min(bits, width)
         known = words.join(self.vocabulary.select("lang", "word", "number"), ["lang", "word"])
         known = known.select("number", "entries").mapInArrow(_by_block, "block long, local array<int>, number array<int>")
-        known = known.groupBy("block").agg(F.collect_list(F.struct("local", "number")).alias("known"))
-        places = blocks.select("block", "lang", "size", "places", F.size("words").alias("length")).join(known, "block")
+        # the places, by far most of the bytes, are dealt once: what comes later goes to their buckets
+        buckets = min(max(1, blocks.count() // BLOCKS), 100_000)
+        known = known.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("local", "number")).alias("known"))
+        places = blocks.select("block", "lang", "size", "places", F.size("words").alias("length")).repartition(buckets, "block").join(known, "block")
         places = places.select("block", "lang", "size", "places", "length", "known.local", "known.number")
-        numbered = stored(places.mapInArrow(_numbered, "block long, lang string, places binary"), "numbered")
+        numbered = bucketed(places.mapInArrow(_numbered, "block long, lang string, places binary"), "numbered", buckets, "block")
         pairs = self._merge(numbered.mapInArrow(_pairs(bits, width), _FILTERS), least, bits, width, True)
-        back = pairs.filter("filter is not null").groupBy("block").agg(F.collect_list("filter").alias("filters"))
+        back = pairs.filter("filter is not null").repartition(buckets, "block").groupBy("block").agg(F.collect_list("filter").alias("filters"))
         longer = numbered.join(back, "block").select("block", "lang", "places", "filters")
         longer = self._merge(longer.mapInArrow(_phrases(bits, width), _FILTERS), least, bits, width, False)
         self.phrases = pairs.filter("filter is null").unionByName(longer).select("lang", "ids", "a")

@@ -186,6 +186,31 @@ def test_numbers_go_back_as_one_row_for_each_block():
         assert found == {(e["block"], e["local"], r["number"]) for r in rows.to_pylist() for e in r["entries"]}
 
 
+def test_places_are_dealt_once(spark, monkeypatch):
+    """The filters that come back go to the places' buckets, whether or not they are small enough to be broadcast."""
+    from framelake.llm import phrases
+
+    plans = []
+    merge = phrases.Counts._merge
+
+    def watched(filters, *rest):
+        plans.append(filters._jdf.queryExecution().executedPlan().toString())
+        return merge(filters, *rest)
+
+    monkeypatch.setattr(phrases.Counts, "_merge", staticmethod(watched))
+    rows = [(i, f"common pair of words and {i} rare{i % 7}", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(20)
+    tables = spark.catalog.listTables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = phrases.Counts(docs, 100, tokens=64)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[1].count("SortMergeJoin") == plans[1].count("Exchange hashpartitioning") == 1
+    assert spark.catalog.listTables() == tables
+    assert max(len(r.ids) for r in counts.phrases.collect()) == 5
+
+
 def _stored_folders(spark, name):
     import glob
     import os
