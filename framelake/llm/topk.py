@@ -1,8 +1,10 @@
 """Exact top-k by inner product with an impact-ordered index, score at a time.
 
 Components become integers, floor(scale * x). Vectors are dealt evenly into blocks, queries into
-chunks, and each pair of a block and a chunk is searched by one task. The index of a block has a
-posting list for each dimension, in which the vectors stand by descending size of their
+chunks and those into a few ranges. A tile, the pair of a block and a range, is searched by one task: it
+builds the block's index once and takes the range chunk by chunk. Blocks and chunks travel as small packs, which are
+copied for their tiles one at a time, so no task holds more than a block and a few packs, however many there
+are. The index of a block has a posting list for each dimension, in which the vectors stand by descending size of their
 component: the impact. A query takes the lists' segments by descending quantised impact, that is in
 rounds whose threshold halves, and adds what each posting gives to the score of its vector. A
 posting not yet seen adds between minus and plus the threshold, so every vector has a lower and an upper bound on its
@@ -20,10 +22,11 @@ that doesn't fit 64 bits, has no place in the output's types: it fails the job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ SCALE = 64
 EVERY = 20
 BLOCK = 32_768
 CHUNK = 512
+#: A block and a pack have so many components at most, which bounds their bytes at any number of dimensions.
+BLOCK_COMPONENTS, PACK_COMPONENTS = 1 << 21, 1 << 15
+#: A block goes to so many tasks at most; where there are more tiles than `TASKS`, a task takes several, one after the other.
+RANGES, TASKS = 8, 8_192
 LARGEST = 1 << 62
 #: The first threshold is the largest impact divided by this.
 FIRST = 16
@@ -126,10 +133,17 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def _packed(size: int, dims: int):
-    """Packs the rows of a partition (row, vec_id, values), `size` at a time."""
+_PACK = "tile long, asks boolean, rows binary, ids binary, vectors binary"
+
+
+def _packed(size: int, dims: int, asks: bool, tiles: Callable[[int], range]):
+    """Packs the rows of a partition (row, vec_id, values), `size` at a time, and gives each pack once for each of the partition's tiles.
+
+    Copies leave one by one; `explode` would hold all copies of a pack at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = tiles(TaskContext.get().partitionId())
         held, count = [], 0
         for batch in batches:
             lists = batch.column(2)
@@ -139,45 +153,67 @@ def _packed(size: int, dims: int):
             matrix[np.arange(dims) < lengths[:, None]] = flat
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix))
             count += batch.num_rows
-            while count >= size:
-                rows, ids, matrix = (np.concatenate(parts) for parts in zip(*held))
-                yield _pack(rows[:size], ids[:size], matrix[:size])
-                held, count = [(rows[size:], ids[size:], matrix[size:])], count - size
+            if count >= size:
+                parts = [np.concatenate(parts) for parts in zip(*held)]
+                full = count - count % size
+                for at in range(0, full, size):
+                    yield from _copies(to, asks, *(part[at : at + size] for part in parts))
+                held, count = [[part[full:] for part in parts]], count - full
         if count:
-            yield _pack(*(np.concatenate(parts) for parts in zip(*held)))
+            yield from _copies(to, asks, *(np.concatenate(parts) for parts in zip(*held)))
 
     return run
 
 
-_PACK = "rows binary, ids binary, vectors binary"
+def _copies(tiles: range, asks: bool, rows: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    fields = {"rows": [rows.tobytes()], "ids": [ids.tobytes()], "vectors": [_smallest(matrix).tobytes()]}
+    for tile in tiles:
+        yield pa.RecordBatch.from_pydict({"tile": [tile], "asks": [asks]} | fields)
 
 
-def _pack(rows: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"rows": [rows.tobytes()], "ids": [ids.tobytes()], "vectors": [np.ascontiguousarray(matrix).tobytes()]}
-    )
+def _smallest(matrix: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest integers that hold them all."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+    return matrix.astype(f"<i{width}")
+
+
+def _unpacked(dims: int, rows: bytes, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, ids = np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8")
+    return rows, ids, np.frombuffer(vectors, f"<i{len(vectors) // (len(rows) * dims)}").reshape(-1, dims)
 
 
 def _searched(k: int, dims: int):
-    def unpack(rows: bytes, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dims)
+    """Answers of the packs of a partition, sorted by tile, those of the block first."""
+
+    def answers(index: ImpactIndex, place: dict[int, int], rows: np.ndarray, ids: np.ndarray, asked: tuple) -> pa.RecordBatch:
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for row, query_id, query in zip(asked[0], asked[1], asked[2].astype(np.int64)):
+            found, scores = index.best(query, k, ids, place.get(int(row), -1))
+            for column, part in zip(
+                out, (np.full(len(found), row), np.full(len(found), query_id), rows[found], ids[found], scores)
+            ):
+                column.append(part)
+        names = ["query_row", "query_id", "row", "vec_id", "score"]
+        return pa.RecordBatch.from_pydict({n: np.concatenate(c) for n, c in zip(names, out)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, block, parts = None, None, []
         for batch in batches:
-            for pair in range(batch.num_rows):
-                fields = [column[pair].as_py() for column in batch.columns]
-                rows, ids, vectors = unpack(*fields[:3])
-                index = ImpactIndex(vectors)
-                place = {row: at for at, row in enumerate(rows.tolist())}
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for row, query_id, query in zip(*unpack(*fields[3:])):
-                    found, scores = index.best(query, k, ids, place.get(int(row), -1))
-                    for column, part in zip(
-                        out, (np.full(len(found), row), np.full(len(found), query_id), rows[found], ids[found], scores)
-                    ):
-                        column.append(part)
-                names = ["query_row", "query_id", "row", "vec_id", "score"]
-                yield pa.RecordBatch.from_pydict({n: np.concatenate(c) for n, c in zip(names, out)})
+            for at in range(batch.num_rows):
+                number, asks, *pack = (column[at].as_py() for column in batch.columns)
+                if number != tile:
+                    tile, block, parts = number, None, []
+                pack = _unpacked(dims, *pack)
+                if not asks:
+                    parts.append(pack)
+                    continue
+                if parts:
+                    rows, ids, vectors = (np.concatenate(part) for part in zip(*parts))
+                    block = ImpactIndex(vectors), {row: at for at, row in enumerate(rows.tolist())}, rows, ids
+                    parts = []
+                if block:
+                    yield answers(*block, pack)
 
     return run
 
@@ -194,18 +230,21 @@ def search(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVER
     )
     is_query = F.col("vec_id") % every == 0
     count, queries, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("values"))).first()
-    blocks, chunks, dims = -(-count // block) or 1, -(-queries // chunk) or 1, max(1, dims or 1)
-    packed = rows.repartition(blocks).mapInArrow(_packed(block, dims), _PACK)
-    asked = rows.filter(is_query).repartition(chunks).mapInArrow(_packed(chunk, dims), _PACK)
-    asked = stored(asked.withColumn("number", F.monotonically_increasing_id()), "queries").alias("q")
-    numbers = asked.select("number")
-    # each block goes to each chunk once: pairs of blocks, not of rows
-    to = numbers.agg(F.collect_list("number").alias("numbers"))
-    dealt = packed.select("*", F.explode(to.scalar()).alias("number")).alias("b")
-    pairs = dealt.join(asked, "number").select("b.rows", "b.ids", "b.vectors", "q.rows", "q.ids", "q.vectors").toDF(
-        "rows", "ids", "vectors", "query_rows", "query_ids", "query_vectors"
+    dims = max(1, dims or 1)
+    block, pack = min(block, BLOCK_COMPONENTS // dims or 1), PACK_COMPONENTS // dims or 1
+    chunk = min(chunk, pack)
+    blocks, chunks = -(-count // block) or 1, -(-queries // chunk) or 1
+    ranges = min(chunks, RANGES)
+    tiles = blocks * ranges
+    packed = rows.repartition(blocks).mapInArrow(
+        _packed(min(block, pack), dims, False, lambda part: range(part % blocks * ranges, (part % blocks + 1) * ranges)), _PACK
+    )
+    asked = rows.filter(is_query).repartition(chunks).mapInArrow(
+        _packed(chunk, dims, True, lambda part: range(part % ranges, tiles, ranges)), _PACK
     )
-    found = pairs.repartition(blocks * chunks).mapInArrow(
+    tasks = min(tiles, TASKS)
+    dealt = packed.unionAll(asked).repartitionById(tasks, (F.col("tile") % tasks).cast("int"))
+    found = dealt.sortWithinPartitions("tile", "asks").mapInArrow(
         _searched(k, dims), "query_row long, query_id long, row long, vec_id long, score long"
     )
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framelake.llm import topk
@@ -101,3 +102,46 @@ def test_what_has_no_64_bit_integer_fails(spark):
 def test_the_table(spark, sf):
     frame = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert found(frame) == brute([(r.vec_id, r.embedding) for r in frame.collect()])
+
+
+def test_a_task_never_holds_the_copies_of_a_block(spark, monkeypatch):
+    """One pack and one copy at a time, of bounded size, for any number of tiles; no `explode`, which holds all its copies."""
+    plan = topk.search(spark.createDataFrame(vectors(5, 200), "vec_id long, embedding array<double>"), block=20, chunk=2)
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+    class Partition:
+        get = staticmethod(lambda: Partition)
+        partitionId = staticmethod(lambda: 1)
+
+    monkeypatch.setattr(topk, "TaskContext", Partition)
+    matrix = np.random.default_rng(6).integers(-64, 65, (70, 4))
+    batches = []
+    for a in range(0, 70, 9):
+        values = pa.ListArray.from_arrays(np.arange(0, 4 * len(matrix[a : a + 9]) + 1, 4, "i4"), matrix[a : a + 9].ravel())
+        batches.append(pa.RecordBatch.from_arrays([np.arange(a, min(70, a + 9)), np.arange(a, min(70, a + 9)), values], ["row", "vec_id", "values"]))
+    copies = list(topk._packed(16, 4, False, lambda at: range(at * 1000, at * 1000 + 50))(iter(batches)))
+    assert len(copies) == 5 * 50 and {c.num_rows for c in copies} == {1}
+    assert max(c.nbytes for c in copies) < 16 * (8 + 8 + 4) + 100
+    for tile in (1000, 1049):
+        packs = [topk._unpacked(4, *(c[x][0].as_py() for x in ("rows", "ids", "vectors"))) for c in copies if c["tile"][0].as_py() == tile]
+        rows, ids, values = (np.concatenate(part) for part in zip(*packs))
+        assert rows.tolist() == ids.tolist() == list(range(70)) and (values == matrix).all()
+
+
+@pytest.mark.parametrize("tasks,ranges", [(3, 4), (100, 1), (7, 100)])
+def test_any_dealing_of_tiles_gives_the_same(spark, monkeypatch, tasks, ranges):
+    """Several tiles for a task, one range or one for each chunk, blocks and packs cut by their components, values of all widths."""
+    for name, value in (("TASKS", tasks), ("RANGES", ranges), ("BLOCK_COMPONENTS", 12 * 40), ("PACK_COMPONENTS", 12 * 7)):
+        monkeypatch.setattr(topk, name, value)
+    rows = vectors(7, 300)
+    rows[40] = (40, [x * 3e4 for x in rows[40][1]])
+    rows[41] = (41, [x * 1e8 for x in rows[41][1]])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert found(frame, chunk=2) == brute(rows)
+
+
+def test_packs_take_the_smallest_integers_that_hold_them():
+    for value, width in ((127, 1), (-128, 1), (128, 2), (-129, 2), (1 << 15, 4), (-(1 << 31), 4), (1 << 31, 8), (-(1 << 62), 8)):
+        small = topk._smallest(np.array([[0, value]]))
+        assert small.itemsize == width and small.tolist() == [[0, value]]
+        assert topk._unpacked(2, bytes(8), bytes(8), small.tobytes())[2].tolist() == [[0, value]]
