@@ -39,7 +39,7 @@ EVERY = 20
 BLOCK = 32_768
 CHUNK = 512
 #: A block and a pack have so many components at most, which bounds their bytes at any number of dimensions.
-BLOCK_COMPONENTS, PACK_COMPONENTS = 1 << 21, 1 << 15
+BLOCK_COMPONENTS, PACK_COMPONENTS = 1 << 22, 1 << 15
 #: A block goes to so many tasks at most; where there are more tiles than `TASKS`, a task takes several, one after the other.
 RANGES, TASKS = 8, 8_192
 LARGEST = 1 << 62
